@@ -1,7 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from chalkline.llm.bpe import op2_bpe_round_trip
+from chalkline.llm.language import op10_language_id
+from chalkline.llm.quality_model import op4_quality_classifier
+from chalkline.llm.quality_rules import op3_quality_rules, verdict_sql
 from chalkline.llm.token_files import op8_token_files
+from chalkline.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op8_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_quality_rules, op4_quality_classifier, op5_toxicity, op8_token_files, op10_language_id)}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": verdict_sql()}
