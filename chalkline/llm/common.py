@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows that Spark hands to Python at once: long texts must fit in a worker's memory.
+ARROW_ROWS = 1_024
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
