@@ -2,7 +2,9 @@
 
 Every match of the pre-tokenising pattern is encoded on its own, so a worker
 keeps the ids of the matches it has met and asks the library for each new one
-only.  Bytes are shown to the library as printable characters (the byte table);
+only.  The pattern gives a match at most one leading space and never runs from
+one word over a single space into the next, so texts are cut at single spaces
+first and the ids of whole words are kept as well.  Bytes are shown to the library as printable characters (the byte table);
 decoding reverses the table, and characters that tokens split are put together
 again because bytes are joined before they are read as UTF-8.
 
@@ -14,6 +16,7 @@ length are handled whole, in slices of Arrow batches of bounded size.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,12 +86,42 @@ class Pieces(dict):
     """Match of the pattern -> its ids, as bytes of unsigned 32-bit integers."""
 
     def __init__(self, bpe):
-        self.bpe = bpe
+        self.tokenize = bpe.tokenize
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        out = self[piece] = np.array([t.id for t in self.bpe.tokenize(shown(piece.encode()))], "<u4").tobytes()
+        out = self[piece] = self.ids(piece)
+        return out
+
+    def ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(shown(piece.encode()))]).tobytes()
+
+
+class Uneven(Exception):
+    """A cut at single spaces would change the matches of this text."""
+
+
+class Words(dict):
+    """Text between two single spaces -> ids of it and the space before."""
+
+    def __init__(self, pieces: Pieces, split):
+        self.pieces, self.split = pieces, split
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():  # one match
+            out = self.pieces.ids(" " + word)
+        elif not word or word[0].isspace() or word[-1].isspace():
+            raise Uneven
+        elif word[-1] in ".,!?:;" and word[:-1].isalpha():  # two matches
+            out = self[word[:-1]] + self.pieces[word[-1]]
+        else:
+            end, line, start = word.partition("\n")
+            if line and start.isalpha() and not end[-1:].isspace():  # the line's end is a match
+                return self[end] + self.pieces[line] + self.pieces[start]
+            return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
+        if len(self) < REMEMBERED:
+            self[word] = out
         return out
 
 
@@ -100,9 +133,20 @@ class Encoder:
 
         self.split = regex.compile(pattern).findall
         self.pieces = Pieces(model(vocabulary)[0])
+        self.words = Words(self.pieces, self.split)
+
+    def of_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text or ""))), "<u4")
+        first, *rest = (text or "").split(" ")
+        try:
+            if first[-1:].isspace():
+                raise Uneven
+            out = self.of_pieces(first) + b"".join(map(self.words.__getitem__, rest))
+        except Uneven:
+            out = self.of_pieces(text)
+        return np.frombuffer(out, "<u4")
 
 
 @lru_cache(4)
@@ -127,6 +171,7 @@ def char_offsets(text: str, ids: np.ndarray, vocabulary: str) -> np.ndarray:
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """``df`` and the columns ids array<int> and, if asked for, offsets array<int>.
 
+    ``pattern`` must keep words at single spaces apart, as said above.
     offsets: the character of the text in which each token starts.  Input
     columns named ids or offsets are replaced.
     """
