@@ -648,14 +648,14 @@ def _with_end(x):
 
 @query("SELECT * FROM stable")
 def stable_states_stream(x):
-    out = stream.replay(_with_end(x), 3, "timestamp_seconds", stream.stable_states_stream)
+    out = stream.replay(_with_end(x), stream.in_thirds("timestamp_seconds"), 3, stream.stable_states_stream)
     return out.where("status = 'EMITTED'").drop("status")
 
 
 @query("SELECT video_id, frame_index, timestamp_seconds FROM changes WHERE frame_index % 100 = 99")
 def late_row_audit(x):
-    rows = _with_end(x).withColumn("order", F.when((F.col("frame_index") % 100 == 99) & (F.col("kind") != "END"), 1e9 + F.col("timestamp_seconds")).otherwise(F.col("timestamp_seconds")))
-    late = stream.replay(rows, 2, "order", lambda s: stream.stable_states_stream(s.drop("order")))
+    late = F.when(F.col("frame_index") % 100 == 99, 2).otherwise(1)  # these rows come after all others
+    late = stream.replay(x.changes.select("video_id", *stream.COLUMNS), late, 2, stream.stable_states_stream)
     return late.where("status = 'REJECTED'").select("video_id", "frame_index", "timestamp_seconds")
 
 
@@ -665,7 +665,7 @@ def activity_sessions_stream(x):
     at = F.timestamp_micros(F.round(F.col("timestamp_seconds") * 1e6).cast("long"))
     rows = x.changes.select("video_id", "timestamp_seconds", "kind", at.alias("at"))
     marker = rows.groupBy("video_id").agg((F.max("timestamp_seconds") + 1e6).alias("timestamp_seconds"), F.lit("END").alias("kind"), F.timestamp_micros(F.lit(2_000_000_000_000_000)).alias("at"))
-    out = stream.replay(rows.unionByName(marker), 1, "timestamp_seconds", stream.activity_sessions_stream)
+    out = stream.replay(rows.unionByName(marker), F.lit(1), 1, stream.activity_sessions_stream)
     seconds = lambda c: F.unix_micros(c) / 1e6
     return out.where(F.col("start") < F.timestamp_micros(F.lit(2_000_000_000_000_000))).select("video_id", seconds("start").alias("start_seconds"), seconds("end").alias("end_seconds"), "n")
 

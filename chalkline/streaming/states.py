@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,18 +48,19 @@ def activity_sessions_stream(changes: DataFrame, gap: str = "1 second") -> DataF
     return busy.groupBy("video_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select("video_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def replay(df: DataFrame, parts: int, order: str, transform) -> DataFrame:
-    """Run a streaming ``transform`` over ``df`` handed out in ``parts`` files by ascending ``order``; the sink's rows."""
-    spark: SparkSession = df.sparkSession
-    source, sink = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-
+def in_thirds(order: str) -> Column:
+    """The part of each row when a lecture is handed out in three by ascending ``order``."""
+    return F.ntile(3).over(Window.partitionBy("video_id").orderBy(order))
 
 
-    numbered = df.withColumn("part", F.ntile(parts).over(Window.partitionBy("video_id").orderBy(order)))
-    for part in range(1, parts + 1):  # one file a part, so that each is a micro-batch
-        numbered.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = transform(stream)
+def replay(df: DataFrame, part: Column, parts: int, transform) -> DataFrame:
+    """Run a streaming ``transform`` over ``df``, handed out in micro-batches 1 to ``parts``; the rows of its sink."""
+    spark: SparkSession = df.sparkSession
+    source, sink = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    numbered = df.withColumn("part", part)
+    for number in range(1, parts + 1):  # one file a part, so that each is a micro-batch
+        numbered.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(source)
+    out = transform(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source))
     query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
