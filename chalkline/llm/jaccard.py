@@ -128,13 +128,13 @@ def hot_members(docs: DataFrame, s: Similarity) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, s: Similarity, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, high and low (128-bit digest of the set), prefix array<long>, bits binary."""
+    """doc_id, n, high and low (128-bit digest of the set), prefix array<long>."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches(source, "text"):
-            n, digests, prefixes, maps = [], [], [], []
+            n, digests, prefixes = [], [], []
             for text in batch.column("text").to_pylist():
                 members = shingles(text, s.words)
                 n.append(len(members))
@@ -145,14 +145,13 @@ def set_rows(docs: DataFrame, s: Similarity, hot: np.ndarray) -> DataFrame:
                 else:
                     members_in_order = members
                 prefixes.append(members_in_order[: s.prefix(len(members)) if len(members) else 0].view(np.int64))
-                maps.append(bitmap(members, s.bits(len(members))))
             digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists(np.concatenate(prefixes), [len(p) for p in prefixes], pa.int64()), pa.array(maps, pa.binary())],
-                ["doc_id", "n", "high", "low", "prefix", "bits"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists(np.concatenate(prefixes), [len(p) for p in prefixes], pa.int64())],
+                ["doc_id", "n", "high", "low", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, high long, low long, prefix array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, high long, low long, prefix array<long>")
 
 
 def tile_rows(unique: DataFrame, s: Similarity) -> DataFrame:
@@ -174,7 +173,7 @@ def first_partners(tiles: DataFrame, s: Similarity) -> DataFrame:
     return fitting.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def open_tiles(tiles: DataFrame, found: DataFrame, unique: DataFrame) -> DataFrame:
+def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Tiles that span components, with components and bitmaps, cut into pairs of blocks where they are large."""
     known = tiles.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     spans = known.groupBy("token", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
@@ -183,7 +182,7 @@ def open_tiles(tiles: DataFrame, found: DataFrame, unique: DataFrame) -> DataFra
     rows = known.join(spans.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("own", own)
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", "band", F.least("own", "partner").alias("block"), F.greatest("own", "partner").alias("other"), (F.col("own") > F.col("partner")).alias("second"), "key", "n", "component")
-    return rows.join(unique.select(F.col("doc_id").alias("key"), "bits"), "key").select("token", "band", "block", "other", "second", "key", "n", "component", "bits")
+    return rows.join(sets.select("key", "bits"), "key").select("token", "band", "block", "other", "second", "key", "n", "component", "bits")
 
 
 def fitting_pairs(tiles: DataFrame, s: Similarity, every: bool) -> DataFrame:
@@ -235,26 +234,71 @@ def fitting_pairs(tiles: DataFrame, s: Similarity, every: bool) -> DataFrame:
     return pairs.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b")
 
 
+def candidate_sets(docs: DataFrame, tiles: DataFrame, s: Similarity) -> DataFrame:
+    """(key, n, bits, packed): bitmap and compressed text of each set in a tile."""
+
+    def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches(source, "text"):
+            packed = [compress((x or "").encode()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], ["key", "packed"])
+
+    def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, "packed", 1 << 20):
+            n, maps = [], []
+            for members in (unpacked(x, s) for x in batch.column("packed").to_pylist()):
+                n.append(len(members))
+                maps.append(bitmap(members, s.bits(len(members))))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), batch.column("packed")], ["key", "n", "bits", "packed"])
+
+    texts = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(pack, "key long, packed binary").join(tiles.select("key").distinct(), "key", "left_semi")
+    return texts.groupBy("key").agg(F.max("packed").alias("packed")).mapInArrow(sign, "key long, n long, bits binary, packed binary")
+
+
+def unpacked(packed: bytes, s: Similarity) -> np.ndarray:
+    """The set of a compressed text."""
+    import zstandard
+
+    return shingles(zstandard.ZstdDecompressor().decompress(packed).decode(), s.words)
+
+
 def links(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by bitmaps first and then exactly."""
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"), F.col("members").alias(f"members_{name}"))
+    """The pairs (a, b) whose sets are similar, by bitmaps first and then exactly.
+
+    Each b travels to its a, and an a once for every TILE of its partners, which
+    are dealt over as many tasks.
+    """
+    pairs = write_table(pairs, "pairs")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("shares"))
+    theirs = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), F.col("b").alias("key"))
+    own = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("a").alias("key"))
+    wanted = write_table(theirs.union(own), "wanted")  # small, so that its size is known when it meets the sets
+    rows = wanted.join(sets, "key").repartition("a", "share").sortWithinPartitions("a", "share", "role")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, "members_a"):
-            similar = []
-            for row in batch.select(["n_a", "n_b", "bits_a", "bits_b", "members_a", "members_b"]).to_pylist():
-                both = row["n_a"] + row["n_b"]
-                maps = folded([row["bits_a"], row["bits_b"]])
+        at, members, mine = None, None, None
+        for batch in batches(source, "packed", 1 << 20):
+            a, b = [], []
+            for row in batch.to_pylist():
+                if row["role"] == 0:
+                    at, mine, members = row["a"], row, unpacked(row["packed"], s)
+                    continue
+                if row["a"] != at:
+                    continue
+                both = row["n"] + mine["n"]
+                maps = folded([mine["bits"], row["bits"]])
                 if int(np.bitwise_count(maps[0] ^ maps[1]).sum()) > s.difference(np.int64(both)):
-                    similar.append(False)
                     continue
-                x, y = np.frombuffer(row["members_a"], np.uint64), np.frombuffer(row["members_b"], np.uint64)
-                shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                similar.append(100 * shared >= s.percent * (both - shared))
-            keep = pa.array(similar)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                others = unpacked(row["packed"], s)
+                shared = int((members[np.minimum(np.searchsorted(members, others), len(members) - 1)] == others).sum())
+                if 100 * shared >= s.percent * (both - shared):
+                    a.append(at)
+                    b.append(row["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def join_components(df: DataFrame, s: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,27 +307,17 @@ def join_components(df: DataFrame, s: Similarity = Similarity(), doc_id: str = "
     rows = write_table(set_rows(docs, s, hot_members(docs, s)), "sets")
     # Equal sets are one, under the smallest id that has it.
     full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    first = full.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
-    first = write_table(first, "firsts")
-    unique = full.join(first.select("high", "low", F.col("first").alias("doc_id")), ["doc_id", "high", "low"]).groupBy("doc_id")
-    unique = write_table(unique.agg(F.max(F.struct("high", "low", "n", "prefix", "bits")).alias("s")).select("doc_id", "s.*"), "unique-sets")
+    first = write_table(full.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "firsts")
+    stands = first.select(F.col("first").alias("doc_id"), F.col("high").alias("h"), F.col("low").alias("l"))
+    unique = full.join(stands, "doc_id").where("high = h AND low = l")
     tiles = write_table(tile_rows(unique, s), "tiles")
-
-    def members(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, "text"):
-            found = [shingles(x, s.words).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 8 for x in found], pa.int64()), pa.array(found, pa.binary())], ["key", "n", "members"])
-
-    wanted = unique.select(F.col("doc_id").alias("key"), "n", "bits").join(tiles.select("key").distinct(), "key")
-    texts = docs.join(wanted.select(F.col("key").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(members, "key long, n long, members binary").join(wanted, ["key", "n"]).groupBy("key").agg(F.max(F.struct("n", "bits", "members")).alias("s")).select("key", "s.*")
-    sets = write_table(sets, "members")
+    sets = write_table(candidate_sets(docs, tiles, s), "candidates", "none")
 
     same = full.join(first, ["high", "low"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     linked = write_table(links(first_partners(tiles, s), sets, s), "links")
     found = components(linked)
     for every in (False, True):
-        more = write_table(links(fitting_pairs(open_tiles(tiles, found, unique), s, every), sets, s), "links")
+        more = write_table(links(fitting_pairs(open_tiles(tiles, found, sets), s, every), sets, s), "links")
         linked = linked.union(more)
         found = components(linked)
     # Ids with equal sets hang under the first of them; ids with several sets tie components together.
