@@ -99,6 +99,16 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFram
     return out.drop("__lines", "__kept", "__at")
 
 
+def accepted(judged: DataFrame) -> DataFrame:
+    """The rows of judge() that are kept.
+
+    A row number stands between the verdict and the filter: without it the
+    filter would be pushed below the steps of judge(), each of which it would
+    then hold several times over.
+    """
+    return judged.withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0").drop("__row")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars", "line_chars"
