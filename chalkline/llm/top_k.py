@@ -30,7 +30,7 @@ from chalkline.llm.common import read, write_table
 #: Vectors in a block of the index, queries in a block, values in an impact level.
 BLOCK, QUERIES, STEP = 16_384, 1_024, 8
 #: Shares of the largest gain down to which each round processes segments.
-ROUNDS = (0.6, 0.45, 0.35, 0.28, 0.22, 0.16, 0.1, -1.0)
+ROUNDS = (0.55, 0.4, 0.28, 0.18, -1.0)
 
 
 def quantised(vector: str) -> Column:
@@ -43,14 +43,27 @@ def quantised(vector: str) -> Column:
 def in_blocks(df: DataFrame, size: int) -> DataFrame:
     """Rows (id, v) as rows of up to ``size`` vectors: ids and a matrix in binary."""
 
+    def packed_rows(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts).combine_chunks()
+        ids, vectors = part.column("id").to_numpy(), part.column("v").combine_chunks()
+        n = vectors.value_lengths().to_numpy()
+        matrix = np.zeros((len(n), max(1, int(n.max()))), np.int64)
+        matrix[np.arange(matrix.shape[1]) < n[:, None]] = vectors.flatten().to_numpy()
+        wide = bool(np.abs(matrix).max() >= 1 << 31)
+        return pa.RecordBatch.from_pydict({"n": [len(n)], "ids": [ids.tobytes()], "matrix": [matrix.astype(np.int64 if wide else np.int32).tobytes()], "wide": [wide]})
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0  # batches until a block is full
         for batch in source:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                n = part.column("v").value_lengths().to_numpy()
-                matrix = np.zeros((len(n), max(1, int(n.max()))), np.int64)
-                matrix[np.arange(matrix.shape[1]) < n[:, None]] = part.column("v").flatten().to_numpy()
-                yield pa.RecordBatch.from_pydict({"n": [len(n)], "ids": [part.column("id").to_numpy().tobytes()], "matrix": [matrix.astype(np.int32 if np.abs(matrix).max() < 1 << 31 else np.int64).tobytes()], "wide": [bool(np.abs(matrix).max() >= 1 << 31)]})
+                if rows + part.num_rows > size:
+                    yield packed_rows(held)
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        if rows:
+            yield packed_rows(held)
 
     packed = df.mapInArrow(run, "n long, ids binary, matrix binary, wide boolean")
     return packed.withColumn("block", F.monotonically_increasing_id())
@@ -65,47 +78,49 @@ class Index:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        levels = x // STEP
-        self.order = np.argsort(-levels, axis=0, kind="stable").T.copy()  # dimension by dimension, descending impact
-        self.level = np.take_along_axis(levels.T, self.order, 1)
+        levels = (x // STEP).T
+        self.order = np.argsort(-levels, axis=1, kind="stable")  # of each dimension, by descending impact
+        segments = [np.unique(-row, return_counts=True) for row in levels]
+        width = max(len(v) for v, _ in segments)
+        self.level = np.zeros((len(segments), width))
+        self.size = np.zeros((len(segments), width), np.int64)
+        for d, (value, count) in enumerate(segments):
+            self.level[d, : len(value)], self.size[d, : len(value)] = -value, count
+        self.ends = np.cumsum(self.size, 1)
 
     def search(self, q: np.ndarray, own: int, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of all vectors that can be among the k best, given that k others reach ``bar``."""
         n, dims = self.x.shape
+        q = q[:dims] if len(q) >= dims else np.concatenate([q, np.zeros(dims - len(q), np.int64)])
         others = self.ids != own
-        if not others.any():
-            return self.ids[:0], self.ids[:0]
-        plan, least, widest = [], 0, 0
-        for d in np.flatnonzero(q[:dims]):
-            w = int(q[d])
-            order, level = (self.order[d], self.level[d]) if w > 0 else (self.order[d][::-1], self.level[d][::-1])
-            low = level * STEP * w if w > 0 else (level * STEP + STEP - 1) * w
-            slack, floor = abs(w) * (STEP - 1), int(low[-1])
-            plan.append((order, low - floor, slack))
-            least += floor
-            widest = max(widest, int(low[0]) - floor)
-        gained, done = np.zeros(n), [0] * len(plan)
+        # What a segment adds at least, over the least that its dimension can add; each posting adds up to ``slack`` more.
+        low = (self.level * STEP + np.where(q > 0, 0, STEP - 1)[:, None]) * q[:, None]
+        real = self.size > 0
+        floor = np.where(real, low, np.inf).min(1)
+        gain = np.where(real & (q != 0)[:, None], low - floor[:, None], -1.0)
+        slack, least, widest = float(np.abs(q).sum() * (STEP - 1)), float(floor.sum()), float(gain.max())
+        gained, done = np.zeros(n), gain < 0
         for share in ROUNDS:
-            at, gains, rest = [], [], 0
-            for j, (order, gain, slack) in enumerate(plan):
-                end = n if share < 0 else n - int(np.searchsorted(gain[::-1], share * widest, side="left"))
-                if end > done[j]:
-                    at.append(order[done[j] : end])
-                    gains.append(gain[done[j] : end])
-                    done[j] = end
-                rest += slack + (int(gain[done[j]]) if done[j] < n else 0)
+            now = ~done & (gain >= share * widest)
+            done |= now
+            at, gains = [], []
+            for d in np.flatnonzero(now.any(1)):  # the segments of a round lie side by side
+                k0, k1 = np.flatnonzero(now[d])[[0, -1]]
+                at.append(self.order[d, self.ends[d, k0] - self.size[d, k0] : self.ends[d, k1]])
+                gains.append(np.repeat(gain[d, k0 : k1 + 1], self.size[d, k0 : k1 + 1]))
             if at:
                 gained += np.bincount(np.concatenate(at), np.concatenate(gains), n)
             # The best so far, scored exactly, raise the bar; rest bounds what any vector may still gain.
+            rest = slack + float(np.where(done, 0.0, gain).max(1).sum())
             near = np.argpartition(-gained, min(4 * k, n - 1))[: 4 * k + 1]
             near = near[others[near]]
             if len(near) >= k:
-                bar = max(bar, float(np.sort(self.x[near] @ q[:dims])[-k]))
-            left = np.flatnonzero((gained + (least + rest) >= bar) & others)
+                bar = max(bar, float(np.sort(self.x[near] @ q)[-k]))
+            left = np.flatnonzero((gained >= bar - least - rest) & others)
             if len(left) <= max(8 * k, n // 50):
                 break
-        scores = self.x[left] @ q[:dims]
-        keep = np.lexsort((self.ids[left], -scores))[: k]
+        scores = self.x[left] @ q
+        keep = np.lexsort((self.ids[left], -scores))[:k]
         return self.ids[left][keep], scores[keep]
 
 
