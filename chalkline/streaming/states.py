@@ -58,9 +58,9 @@ def replay(df: DataFrame, part: Column, parts: int, transform) -> DataFrame:
     spark: SparkSession = df.sparkSession
     source, sink = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
     numbered = df.withColumn("part", part)
-    for number in range(1, parts + 1):  # one file a part, so that each is a micro-batch
-        numbered.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(source)
-    out = transform(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source))
-    query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for number in range(1, parts + 1):  # each run takes up what the last one left: its state and its place in the files
+        numbered.where(F.col("part") == number).drop("part").write.mode("append").parquet(source)
+        out = transform(spark.readStream.schema(df.schema).parquet(source))
+        query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
