@@ -3,9 +3,11 @@
 A document's set is that of its distinct word n-grams as 64-bit hashes.  Equal
 sets are one.  Two sets can be as similar as asked only if they share a member of
 their prefixes (the first members in one global order, as many as the sets may
-differ by).  A tile holds the sets with one common prefix member whose sizes form
-a band, that is, follow one another within the similarity; tiles too large for
-one task are dealt as pairs of blocks.  In a tile, parity bitmaps of the sets
+differ by), or several if the prefixes are longer by as many.  A tile holds the
+sets with one common prefix member whose sizes form a band, that is, follow one
+another within the similarity; a set in fewer tiles than a similar one would
+share with it leaves them all.  Tiles too large for one task are dealt as pairs
+of blocks.  In a tile, parity bitmaps of the sets
 bound every overlap from above: each bit in which two bitmaps differ stands for
 at least one element that the sets don't share.  Pairs that pass are intersected
 exactly as sorted arrays.
@@ -35,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chalkline.llm.common import batches, lists, read, write_table
@@ -43,6 +45,8 @@ from chalkline.llm.components import components
 
 #: N-grams put last in the order; sets of a tile (or of each side of a pair of blocks) in one task.
 HOT, TILE = 65_536, 1_024
+#: Prefixes are longer by this fraction, so that as many members must be shared.
+SHARE = 4
 REMEMBERED = 500_000
 
 
@@ -53,8 +57,22 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
+    def overlap(self, n: int) -> int:
+        """The smallest intersection, and the smallest set, that is similar to a set of n."""
+        return -(-self.percent * n // 100)
+
+    def shared(self, n: int) -> int:
+        """Prefix members that two similar sets share, the smaller of which has n."""
+        return min(1 + (n - self.overlap(n) + 1) // SHARE, self.overlap(n))
+
     def prefix(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1
+        return n - self.overlap(n) + self.shared(n)
+
+    def needed(self, n: str) -> Column:
+        """``shared`` of the smallest set that is similar to one of size ``n`` (a column)."""
+        least = f"(({self.percent} * {n} + 99) div 100)"
+        overlap = f"(({self.percent} * {least} + 99) div 100)"
+        return F.expr(f"least(1 + ({least} - {overlap} + 1) div {SHARE}, {overlap})")
 
     def difference(self, both: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of two similar sets whose sizes add up to ``both``."""
@@ -165,6 +183,11 @@ def tile_rows(unique: DataFrame, s: Similarity) -> DataFrame:
     return tiles.withColumn("band", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("token", "band", "key", "n")
 
 
+def frequent(tiles: DataFrame, s: Similarity) -> DataFrame:
+    """Rows of the sets that lie in as many of the tiles as a similar pair shares."""
+    return tiles.withColumn("tiles", F.count("*").over(Window.partitionBy("key"))).where(F.col("tiles") >= s.needed("n")).drop("tiles")
+
+
 def first_partners(tiles: DataFrame, s: Similarity) -> DataFrame:
     """For each set the first of a tile that it meets in most tiles: (a, b)."""
     order = Window.partitionBy("token", "band").orderBy("n", "key")
@@ -173,10 +196,19 @@ def first_partners(tiles: DataFrame, s: Similarity) -> DataFrame:
     return fitting.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Tiles that span components, with components and bitmaps, cut into pairs of blocks where they are large."""
+def spans_of(tiles: DataFrame) -> DataFrame:
+    """(token, band, size) of the tiles with sets of several components."""
+    return tiles.groupBy("token", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").drop("low", "high")
+
+
+def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
+    """Tiles that span components, with components and bitmaps, cut into pairs of blocks where they are large.
+
+    Similar sets of two components share only such tiles, so sets in too few of them are left out first.
+    """
     known = tiles.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    spans = known.groupBy("token", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    known = write_table(frequent(known.join(spans_of(known), ["token", "band"], "left_semi"), s), "open")
+    spans = spans_of(known)
     blocks = (F.col("size") / TILE).cast("int") + 1
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     rows = known.join(spans.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("own", own)
@@ -310,14 +342,14 @@ def join_components(df: DataFrame, s: Similarity = Similarity(), doc_id: str = "
     first = write_table(full.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "firsts")
     stands = first.select(F.col("first").alias("doc_id"), F.col("high").alias("h"), F.col("low").alias("l"))
     unique = full.join(stands, "doc_id").where("high = h AND low = l")
-    tiles = write_table(tile_rows(unique, s), "tiles")
+    tiles = write_table(frequent(tile_rows(unique, s), s), "tiles")
     sets = write_table(candidate_sets(docs, tiles, s), "candidates", "none")
 
     same = full.join(first, ["high", "low"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     linked = write_table(links(first_partners(tiles, s), sets, s), "links")
     found = components(linked)
     for every in (False, True):
-        more = write_table(links(fitting_pairs(open_tiles(tiles, found, sets), s, every), sets, s), "links")
+        more = write_table(links(fitting_pairs(open_tiles(tiles, found, sets, s), s, every), sets, s), "links")
         linked = linked.union(more)
         found = components(linked)
     # Ids with equal sets hang under the first of them; ids with several sets tie components together.
