@@ -97,6 +97,74 @@ def coarse_windows(changes: DataFrame, quiet_seconds: float = 1.0) -> DataFrame:
     return changes.groupBy("video_id").applyInPandas(fold, schema)
 
 
+SENTINELS = (
+    "video_id string, previous_frame_index int, frame_index int, previous_timestamp_seconds double, timestamp_seconds double, "
+    "activity_window_index int, kind string, change_score double, changed_pixel_ratio double"
+)
+
+
+def bridged(windows: list[tuple], pairs: pd.DataFrame, frames: int, duration: float, fps: float, stable: float) -> list[tuple]:
+    """Rows of one lecture: the ordered pairs within (index, start, end) of each window, and quiet rows over the time between."""
+    out, at, frame, last = [], 0.0, 0, max(frames - 1, 0)
+
+    def add(previous: int, target: int, since: float, until: float, *rest) -> None:
+        nonlocal at, frame
+        out.append((int(previous), int(target), float(since), float(until), *rest))
+        at, frame = float(until), int(target)
+
+    def bridge(until: float, target: int) -> None:
+        target = min(max(target, frame + 1), last)
+        if until > at and target > frame:
+            add(frame, target, at, until, None, "NONE", 0.0, 0.0)
+
+    def placed(number: int, seconds: float) -> int:
+        return min(max(number, frame + 1) if out and seconds > at else number, last)
+
+    for index, start, end in windows:
+        if start - at >= stable:
+            bridge(start, round(start * fps) - 1)
+        previous = None
+        lo, hi = pairs.previous_timestamp_seconds.searchsorted(start, "left"), pairs.timestamp_seconds.searchsorted(end, "right")
+        for p in pairs.iloc[lo:hi].itertuples():
+            if previous is None:
+                previous = placed(p.previous_frame_index, p.previous_timestamp_seconds)
+            now = placed(p.frame_index, p.timestamp_seconds)
+            target = min(max(previous + 1, now), last)
+            if target > previous and target > frame and p.previous_timestamp_seconds >= at:
+                add(previous, target, p.previous_timestamp_seconds, p.timestamp_seconds, int(index), p.kind, p.change_score, p.changed_pixel_ratio)
+            previous = now
+    if not out:
+        until = min(duration, max(stable, 0.1))
+        add(0, min(max(1, round(until * fps)), max(1, last)), 0.0, until, None, "NONE", 0.0, 0.0)
+    if duration - at >= stable:
+        until = min(duration, max(at, last / max(fps, 0.001)))
+        bridge(until, round(until * fps))
+    return out
+
+
+def quiet_sentinels(windows: DataFrame, fine_pairs: DataFrame, timeline: DataFrame, c: StateConfig = StateConfig()) -> DataFrame:
+    """Pairs within the activity windows, and one quiet row for each longer stretch between them that was not looked at.
+
+    ``timeline`` has frame_count and duration_seconds of each lecture; a lecture
+    without windows gets quiet rows only.  Times are compared unrounded.
+    """
+    spans = timeline.join(windows.select("video_id", "window_index", "start_seconds", "end_seconds"), "video_id", "left")
+    spans = spans.select("video_id", "frame_count", "duration_seconds", "window_index", "start_seconds", "end_seconds")
+
+    def fold(spans: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        names = [x.split()[0] for x in SENTINELS.split(", ")]
+        if spans.empty or not spans.duration_seconds.iloc[0] > 0:
+            return pd.DataFrame([], columns=names)
+        pairs = pairs.sort_values(["timestamp_seconds", "frame_index"], kind="stable")
+        frames, duration = int(spans.frame_count.iloc[0]), float(spans.duration_seconds.iloc[0])
+        own = spans[spans.window_index.notna()].sort_values(["start_seconds", "window_index"])[["window_index", "start_seconds", "end_seconds"]]
+        rows = bridged(list(own.itertuples(index=False)), pairs, frames, duration, frames / duration, c.stable_seconds)
+        made = pd.DataFrame([(spans.video_id.iloc[0], *r) for r in rows], columns=names)
+        return made.astype({"activity_window_index": "Int64"})
+
+    return spans.groupBy("video_id").cogroup(fine_pairs.groupBy("video_id")).applyInPandas(fold, SENTINELS)
+
+
 class StateMachine:
     """The checkpoint rules, one lecture's rows in order; usable row by row (batch and stream share it)."""
 

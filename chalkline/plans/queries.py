@@ -395,6 +395,11 @@ def coarse_activity_windows(x):
     return chg.coarse_windows(x.changes)
 
 
+@query()
+def quiet_sentinels(x):
+    return chg.quiet_sentinels(x.seed_windows, x.changes, x.timeline)
+
+
 @query("SELECT * FROM stable")
 def stable_states(x):
     return chg.stable_states(x.changes)

@@ -36,6 +36,19 @@ def test_stable_states(spark, kinds, fps, config, expected):
     assert [(r.reason, r.frame_index, r.activity_pair_count_since_previous) for r in got] == expected
 
 
+def test_quiet_sentinels(spark):
+    """10 fps, 100 frames: a window from 3 to 4 s, a lecture without windows, and one shorter than a stable stretch."""
+    timeline = spark.createDataFrame([("a", 100, 10.0), ("b", 100, 10.0), ("c", 10, 1.0)], "video_id string, frame_count long, duration_seconds double")
+    windows = spark.createDataFrame([("a", 0, 3.0, 4.0)], "video_id string, window_index int, start_seconds double, end_seconds double")
+    pairs = spark.createDataFrame(change_rows([("LOCAL", 3, 0.01)] * 99, 10), CHANGES)
+    got = chg.quiet_sentinels(windows, pairs, timeline).orderBy("video_id", "timestamp_seconds").collect()
+    a = [r for r in got if r.video_id == "a"]
+    assert [(r.previous_frame_index, r.frame_index, r.timestamp_seconds, r.kind) for r in (a[0], a[-1])] == [(0, 29, 3.0, "NONE"), (40, 99, 9.9, "NONE")]
+    assert [r.frame_index for r in a[1:-1]] == list(range(31, 41)) and {r.activity_window_index for r in a[1:-1]} == {0}
+    assert [(r.frame_index, r.timestamp_seconds, r.activity_window_index) for r in got if r.video_id == "b"] == [(12, 1.25, None), (99, 9.9, None)]
+    assert [(r.frame_index, r.timestamp_seconds) for r in got if r.video_id == "c"] == [(9, 1.0)]
+
+
 def test_states_without_rows(spark):
     assert chg.stable_states(spark.createDataFrame([], CHANGES)).count() == 0
 
