@@ -149,7 +149,8 @@ def quiet_sentinels(windows: DataFrame, fine_pairs: DataFrame, timeline: DataFra
     without windows gets quiet rows only.  Times are compared unrounded.
     """
     spans = timeline.join(windows.select("video_id", "window_index", "start_seconds", "end_seconds"), "video_id", "left")
-    spans = spans.select("video_id", "frame_count", "duration_seconds", "window_index", "start_seconds", "end_seconds")
+    # Named anew: both sides of the cogroup may come from one table.
+    spans = spans.select(*(F.col(x).alias(x) for x in ("video_id", "frame_count", "duration_seconds", "window_index", "start_seconds", "end_seconds")))
 
     def fold(spans: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in SENTINELS.split(", ")]
