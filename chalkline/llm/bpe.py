@@ -8,6 +8,9 @@ first and the ids of whole words are kept as well.  Bytes are shown to the libra
 decoding reverses the table, and characters that tokens split are put together
 again because bytes are joined before they are read as UTF-8.
 
+The added tokens of a .json vocabulary (such as <|endoftext|>) are found first,
+as the library does; what stands between them is encoded as said above.
+
 Null texts count as empty.  Rows are independent: repeated rows, ties and extra
 columns pass through; an empty table gives an empty result.  Texts of any
 length are handled whole, in slices of Arrow batches of bounded size.
@@ -60,6 +63,19 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
     return out
 
 
+@lru_cache(4)
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Added token -> id of a tokenizers .json file; rank files have none."""
+    if not vocabulary.endswith(".json"):
+        return {}
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(vocabulary).get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in found.values()):
+        raise ValueError(f"{vocabulary}: added tokens that depend on their neighbours are not supported")
+    return {t.content: i for i, t in found.items()}
+
+
 @lru_cache(4)
 def model(vocabulary: str):
     """(BPE model, bytes of each id) of a .tiktoken rank file or a tokenizers .json file."""
@@ -70,9 +86,11 @@ def model(vocabulary: str):
         back = {c: b for b, c in byte_table().items()}
         words = sorted((i, w) for w, i in bpe.get_vocab(with_added_tokens=False).items())
         special = {i for i, t in bpe.get_added_tokens_decoder().items() if t.special}
-        table = [b""] * (1 + max([i for i, _ in words], default=-1))
+        table = [b""] * (1 + max([i for i, _ in words] + [*added_tokens(vocabulary).values()], default=-1))
         for i, w in words:
             table[i] = w.encode() if i in special else bytes(back[c] for c in w)
+        for w, i in added_tokens(vocabulary).items():
+            table[i] = w.encode()
         return bpe.model, table
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -126,20 +144,28 @@ class Words(dict):
 
 
 class Encoder:
-    """Ids of whole texts; one per Python worker."""
+    """Ids of whole texts; one per Python worker.  Added tokens are ordinary text unless ``added``."""
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, added: bool = False):
         import regex
 
         self.split = regex.compile(pattern).findall
         self.pieces = Pieces(model(vocabulary)[0])
         self.words = Words(self.pieces, self.split)
+        self.added = {w: np.array([i], "<u4") for w, i in added_tokens(vocabulary).items()} if added else {}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def of_pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        first, *rest = (text or "").split(" ")
+        text = text or ""
+        if any(map(text.__contains__, self.added)):
+            return np.concatenate([self.added[x] if i % 2 else self.plain(x) for i, x in enumerate(self.cut(text))])
+        return self.plain(text)
+
+    def plain(self, text: str) -> np.ndarray:
+        first, *rest = text.split(" ")
         try:
             if first[-1:].isspace():
                 raise Uneven
@@ -151,7 +177,7 @@ class Encoder:
 
 @lru_cache(4)
 def encoder(vocabulary: str, pattern: str) -> Encoder:
-    return Encoder(vocabulary, pattern)
+    return Encoder(vocabulary, pattern, added=True)
 
 
 @lru_cache(4)

@@ -69,6 +69,24 @@ def test_encode_fuzz(vocabularies):
         assert own(text).tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_as_the_library_finds_them(spark, vocabularies):
+    from tokenizers import Tokenizer
+
+    path, pattern = vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN
+    other, own = Tokenizer.from_file(path), bpe.encoder(path, pattern)
+    rng, parts = np.random.default_rng(1), [" ", "  ", "\n", "'s", "the", "12", "é", "x.", "<|endoftext|>", "<|endoftext|>", "<|endof", "|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(2000))]
+    for text in texts:
+        assert own(text).tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
+    rows = list(enumerate(texts[:60]))
+    folder = f"{shared_dir(spark)}/files-added"
+    token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string"), path, pattern, 2, folder)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_files(spark, folder).collect()}
+    assert got == {i: [*other.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    back = bpe.decode(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, pattern), path).collect()
+    assert all(bytes(r.decoded).decode() == r.text for r in back)
+
+
 def test_huffman_is_optimal_and_limited():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144])
     free, limited = token_files.code_lengths(counts, 16), token_files.code_lengths(counts, 5)
