@@ -236,12 +236,13 @@ class Library:
 
     @table
     def windows(self):
-        raw = chg.coarse_windows(self.changes.where("frame_index % 4 = 0"))
+        """Activity windows over all changes, merged."""
+        raw = chg.coarse_windows(self.changes)
         return chg.merge_windows(raw, self.timeline.select("video_id", F.col("duration_seconds").alias("duration")))
 
     @table
     def window_seeds(self):
-        """Small windows around scene changes of every eighth sample, to be merged."""
+        """Small windows around strong changes, to be merged: of every eighth sample only, as the SQL has it."""
         rows = self.changes.where("kind IN ('SCENE', 'STRUCTURAL') AND frame_index % 8 = 0")
         order = Window.partitionBy("video_id").orderBy("frame_index")
         return rows.select(

@@ -397,7 +397,7 @@ def coarse_activity_windows(x):
 
 @query()
 def quiet_sentinels(x):
-    return chg.quiet_sentinels(x.seed_windows, x.changes, x.timeline)
+    return chg.quiet_sentinels(x.windows, x.changes, x.timeline)
 
 
 @query("SELECT * FROM stable")

@@ -135,3 +135,25 @@ def test_lineage_cascades(spark):
     fresh = lineage.artifact_freshness(spark.createDataFrame(rows, "video_id string, stage string, input string, recorded_version int"), spark.createDataFrame([("v", "in", 1)], "video_id string, input string, version int"))
     got = {r.stage: r.status for r in lineage.stale_cascade(fresh).collect()}
     assert got["changes"] == got["transcript"] == "FRESH" and got["states"] == got["coverage"] == got["topics"] == "STALE"
+
+
+def test_windows_come_from_every_change(spark):
+    """Strong changes at odd frames and a run of LOCAL ones each open a window; quiet_sentinels keeps their pairs."""
+    from chalkline.plans import queries
+    from chalkline.plans.library import Library
+
+    class Fixture(Library):
+        @property
+        def changes(self):
+            busy = {101: "SCENE", 303: "STRUCTURAL", 501: "LOCAL", 502: "LOCAL", 701: "LOCAL"}
+            rows = [("a", i - 1, i, (i - 1) / 10, i / 10, busy.get(i, "NONE"), 50.0 if i in busy else 0.0, 0.1) for i in range(1, 1000)]
+            return spark.createDataFrame(rows, "video_id string, previous_frame_index int, frame_index int, previous_timestamp_seconds double, timestamp_seconds double, kind string, change_score double, changed_pixel_ratio double")
+
+        @property
+        def timeline(self):
+            return spark.createDataFrame([("a", 1000, 99.9, 99.9)], "video_id string, frame_count long, duration_seconds double, last_timestamp_seconds double")
+
+    x = Fixture(spark, "")
+    assert [(round(r.start_seconds, 1), round(r.end_seconds, 1)) for r in x.windows.orderBy("window_index").collect()] == [(9.0, 12.1), (29.2, 32.3), (49.1, 52.2)]
+    made = getattr(queries.quiet_sentinels, "__wrapped__", queries.quiet_sentinels)(x).collect()
+    assert {r.frame_index for r in made if r.kind != "NONE"} == {101, 303, 501, 502}
