@@ -1,11 +1,13 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 Texts are cut, in UTF-8, after white space where the gear hash of the last 16
-bytes is small, so an insertion moves the cuts near it only.  Chunks are told
-apart by their 64-bit digests.  The first occurrence of a chunk, by doc_id and
-place, stays; adjacent chunks that are repeats form a run, and runs of at least
-``min_bytes`` are removed from the text.  A digest on its own never removes
-anything: a run spans several chunks.
+bytes is small, so an insertion moves the cuts near it only.  
+What is compared are spans: the adjacent chunks from each chunk on, and up to
+each chunk, that just reach ``min_bytes``, told apart by a 64-bit digest of their chunks' digests.
+The first occurrence of a span, by doc_id and place, stays; those that are
+repeats as a whole are removed from the text.  Chunks that are known singly but
+never stood side by side are no repeat.  Any longer passage between two cuts is
+the union of such spans, so it is found whole.
 
 Skew: a digest is shuffled once for each slice of the input at most; later
 occurrences in a slice are repeats for certain and go straight to their document.
@@ -74,13 +76,25 @@ def chunk_ends(data: bytes, s: Settings) -> list[int]:
     return ends
 
 
+def spans_of(ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of the spans that reach ``min_bytes`` and do not without their first or without their last chunk."""
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    i, j = np.arange(len(ends)), np.arange(len(ends))
+    to = np.searchsorted(ends, starts + s.min_bytes, "left")
+    since = np.searchsorted(starts, ends - s.min_bytes, "right") - 1
+    first, last = np.concatenate([i[to < len(ends)], since[since >= 0]]), np.concatenate([to[to < len(ends)], j[since >= 0]])
+    pairs = np.unique(first << 32 | last)
+    return pairs >> 32, pairs & (1 << 32) - 1
+
+
 # A place in a document in one integer: 16 bits of the text's checksum, 36 of the start, 10 of the length.
 def tag_of(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFF
 
 
 def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc long, tag int, places array<long>: the chunks of each document that occur before, elsewhere or in it."""
+    """doc long, tag int, places array<long>: the spans of each document that occur before, elsewhere or in it."""
+    assert s.min_bytes + s.max_chunk <= 1024, "a span's length must fit in its place"
 
     def chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -92,7 +106,10 @@ def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", tex
                 data = value.encode()
                 ends = np.array(chunk_ends(data, s), np.int64)
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                keys.append(np.fromiter((digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends)))
+                chunk = np.fromiter((digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends)).tobytes()
+                first, last = spans_of(ends, s)
+                starts, ends = starts[first], ends[last]
+                keys.append(np.fromiter((digest(chunk[8 * i : 8 * j + 8]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(ends)))
                 docs.append(np.full(len(ends), doc, np.int64))
                 places.append(tag_of(data) << 46 | starts << 10 | ends - starts)
             key, doc, place = np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places)
@@ -121,7 +138,7 @@ def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", tex
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.col("text") != ""))
     dealt = rows.mapInArrow(chunks, "key long, doc long, place long, known boolean").repartition("key").sortWithinPartitions("known", "key", "doc", "place")
     found = dealt.mapInArrow(later, "doc long, place long").groupBy("doc", F.shiftright("place", 46).cast("int").alias("tag"))
-    return found.agg(F.sort_array(F.collect_set("place")).alias("places"))  # the chunks of one document
+    return found.agg(F.sort_array(F.collect_set("place")).alias("places"))  # the spans of one document
 
 
 def _later(key: np.ndarray, doc: np.ndarray, place: np.ndarray, first: tuple | None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +155,12 @@ def _later(key: np.ndarray, doc: np.ndarray, place: np.ndarray, first: tuple | N
 
 
 def runs(places: list[int], min_bytes: int) -> list[tuple[int, int]]:
-    """(start, end) in bytes of runs of adjacent places that are long enough."""
+    """(start, end) in bytes of runs of adjacent or overlapping places, in order, that are long enough."""
     out: list[list[int]] = []
     for p in places:
         start, end = p >> 10 & (1 << 36) - 1, (p >> 10 & (1 << 36) - 1) + (p & 1023)
-        if out and out[-1][1] == start:
-            out[-1][1] = end
+        if out and out[-1][1] >= start:
+            out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
     return [(a, b) for a, b in out if b - a >= min_bytes]

@@ -228,6 +228,39 @@ def test_substring_dedup_against_plain_python(spark, odd, empty):
     assert substring_dedup.dedupe(empty).count() == 0
 
 
+def test_known_phrases_in_a_new_order_stay(spark):
+    s = substring_dedup.Settings()
+    rng = np.random.default_rng(6)
+    prose = " ".join(f"{rng.integers(0, 10**6)}" for _ in range(3000))
+    ends = substring_dedup.chunk_ends(prose.encode(), s)
+    chunks = [prose[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    phrases = [c for c in chunks[1:-1] if 16 <= len(c) < s.min_bytes][:120]  # each is a chunk after whatever ends as its neighbour did
+    known, mixed = "".join(chunks), "".join(phrases[i] for i in rng.permutation(len(phrases)))
+    got = {r.doc_id: r for r in substring_dedup.dedupe(spark.createDataFrame([(1, known), (2, mixed), (3, "start " + mixed)], "doc_id long, text string")).collect()}
+    ends = substring_dedup.chunk_ends(mixed.encode(), s)
+    again, run, longest = set(chunks), 0, 0
+    for a, b in zip([0, *ends], ends, strict=False):
+        run = run + b - a if mixed[a:b] in again else 0
+        longest = max(longest, run)
+    assert longest >= s.min_bytes  # chunks known singly do make long runs
+    assert got[1].removed_bytes == 0 and got[2].text == mixed and got[3].removed_bytes > 0.9 * len(mixed)
+
+
+def test_spans_cover_every_long_passage():
+    s, rng = substring_dedup.Settings(), np.random.default_rng(7)
+    for _ in range(200):
+        ends = np.cumsum(rng.integers(1, 140, rng.integers(0, 9)))
+        bounds = [0, *ends.tolist()]
+        first, last = substring_dedup.spans_of(ends, s)
+        spans = [(bounds[i], bounds[j + 1]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+        assert all(y - x >= s.min_bytes and x in bounds and y in bounds for x, y in spans)
+        for i, x in enumerate(bounds):
+            for y in bounds[i + 1 :]:
+                if y - x >= s.min_bytes:
+                    inside = {k for p, q in spans if x <= p and q <= y for k in range(p, q)}
+                    assert inside == set(range(x, y))
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (400, 16))
