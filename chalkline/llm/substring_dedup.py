@@ -1,7 +1,12 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 Texts are cut, in UTF-8, after white space where the gear hash of the last 16
-bytes is small, so an insertion moves the cuts near it only.  
+bytes is small, so an insertion moves the cuts near it only.  Stretches of
+``min_bytes`` or more without ASCII white space (scripts that do not part words,
+unbroken data) are also cut after any character where that hash is smaller
+still.  Only where neither comes within ``max_chunk`` is a cut forced; that
+leaves periodic stretches and very rare others.
+
 What is compared are spans: the adjacent chunks from each chunk on, and up to
 each chunk, that just reach ``min_bytes``, told apart by a 64-bit digest of their chunks' digests.
 The first occurrence of a span, by doc_id and place, stays; those that are
@@ -40,6 +45,7 @@ class Settings:
     min_chunk: int = 8
     max_chunk: int = 512
     min_bytes: int = 96
+    unspaced_share: int = 16  # of 256: within stretches without white space, a character in sixteen is a cut
 
 
 def _gear() -> np.ndarray:
@@ -62,8 +68,15 @@ def chunk_ends(data: bytes, s: Settings) -> list[int]:
         shifted = h.copy()
         shifted[step:] += h[:-step] << np.uint32(step)
         h = shifted
+    h >>= np.uint32(24)
+    space = SPACES[raw]
+    may = (h < s.cut_share) & space
+    lengths = np.diff(np.flatnonzero(space), prepend=-1, append=len(data))  # stretches, each with the space behind it
+    if lengths.max() > s.min_bytes:
+        character_ends = np.append(raw[1:] & 0xC0 != 0x80, True)[: len(data)]
+        may |= np.repeat(lengths > s.min_bytes, lengths)[: len(data)] & character_ends & (h < s.unspaced_share)
     ends, last = [], 0
-    for cut in [*(np.flatnonzero(((h >> np.uint32(24)) < s.cut_share) & SPACES[raw]) + 1).tolist(), len(data)]:
+    for cut in [*(np.flatnonzero(may) + 1).tolist(), len(data)]:
         while cut - last > s.max_chunk:
             forced = last + s.max_chunk
             while forced > last + 1 and data[forced] & 0xC0 == 0x80:  # not within a character

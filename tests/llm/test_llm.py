@@ -261,6 +261,19 @@ def test_spans_cover_every_long_passage():
                     assert inside == set(range(x, y))
 
 
+def test_shared_passage_without_spaces_at_any_offset(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    shared = text(700)
+    rows = [(i, text(101 + 7 * i) + shared + text(150)) for i in range(12)] + [(20, text(900))]
+    got = {r.doc_id: r for r in substring_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].removed_bytes == got[20].removed_bytes == 0
+    for i, value in rows[1:12]:
+        at, size = len(value[: 101 + 7 * i].encode()), len(shared.encode())
+        inside = sum(max(0, min(x.end, at + size) - max(x.start, at)) for x in got[i].removed_spans)
+        assert inside == got[i].removed_bytes >= 0.7 * size
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (400, 16))
