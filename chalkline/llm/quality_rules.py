@@ -1,7 +1,8 @@
 """Line-first quality rules, in DataFrame functions only.
 
 Every line with a word is judged first: a line fails when symbols make up too
-much of it, when it is written in capitals only, when it is a menu (separators
+much of it, when it is written in capitals only (capitals, no small letter, and
+not mostly letters of a caseless script), when it is a menu (separators
 or nothing but link names) or when it holds a phrase of site boilerplate.
 Failing lines are removed; a document that loses too much of its text with them
 is rejected, and so is one that is too short or repeats itself (base rules).
@@ -51,7 +52,7 @@ def line_passes(line: Column, rules: Rules) -> Column:
     """The verdict on one line that has a word."""
     long_enough = F.length(line) >= rules.min_line_chars
     symbols = long_enough & (100 * _count(line, SYMBOLS) > rules.max_symbol_share * F.length(line))
-    capitals = long_enough & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}")
+    capitals = long_enough & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}") & (2 * _count(line, r"\p{Lu}") > _count(line, r"\p{L}"))
     menu = line.rlike(rules.link_names) | (_count(line, rules.separators) > rules.max_separators)
     return ~(symbols | capitals | menu | line.rlike(rules.boilerplate))
 
@@ -116,7 +117,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_sql(rules: Rules = Rules()) -> str:
-    """SQL of op3_quality_rules, over the table documents."""
+    """SQL of op3_quality_rules, over the table documents.
+
+    It fails every line with a capital and no small letter: equal to judge()
+    unless most letters of such a line are caseless.
+    """
     count = lambda x, p: f"(length({x}) - length(regexp_replace({x}, '{p}', '', 'g')))"
     line_fails = (
         f"(length(x) >= {rules.min_line_chars} AND 100 * {count('x', SYMBOLS)} > {rules.max_symbol_share} * length(x))"

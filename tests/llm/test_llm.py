@@ -139,6 +139,14 @@ def test_rules_against_plain_python(spark, odd, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_caseless_lines_with_an_acronym_stay(spark):
+    clean = "".join(f"هذا سطر عربي رقم {i} عن DNA وعن ورق A4 في المدرسة\n" for i in range(30))
+    rows = [(1, clean), (2, PROSE + "\nALL IN CAPITALS, 1 LINE OF IT"), (3, PROSE + "\n中文 THIS IS LOUD AND LONG")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept_chars == got[1].line_chars and "DNA" in got[1].cleaned_text
+    assert got[2].cleaned_text == got[3].cleaned_text == PROSE
+
+
 def grams(text, n):
     w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
