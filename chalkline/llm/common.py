@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +27,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; only where the cluster names none is one set."""
+    """The cluster's shared scratch folder; in local mode, where none may be named, one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chalkline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def write_table(df: DataFrame, name: str, codec: str = "zstd", folder: str | None = None) -> DataFrame:
     """Cut the lineage: write Parquet in the shared folder and read it back.
 
-    Tables survive the loss of any executor.  They are scratch data, so the
-    folder's owner removes them with the folder.
+    Tables survive the loss of any executor.  They are scratch data: what lies in
+    a ``folder`` of scratch_folder() goes with it, the rest with the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(folder or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder under the shared one, removed with its tables when they have served."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def batches(source: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in source:

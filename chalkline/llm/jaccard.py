@@ -1,32 +1,33 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersections.
 
 A document's set is that of its distinct word n-grams as 64-bit hashes.  Equal
-sets are one.  Two sets can be as similar as asked only if they share a member of
-their prefixes (the first members in one global order, as many as the sets may
-differ by), or several if the prefixes are longer by as many.  A tile holds the
-sets with one common prefix member whose sizes form a band, that is, follow one
-another within the similarity; a set in fewer tiles than a similar one would
-share with it leaves them all.  Tiles too large for one task are dealt as pairs
-of blocks.  In a tile, parity bitmaps of the sets
-bound every overlap from above: each bit in which two bitmaps differ stands for
-at least one element that the sets don't share.  Pairs that pass are intersected
-exactly as sorted arrays.
+sets are one.  Two sets can be as similar as asked only if they share several
+members of their prefixes (the first members in one global order, as many as the
+sets may differ by and as many more as they must share).  A tile holds the sets
+with one common prefix member whose sizes have one band, a power of two; sets
+that may be similar to larger ones are guests in the next band, where guests
+don't meet each other.  A set in fewer tiles of a band than a similar one would
+share with it leaves them all, and of those it must share it may leave half, the
+largest.  Tiles too large for one task are dealt as pairs of blocks.  In a tile,
+parity bitmaps of the sets bound every overlap from above: each bit in which two
+bitmaps differ stands for at least one element that the sets don't share.  Pairs
+that pass are intersected exactly as sorted arrays.
 
 Only components are asked for, so pairs within one component need no test.  Two
-rounds test one pair a set (its first, then its nearest partner outside its
-component); a last round tests all pairs that still span components.  No link
-between different components is lost, and a group of m copies costs about m
-tests instead of m * m.
+rounds test one pair a set (a smallest set of about its size that shares most
+tiles, then its nearest partner outside its component); a last round tests all
+pairs that still span components.  No link between different components is
+lost, and a group of m copies costs about m tests instead of m * m.
 
-The global order puts the HOT commonest n-grams of a sixteenth of the documents
-last.  Any order gives the same result; this one keeps common passages out of
-the prefixes.
+The global order puts the HOT commonest n-grams of a sample of at most SAMPLE
+documents last.  Any order gives the same result; this one keeps common passages
+out of the prefixes.
 
 Null and empty texts have empty sets and are linked with nothing.  Rows with a
 null id have a null component.  Repeated rows are one document.  An id that
-comes with several texts links through any equal set, and is searched by one of
-those for which it stands.  Extra columns are left out; an empty table gives an
-empty result.
+comes with several texts has several sets, all of one component.  Ties don't
+arise: a component's id is the smallest of its documents.  Extra columns are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,17 +35,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import batches, lists, read, write_table
+from chalkline.llm.common import batches, lists, read, scratch_folder, write_table
 from chalkline.llm.components import components
 
-#: N-grams put last in the order; sets of a tile (or of each side of a pair of blocks) in one task.
-HOT, TILE = 65_536, 1_024
+#: N-grams put last in the order, from a sample of as many documents.
+HOT, SAMPLE = 131_072, 1 << 20
+#: Sets of a tile (or of each side of a pair of blocks) in one task; partners of a set intersected in one task.
+TILE, PARTNERS = 1_024, 128
+#: Words of bitmaps compared at once.
+AT_ONCE = 1 << 21
 #: Prefixes are longer by this fraction, so that as many members must be shared.
 SHARE = 4
 REMEMBERED = 500_000
@@ -98,19 +104,26 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Ascending distinct hashes of the n-grams; the whole sequence where it is shorter."""
-    tokens = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space
-    if not tokens:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, tokens), np.uint64, len(tokens))
-    k = min(words, len(h))
-    n = len(h) - k + 1
-    mixed = np.full(n, k, np.uint64)
+def ngrams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-grams of a sequence of word hashes."""
+    mixed = np.full(max(0, len(h) - k + 1) if k else 0, k, np.uint64)
     for i in range(k):
-        mixed = (mixed ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ h[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed * np.uint64(0xD6E8FEB86659FD93))
+    return mixed * np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Ascending distinct hashes of the n-grams of each text; the whole sequence where it is shorter."""
+    tokens = [(x or "").encode().lower().split() for x in texts]  # bytes: A-Z only, ASCII white space
+    sizes = list(map(len, tokens))
+    h = np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(tokens)), np.uint64, sum(sizes))
+    mixed = ngrams(h, words)
+    out, at = [], 0
+    for n in sizes:
+        out.append(np.unique(mixed[at : at + n - words + 1] if n >= words else ngrams(h[at : at + n], n)))
+        at += n
+    return out
 
 
 def bitmap(members: np.ndarray, bits: int) -> bytes:
@@ -119,28 +132,16 @@ def bitmap(members: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, all folded to the shortest."""
-    width = min(map(len, maps))
-    out = np.empty((len(maps), width // 8), np.uint64)
-    for i, m in enumerate(maps):
-        row = np.frombuffer(m, np.uint64)
-        while len(row) > width // 8:
-            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
-        out[i] = row
-    return out
-
-
 def hot_members(docs: DataFrame, s: Similarity) -> np.ndarray:
-    """The commonest n-grams of a sixteenth of the documents: at most HOT, each in eight of them or more."""
+    """The commonest n-grams of a sixteenth of the documents, or SAMPLE of them: at most HOT, each in eight of them or more."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "text", 1 << 20):
-            found = [shingles(x, s.words) for x in batch.column("text").to_pylist()]
-            member, n = np.unique(np.concatenate(found), return_counts=True)
+            member, n = np.unique(np.concatenate(shingles(batch.column("text").to_pylist(), s.words)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(member.view(np.int64)), pa.array(n)], ["member", "n"])
 
-    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("text").mapInArrow(run, "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    one_in = max(16, -(-docs.count() // SAMPLE))
+    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
     rows = counts.where("n >= 8").orderBy(F.desc("n"), "member").limit(HOT).select("member").collect()
     return np.sort(np.array([r.member for r in rows], np.int64).view(np.uint64))
 
@@ -153,8 +154,7 @@ def set_rows(docs: DataFrame, s: Similarity, hot: np.ndarray) -> DataFrame:
 
         for batch in batches(source, "text"):
             n, digests, prefixes = [], [], []
-            for text in batch.column("text").to_pylist():
-                members = shingles(text, s.words)
+            for members in shingles(batch.column("text").to_pylist(), s.words):
                 n.append(len(members))
                 digests.append(xxhash.xxh3_128_digest(members.tobytes()))
                 if len(hot):
@@ -173,27 +173,27 @@ def set_rows(docs: DataFrame, s: Similarity, hot: np.ndarray) -> DataFrame:
 
 
 def tile_rows(unique: DataFrame, s: Similarity) -> DataFrame:
-    """(token, band, key, n): sets that have a partner of fitting size in a tile."""
-    members = unique.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("key"), "n")
-    order = Window.partitionBy("token").orderBy("n", "key")
-    apart = lambda less, more: less.isNull() | more.isNull() | (s.percent * more > 100 * less)
-    tiles = members.withColumns({"before": F.lag("n").over(order), "after": F.lead("n").over(order)})
-    tiles = tiles.withColumns({"begins": apart(F.col("before"), F.col("n")), "ends": apart(F.col("n"), F.col("after"))})
-    tiles = tiles.where(~(F.col("begins") & F.col("ends")))
-    return tiles.withColumn("band", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("token", "band", "key", "n")
+    """(token, band, guest, key, n): sets in a tile with others, not all of them guests."""
+    own = F.length(F.bin("n"))
+    bands = F.when(F.expr(f"100 * n >= {s.percent} * shiftleft(1L, length(bin(n)))"), F.array(own, own + 1)).otherwise(F.array(own))
+    members = unique.select("key", "n", own.alias("own"), bands.alias("bands"), F.explode("prefix").alias("token"))
+    rows = members.select("token", F.explode("bands").alias("band"), "own", "key", "n").select("token", "band", (F.col("band") > F.col("own")).alias("guest"), "key", "n")
+    met = rows.groupBy("token", "band").agg(F.count("*").alias("size"), F.bool_or(~F.col("guest")).alias("at_home")).where("size > 1 AND at_home")
+    return rows.join(met.select("token", "band"), ["token", "band"], "left_semi")
 
 
 def frequent(tiles: DataFrame, s: Similarity) -> DataFrame:
-    """Rows of the sets that lie in as many of the tiles as a similar pair shares."""
-    return tiles.withColumn("tiles", F.count("*").over(Window.partitionBy("key"))).where(F.col("tiles") >= s.needed("n")).drop("tiles")
+    """Rows of the sets that lie in as many tiles of a band as a similar pair shares."""
+    return tiles.withColumn("tiles", F.count("*").over(Window.partitionBy("key", "band"))).where(F.col("tiles") >= s.needed("n")).drop("tiles")
 
 
 def first_partners(tiles: DataFrame, s: Similarity) -> DataFrame:
-    """For each set the first of a tile that it meets in most tiles: (a, b)."""
-    order = Window.partitionBy("token", "band").orderBy("n", "key")
-    stars = tiles.select(F.first("key").over(order).alias("a"), F.first("n").over(order).alias("m"), F.col("key").alias("b"), "n")
-    fitting = stars.where((F.col("a") != F.col("b")) & (100 * F.col("m") >= s.percent * F.col("n"))).groupBy("a", "b").count()
-    return fitting.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+    """For each set the smallest of about its size that it meets in most tiles: (a, b)."""
+    level = F.floor(F.log("n") / float(np.log(100 / s.percent)))  # sets of a level fit each other, but for rounding
+    rows = tiles.where("NOT guest").select("token", level.alias("level"), "key", "n")
+    least = rows.groupBy("token", "level").agg(F.min(F.struct("n", "key")).alias("least"))
+    stars = rows.join(least.select("token", "level", F.col("least.key").alias("a")), ["token", "level"]).where("a <> key")
+    return stars.groupBy("a", F.col("key").alias("b")).count().groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def spans_of(tiles: DataFrame) -> DataFrame:
@@ -201,73 +201,122 @@ def spans_of(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("token", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").drop("low", "high")
 
 
-def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
+def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame, s: Similarity, folder: str) -> DataFrame:
     """Tiles that span components, with components and bitmaps, cut into pairs of blocks where they are large.
 
-    Similar sets of two components share only such tiles, so sets in too few of them are left out first.
+    Similar sets of two components share only such tiles, so sets in too few of
+    them are left out first.  Two that must share c tiles still share one when
+    each leaves (c - 1) / 2, so each leaves its largest.
     """
     known = tiles.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    known = write_table(frequent(known.join(spans_of(known), ["token", "band"], "left_semi"), s), "open")
-    spans = spans_of(known)
+    known = frequent(known.join(spans_of(known), ["token", "band"]), s)
+    largest = Window.partitionBy("key", "band").orderBy(F.desc("size"), "token")
+    known = known.withColumn("nth", F.row_number().over(largest)).where(F.col("nth") > F.floor((s.needed("n") - 1) / 2)).drop("nth", "size")
+    known = write_table(known, "open", folder=folder)
     blocks = (F.col("size") / TILE).cast("int") + 1
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = known.join(spans.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("own", own)
+    rows = known.join(spans_of(known).select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("own", own)
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", "band", F.least("own", "partner").alias("block"), F.greatest("own", "partner").alias("other"), (F.col("own") > F.col("partner")).alias("second"), "key", "n", "component")
-    return rows.join(sets.select("key", "bits"), "key").select("token", "band", "block", "other", "second", "key", "n", "component", "bits")
+    rows = rows.select("token", "band", F.least("own", "partner").alias("block"), F.greatest("own", "partner").alias("other"), (F.col("own") > F.col("partner")).alias("second"), "guest", "key", "n", "component")
+    return rows.join(sets.select("key", "bits"), "key")
+
+
+class Signatures:
+    """Bitmaps of rows as matrices of 64-bit words, by width."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps, self.made = maps, {}
+        self.words = np.fromiter(map(len, maps), np.int64, len(maps)) // 8
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of ``width`` words, the wider ones folded, and the place of each row among them."""
+        if width not in self.made:
+            at, parts, n = np.zeros(len(self.maps), np.int64), [], 0
+            for wide in np.unique(self.words[self.words >= width]).tolist():
+                rows = np.flatnonzero(self.words == wide)
+                matrix = np.frombuffer(b"".join([self.maps[i] for i in rows]), np.uint64).reshape(len(rows), wide)
+                while matrix.shape[1] > width:
+                    half = matrix.shape[1] // 2
+                    matrix = matrix[:, :half] ^ matrix[:, half:]
+                at[rows] = np.arange(n, n + len(rows))
+                parts.append(matrix)
+                n += len(rows)
+            self.made[width] = np.concatenate(parts), at
+        return self.made[width]
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps of rows i and j differ."""
+        width = np.minimum(self.words[i], self.words[j])
+        out = np.zeros(len(i), np.int64)
+        for w in np.unique(width).tolist():
+            matrix, at = self.of(w)
+            pairs = np.flatnonzero(width == w)
+            for part in np.array_split(pairs, max(1, len(pairs) * w // AT_ONCE)):
+                out[part] = np.bitwise_count(matrix[at[i[part]]] ^ matrix[at[j[part]]]).sum(1, dtype=np.int64)
+        return out
 
 
 def fitting_pairs(tiles: DataFrame, s: Similarity, every: bool) -> DataFrame:
     """(a, b, distance) of different components in a tile that the bitmaps don't rule out: all, or each set's nearest."""
+    tile = ["token", "band", "block", "other"]
 
-    def compare(tile: pa.Table) -> pa.RecordBatch | None:
-        n, key, component = (tile.column(c).to_numpy() for c in ("n", "key", "component"))
-        second = tile.column("second").to_numpy()
-        across = tile.column("block")[0].as_py() != tile.column("other")[0].as_py()
-        if len(n) < 2 or (component == component[0]).all() or across and (second == second[0]).all():
-            return None
-        order = np.lexsort((key, n))
-        n, key, component, second = n[order], key[order], component[order], second[order]
-        raw = tile.column("bits").to_pylist()
-        maps = folded([raw[i] for i in order])
-        found: list[tuple] = []
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, int(np.searchsorted(n, 100 * n[i] // s.percent, side="right")))
-            j = j[(component[j] != component[i]) & ((second[j] != second[i]) | (not across))]
-            distance = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
-            passed = distance <= s.difference(n[j] + n[i])
-            found.append((np.full(int(passed.sum()), i), j[passed], distance[passed]))
-        a, b, distance = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not every and len(a):
-            best = np.lexsort((a, distance, b))
-            best = best[np.flatnonzero(np.diff(b[best], prepend=-1))]
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole tiles, all at once."""
+        group = np.cumsum(tile_starts(rows)) - 1
+        n, key, component = (rows.column(c).to_numpy() for c in ("n", "key", "component"))
+        order = np.lexsort((key, n, group))
+        group, n, key, component = group[order], n[order], key[order], component[order]
+        second, guest = (rows.column(c).to_numpy()[order] for c in ("second", "guest"))
+        across = (rows.column("block").to_numpy() != rows.column("other").to_numpy())[order]
+        raw = rows.column("bits").to_pylist()
+        signatures = Signatures([raw[i] for i in order])
+        # The partners of a row are those behind it in its tile, up to the largest fitting size.
+        reach = 100 * n // s.percent
+        step = int(reach.max()) + 1
+        partners = np.searchsorted(group * step + n, group * step + reach, "right") - np.arange(len(n)) - 1
+        ends = np.cumsum(partners)
+        for rows_ in np.split(np.arange(len(n)), np.flatnonzero(np.diff(ends // AT_ONCE)) + 1):
+            some = partners[rows_]
+            i = np.repeat(rows_, some)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+            may = (component[i] != component[j]) & ~(guest[i] & guest[j]) & ((second[i] != second[j]) | ~across[i])
+            i, j = i[may], j[may]
+            distance = signatures.distances(i, j)
+            may = distance <= s.difference(n[i] + n[j])
+            a, b, distance = key[i[may]], key[j[may]], distance[may]
+            best = np.lexsort((a, b)) if every else np.lexsort((a, distance, b))
             a, b, distance = a[best], b[best], distance[best]
-        return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.array(distance)], ["a", "b", "distance"])
+            first = np.diff(b, prepend=-1) != 0
+            if every:  # a pair that several tiles of a batch show is one
+                first |= np.diff(a, prepend=-1) != 0
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(distance[first])], ["a", "b", "distance"])
+
+    def tile_starts(rows: pa.Table) -> np.ndarray:
+        """Which rows begin a tile."""
+        names = [rows.column(c).to_numpy() for c in tile]
+        return np.any([np.diff(x, prepend=x[0] - 1) != 0 for x in names], axis=0)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the tile that may go on in the next batch
         for batch in source:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([*held, batch])
-            names = [table.column(c).to_numpy() for c in ("token", "band", "block", "other")]
-            starts = np.flatnonzero(np.any([np.diff(x, prepend=x[0] - 1) != 0 for x in names], axis=0)).tolist()
-            for a, b in zip(starts, starts[1:], strict=False):
-                if (out := compare(table.slice(a, b - a).combine_chunks())) is not None:
-                    yield out
-            held = table.slice(starts[-1]).combine_chunks().to_batches()
-        if held and (out := compare(pa.Table.from_batches(held))) is not None:
-            yield out
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            last = int(np.flatnonzero(tile_starts(table))[-1])
+            if last:
+                yield from compare(table.slice(0, last).combine_chunks())
+            held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from compare(pa.Table.from_batches(held))
 
-    tile = ["token", "band", "block", "other"]
     pairs = tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long, distance long")
     if every:
         return pairs.select("a", "b").distinct()
     return pairs.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b")
 
 
-def candidate_sets(docs: DataFrame, tiles: DataFrame, s: Similarity) -> DataFrame:
-    """(key, n, bits, packed): bitmap and compressed text of each set in a tile."""
+def candidate_sets(docs: DataFrame, wanted: DataFrame, s: Similarity) -> DataFrame:
+    """(key, n, bits, packed): bitmap and compressed text of each wanted set (key, first, high, low)."""
 
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -275,87 +324,106 @@ def candidate_sets(docs: DataFrame, tiles: DataFrame, s: Similarity) -> DataFram
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches(source, "text"):
             packed = [compress((x or "").encode()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], ["key", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches(source, "packed", 1 << 20):
-            n, maps = [], []
-            for members in (unpacked(x, s) for x in batch.column("packed").to_pylist()):
+            n, maps, own = [], [], []
+            for members, high, low in zip(unpacked(batch.column("packed").to_pylist(), s), batch.column("high").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 n.append(len(members))
                 maps.append(bitmap(members, s.bits(len(members))))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), batch.column("packed")], ["key", "n", "bits", "packed"])
+                own.append(np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), np.int64).tolist() == [high, low])
+            out = pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), batch.column("packed")], ["key", "n", "bits", "packed"])
+            yield out.filter(pa.array(own, pa.bool_()))  # not another text of the same id
 
-    texts = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(pack, "key long, packed binary").join(tiles.select("key").distinct(), "key", "left_semi")
-    return texts.groupBy("key").agg(F.max("packed").alias("packed")).mapInArrow(sign, "key long, n long, bits binary, packed binary")
+    texts = docs.mapInArrow(pack, "doc_id long, packed binary").join(wanted, F.col("doc_id") == F.col("first"))
+    texts = texts.groupBy("key", "high", "low", F.xxhash64("packed")).agg(F.max("packed").alias("packed"))
+    return texts.select("key", "high", "low", "packed").mapInArrow(sign, "key long, n long, bits binary, packed binary")
 
 
-def unpacked(packed: bytes, s: Similarity) -> np.ndarray:
-    """The set of a compressed text."""
+def unpacked(packed: list[bytes], s: Similarity) -> list[np.ndarray]:
+    """The sets of compressed texts."""
     import zstandard
 
-    return shingles(zstandard.ZstdDecompressor().decompress(packed).decode(), s.words)
+    decompress = zstandard.ZstdDecompressor().decompress
+    return shingles([decompress(x).decode() for x in packed], s.words)
 
 
-def links(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
+def links(pairs: DataFrame, sets: DataFrame, s: Similarity, folder: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by bitmaps first and then exactly.
 
-    Each b travels to its a, and an a once for every TILE of its partners, which
-    are dealt over as many tasks.
+    Each b travels to its a, and an a once for every PARTNERS of its partners,
+    which are dealt over as many tasks.
     """
-    pairs = write_table(pairs, "pairs")
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("shares"))
+    pairs = write_table(pairs, "pairs", folder=folder)
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
     theirs = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), F.col("b").alias("key"))
     own = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("a").alias("key"))
-    wanted = write_table(theirs.union(own), "wanted")  # small, so that its size is known when it meets the sets
+    wanted = write_table(theirs.union(own), "wanted", folder=folder)  # small, so that its size is known when it meets the sets
     rows = wanted.join(sets, "key").repartition("a", "share").sortWithinPartitions("a", "share", "role")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, mine = None, None, None
+        mine, members = None, None
         for batch in batches(source, "packed", 1 << 20):
             a, b = [], []
             for row in batch.to_pylist():
                 if row["role"] == 0:
-                    at, mine, members = row["a"], row, unpacked(row["packed"], s)
+                    mine, members = row, None
                     continue
-                if row["a"] != at:
+                if mine is None or row["a"] != mine["a"]:
                     continue
                 both = row["n"] + mine["n"]
-                maps = folded([mine["bits"], row["bits"]])
-                if int(np.bitwise_count(maps[0] ^ maps[1]).sum()) > s.difference(np.int64(both)):
+                if Signatures([mine["bits"], row["bits"]]).distances(np.array([0]), np.array([1]))[0] > s.difference(np.int64(both)):
                     continue
-                others = unpacked(row["packed"], s)
+                if members is None:  # unpacked for the first partner that may be similar
+                    members, others = unpacked([mine["packed"], row["packed"]], s)
+                else:
+                    others = unpacked([row["packed"]], s)[0]
                 shared = int((members[np.minimum(np.searchsorted(members, others), len(members) - 1)] == others).sum())
                 if 100 * shared >= s.percent * (both - shared):
-                    a.append(at)
+                    a.append(row["a"])
                     b.append(row["key"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def linked_sets(docs: DataFrame, unique: DataFrame, s: Similarity, folder: str) -> DataFrame:
+    """(node, component) of the sets (key, first, high, low, n, prefix) that are linked with others."""
+    tiles = write_table(frequent(tile_rows(unique, s), s), "tiles", folder=folder)
+    wanted = unique.select("key", "first", "high", "low").join(tiles.select("key").distinct(), "key", "left_semi")
+    sets = write_table(candidate_sets(docs, wanted, s), "candidates", "none", folder)
+    found = components(write_table(links(first_partners(tiles, s), sets, s, folder), "links", folder=folder), folder)
+    for every in (False, True):
+        more = write_table(links(fitting_pairs(open_tiles(tiles, found, sets, s, folder), s, every), sets, s, folder), "links", folder=folder)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder)
+    return found
+
+
 def join_components(df: DataFrame, s: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``df``."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = write_table(set_rows(docs, s, hot_members(docs, s)), "sets")
-    # Equal sets are one, under the smallest id that has it.
-    full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    first = write_table(full.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "firsts")
-    stands = first.select(F.col("first").alias("doc_id"), F.col("high").alias("h"), F.col("low").alias("l"))
-    unique = full.join(stands, "doc_id").where("high = h AND low = l")
-    tiles = write_table(frequent(tile_rows(unique, s), s), "tiles")
-    sets = write_table(candidate_sets(docs, tiles, s), "candidates", "none")
-
-    same = full.join(first, ["high", "low"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    linked = write_table(links(first_partners(tiles, s), sets, s), "links")
-    found = components(linked)
-    for every in (False, True):
-        more = write_table(links(fitting_pairs(open_tiles(tiles, found, sets, s), s, every), sets, s), "links")
-        linked = linked.union(more)
-        found = components(linked)
-    # Ids with equal sets hang under the first of them; ids with several sets tie components together.
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    with scratch_folder(df.sparkSession, "jaccard") as folder:
+        rows = write_table(set_rows(docs, s, hot_members(docs, s)), "sets", folder=folder)
+        full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+        # Equal sets are one, with the smallest id that has it and a number of its own.
+        unique = full.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        unique = write_table(unique.withColumn("key", F.monotonically_increasing_id()), "unique", folder=folder)
+        found = linked_sets(docs, unique, s, folder)
+        # The sets of one id are of one component.
+        own = full.select("doc_id", "high", "low").join(unique.select("high", "low", "key"), ["high", "low"])
+        several = own.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a")
+        same = own.join(several, "doc_id").select("a", F.col("key").alias("b"))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same), folder)
+
+        known = unique.select("high", "low", "first", "key").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        least = known.groupBy("component").agg(F.min("first").alias("component_id"))
+        known = write_table(known.join(least, "component").select("high", "low", "component_id"), "known", folder=folder)
+        out = rows.join(known, ["high", "low"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        return write_table(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "components")
 
 
 def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
