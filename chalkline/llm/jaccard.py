@@ -173,32 +173,35 @@ def set_rows(docs: DataFrame, s: Similarity, hot: np.ndarray) -> DataFrame:
 
 
 def tile_rows(unique: DataFrame, s: Similarity) -> DataFrame:
-    """(token, band, guest, key, n): sets in a tile with others, not all of them guests."""
+    """(tile, guest, key, n): sets in a tile with others, not all of them guests.
+
+    A tile's number is a hash of the n-gram and the band: tiles that share one are compared as one.
+    """
     own = F.length(F.bin("n"))
     bands = F.when(F.expr(f"100 * n >= {s.percent} * shiftleft(1L, length(bin(n)))"), F.array(own, own + 1)).otherwise(F.array(own))
     members = unique.select("key", "n", own.alias("own"), bands.alias("bands"), F.explode("prefix").alias("token"))
-    rows = members.select("token", F.explode("bands").alias("band"), "own", "key", "n").select("token", "band", (F.col("band") > F.col("own")).alias("guest"), "key", "n")
-    met = rows.groupBy("token", "band").agg(F.count("*").alias("size"), F.bool_or(~F.col("guest")).alias("at_home")).where("size > 1 AND at_home")
-    return rows.join(met.select("token", "band"), ["token", "band"], "left_semi")
+    rows = members.select("token", F.explode("bands").alias("band"), "own", "key", "n").select(F.xxhash64("token", "band").alias("tile"), (F.col("band") > F.col("own")).alias("guest"), "key", F.col("n").cast("int").alias("n"))
+    met = rows.groupBy("tile").agg(F.count("*").alias("size"), F.bool_or(~F.col("guest")).alias("at_home")).where("size > 1 AND at_home")
+    return rows.join(met.select("tile"), "tile", "left_semi")
 
 
 def frequent(tiles: DataFrame, s: Similarity) -> DataFrame:
     """Rows of the sets that lie in as many tiles of a band as a similar pair shares."""
-    return tiles.withColumn("tiles", F.count("*").over(Window.partitionBy("key", "band"))).where(F.col("tiles") >= s.needed("n")).drop("tiles")
+    return tiles.withColumn("tiles", F.count("*").over(Window.partitionBy("key", "guest"))).where(F.col("tiles") >= s.needed("n")).drop("tiles")
 
 
 def first_partners(tiles: DataFrame, s: Similarity) -> DataFrame:
     """For each set the smallest of about its size that it meets in most tiles: (a, b)."""
     level = F.floor(F.log("n") / float(np.log(100 / s.percent)))  # sets of a level fit each other, but for rounding
-    rows = tiles.where("NOT guest").select("token", level.alias("level"), "key", "n")
-    least = rows.groupBy("token", "level").agg(F.min(F.struct("n", "key")).alias("least"))
-    stars = rows.join(least.select("token", "level", F.col("least.key").alias("a")), ["token", "level"]).where("a <> key")
+    rows = tiles.where("NOT guest").select("tile", level.alias("level"), "key", "n")
+    least = rows.groupBy("tile", "level").agg(F.min(F.struct("n", "key")).alias("least"))
+    stars = rows.join(least.select("tile", "level", F.col("least.key").alias("a")), ["tile", "level"]).where("a <> key")
     return stars.groupBy("a", F.col("key").alias("b")).count().groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def spans_of(tiles: DataFrame) -> DataFrame:
-    """(token, band, size) of the tiles with sets of several components."""
-    return tiles.groupBy("token", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").drop("low", "high")
+    """(tile, size) of the tiles with sets of several components."""
+    return tiles.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").drop("low", "high")
 
 
 def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame, s: Similarity, folder: str) -> DataFrame:
@@ -209,15 +212,15 @@ def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame, s: Similarit
     each leaves (c - 1) / 2, so each leaves its largest.
     """
     known = tiles.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    known = frequent(known.join(spans_of(known), ["token", "band"]), s)
-    largest = Window.partitionBy("key", "band").orderBy(F.desc("size"), "token")
+    known = frequent(known.join(spans_of(known), "tile"), s)
+    largest = Window.partitionBy("key", "guest").orderBy(F.desc("size"), "tile")
     known = known.withColumn("nth", F.row_number().over(largest)).where(F.col("nth") > F.floor((s.needed("n") - 1) / 2)).drop("nth", "size")
     known = write_table(known, "open", folder=folder)
     blocks = (F.col("size") / TILE).cast("int") + 1
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = known.join(spans_of(known).select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("own", own)
+    rows = known.join(spans_of(known).select("tile", blocks.alias("blocks")), "tile").withColumn("own", own)
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", "band", F.least("own", "partner").alias("block"), F.greatest("own", "partner").alias("other"), (F.col("own") > F.col("partner")).alias("second"), "guest", "key", "n", "component")
+    rows = rows.select("tile", F.least("own", "partner").alias("block"), F.greatest("own", "partner").alias("other"), (F.col("own") > F.col("partner")).alias("second"), "guest", "key", "n", "component")
     return rows.join(sets.select("key", "bits"), "key")
 
 
@@ -258,12 +261,12 @@ class Signatures:
 
 def fitting_pairs(tiles: DataFrame, s: Similarity, every: bool) -> DataFrame:
     """(a, b, distance) of different components in a tile that the bitmaps don't rule out: all, or each set's nearest."""
-    tile = ["token", "band", "block", "other"]
+    tile = ["tile", "block", "other"]
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """Pairs of whole tiles, all at once."""
         group = np.cumsum(tile_starts(rows)) - 1
-        n, key, component = (rows.column(c).to_numpy() for c in ("n", "key", "component"))
+        n, key, component = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "key", "component"))
         order = np.lexsort((key, n, group))
         group, n, key, component = group[order], n[order], key[order], component[order]
         second, guest = (rows.column(c).to_numpy()[order] for c in ("second", "guest"))
@@ -394,6 +397,7 @@ def linked_sets(docs: DataFrame, unique: DataFrame, s: Similarity, folder: str)
     """(node, component) of the sets (key, first, high, low, n, prefix) that are linked with others."""
     tiles = write_table(frequent(tile_rows(unique, s), s), "tiles", folder=folder)
     wanted = unique.select("key", "first", "high", "low").join(tiles.select("key").distinct(), "key", "left_semi")
+    wanted = write_table(wanted, "in-tiles", folder=folder)  # so that its size is known when it meets the texts
     sets = write_table(candidate_sets(docs, wanted, s), "candidates", "none", folder)
     found = components(write_table(links(first_partners(tiles, s), sets, s, folder), "links", folder=folder), folder)
     for every in (False, True):
