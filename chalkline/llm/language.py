@@ -5,8 +5,10 @@ lower case, over the whole text, hashed into DIMS cells.  The kernel of two text
 is the number of cells they share over the geometric mean of their sizes.  With
 landmark texts M, a text's coordinates are K(x, M) K(M, M)^-1/2; one ridge
 regression for each language (one against the rest) is solved on those of a
-bounded training sample (``per_language`` documents of each language).  Texts are
-scored in batches as matrix products.
+bounded training sample (``per_language`` documents of each language, whose
+normal equations are summed in tasks).  Texts are scored in batches as matrix
+products.  Every language of the training rows is learned; a repeated id counts
+once in the sample, with its smallest text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text
 when there is nothing to learn from.  Equal texts get equal results; ties go to
@@ -20,14 +22,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chalkline.llm.common import batches, held_out, lists, read
+from chalkline.llm.common import batches, held_out, lists, read, scratch_folder, write_table
+from chalkline.llm.samples import one_text, spread
 
 DIMS = 1 << 13
+#: Parts in which the sample is summed up.
+SHARDS = 8
 #: Texts scored at once.
 BATCH = 128
 
@@ -35,7 +41,6 @@ BATCH = 128
 @dataclass(frozen=True)
 class Settings:
     per_language: int = 512
-    languages: int = 64
     landmarks: int = 192
     ridge: float = 0.05
 
@@ -68,45 +73,68 @@ class Model:
     weights: np.ndarray  # K(M, M)^-1/2 times the ridge solutions
 
 
-def fit(spectra: list[np.ndarray], langs: list[str], s: Settings = Settings()) -> Model:
-    """Fit on spectra in a fixed order; landmarks are taken from all languages in turn."""
-    names = sorted(set(langs))
-    if not names:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, 0), np.float32))
-    turn: dict[str, int] = {}
-    rank = []
-    for lang in langs:
-        turn[lang] = turn.get(lang, 0) + 1
-        rank.append((turn[lang], lang))
-    chosen = sorted(range(len(langs)), key=rank.__getitem__)[: s.landmarks]
-    x = rows_of(spectra)
-    m = x[chosen]
+def root_of(m: np.ndarray) -> np.ndarray:
+    """K(M, M)^-1/2, without the directions in which landmarks don't differ."""
     values, vectors = np.linalg.eigh((m @ m.T).astype(np.float64))
     keep = values > 1e-6 * max(values.max(), 1e-12)
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ m.T).astype(np.float64) @ root
-    y = np.array([[float(lang == n) for n in names] for lang in langs])
-    sizes = y.sum(0)
-    weight = (y @ (1 / sizes))[:, None]  # each language counts as much as any other
-    solved = np.linalg.solve(z.T @ (z * weight) + s.ridge * np.eye(z.shape[1]) / len(names), z.T @ (y * weight))
-    return Model(names, m, (root @ solved).astype(np.float32))
+    return vectors[:, keep] / np.sqrt(values[keep])
 
 
-def train(df: DataFrame, s: Settings = Settings(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Model from at most ``per_language`` documents of each of the ``languages`` commonest languages."""
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    ids = known.where(F.col("lang").isin(names)).select("key", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= s.per_language).drop("nth")
+def spectra(df: DataFrame) -> DataFrame:
+    """key, lang and cells of rows key, lang, text."""
 
-    def cells(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "text"):
             found = [spectrum(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), lists(np.concatenate(found).astype(np.int16), [len(x) for x in found], pa.int16())], ["key", "lang", "cells"])
 
-    sample = known.join(F.broadcast(ids), ["key", "lang"]).mapInArrow(cells, T.StructType([*known.select("key", "lang").schema.fields, T.StructField("cells", T.ArrayType(T.ShortType()))]))
-    rows = sorted(sample.collect(), key=lambda r: (r.key, r.lang, len(r.cells), r.cells))  # a bounded sample: languages * per_language rows of at most DIMS cells
-    return fit([np.array(r.cells, np.int64) for r in rows], [r.lang for r in rows], s)
+    return df.select("key", "lang", "text").mapInArrow(run, T.StructType([*df.select("key", "lang").schema.fields, T.StructField("cells", T.ArrayType(T.ShortType()))]))
+
+
+def solve(sample: DataFrame, names: list[str], sizes: dict[str, int], m: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights over the landmarks m: tasks sum the normal equations of their rows, the driver solves them once."""
+    root = root_of(m)
+    number = {name: i for i, name in enumerate(names)}
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "lang"], kind="stable")  # the order of rows after a shuffle is not fixed
+        a, b = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(names)))
+        for at in range(0, len(group), BATCH):
+            part = group.iloc[at : at + BATCH]
+            z = (rows_of([np.asarray(c, np.int64) for c in part.cells]) @ m.T).astype(np.float64) @ root
+            w = np.array([1 / sizes[x] for x in part.lang])[:, None]  # each language counts as much as any other
+            y = np.zeros((len(part), len(names)))
+            y[np.arange(len(part)), [number[x] for x in part.lang]] = 1
+            a += z.T @ (z * w)
+            b += z.T @ (y * w)
+        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "a": [a.tobytes()], "b": [b.tobytes()]})
+
+    sharded = sample.withColumn("shard", F.pmod(F.xxhash64("key", "lang"), F.lit(SHARDS)).cast("int"))
+    parts = sorted(sharded.groupBy("shard").applyInPandas(sums, "shard int, a binary, b binary").collect(), key=lambda r: r["shard"])  # SHARDS rows
+    a = sum(np.frombuffer(r.a).reshape(root.shape[1], -1) for r in parts)
+    b = sum(np.frombuffer(r.b).reshape(root.shape[1], -1) for r in parts)
+    return (root @ np.linalg.solve(a + s.ridge * np.eye(len(a)) / len(names), b)).astype(np.float32)
+
+
+def train(df: DataFrame, s: Settings = Settings(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
+    """Model of every language, from at most ``per_language`` documents of each.
+
+    Landmarks come from all languages alike, one of each at least.  The model,
+    and what the driver holds, grows with the number of languages only.
+    """
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    chosen, counts = spread(known, "lang", "key", s.per_language)
+    names = sorted(counts)
+    if not names:
+        return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, 0), np.float32))
+    with scratch_folder(df.sparkSession, "languages") as folder:
+        sample = write_table(spectra(one_text(chosen, "key", "text", "lang")), "spectra", folder=folder)
+        sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")  # per_language rows a language
+        first = sample.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(1, s.landmarks // len(names)))
+        m = rows_of([np.array(r.cells, np.int64) for r in first.orderBy("lang", "nth").collect()])
+        names = sorted(sizes)
+        return Model(names, m, solve(sample, names, sizes, m, s))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

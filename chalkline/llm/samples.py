@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import sqrt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, value: str, key: str, limit: int) -> tuple[DataFrame, dict]:
+    """(rows, counts): about ``limit`` rows of each ``value``, all where there are no more, and how many there were.
+
+    A row stays if the hash of its key, as a share, is small enough for its
+    value's count, so no task orders the rows of a common value.  The share is
+    set five standard deviations low: ``limit`` bounds the rows of distinct keys.
+    ``rows`` has no null values; the driver holds one count a value, as a model does.
+    """
+    counts = {r[value]: r["count"] for r in rows.groupBy(value).count().collect()}
+    low = max(1.0, limit - 5 * sqrt(limit))
+    shares = rows.sparkSession.createDataFrame([(v, 1.0 if n <= limit else low / n) for v, n in counts.items()] or [], f"__value {rows.schema[value].dataType.simpleString()}, __share double")
+    share = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+    return rows.join(F.broadcast(shares), F.col(value) == F.col("__value")).where(share < F.col("__share")).drop("__value", "__share"), counts
+
+
+def one_text(rows: DataFrame, key: str, text: str, *others: str) -> DataFrame:
+    """One row a key, that of the smallest text: an id that is repeated counts once."""
+    return rows.groupBy(key, *others).agg(F.min(text).alias(text))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, held_out: Column) -> DataFrame:
-    """doc_id, text and ``target`` of at most ``rows`` labelled rows outside ``held_out``.
+    """doc_id, text and ``target`` of at most ``rows`` labelled documents outside ``held_out``.
 
-    The rows are those whose ids have the smallest hashes, as many of each value
-    of ``target`` as there are or as its share of ``rows`` allows.  Labels of null
-    or of unknown documents are left out; of several labels of one document the
-    largest counts.
+    The documents are those whose ids have the smallest hashes, as many of each
+    value of ``target`` as there are or as its share of ``rows`` allows.  Labels
+    of null or of unknown documents are left out; of several labels of one
+    document the largest counts, of several texts the smallest.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(target).alias(target))
     values = known.select(target).distinct().count()
-    order = Window.partitionBy(target).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(1, rows // max(1, values))).drop("nth")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` pairs of an id and a label
+    chosen, _ = spread(known, target, "doc_id", max(1, rows // max(1, values)))
+    return one_text(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "text", target)  # at most ``rows`` pairs of an id and a label
