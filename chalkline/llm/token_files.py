@@ -9,7 +9,8 @@ and checkpoints (the bit offset of every block of BLOCK ids in the payload).
 Blocks decode independently by one table look-up an id, many blocks in step.
 
 Null texts count as empty (one record with the end id).  Repeated rows give one
-record each, side by side.  Rows with a null doc_id come first.  Extra columns
+record each, side by side; those of an id that fills several files are dealt over
+them.  Rows with a null doc_id come first.  Extra columns
 are left out; an empty table gives files without records.
 """
 
@@ -28,10 +29,12 @@ from chalkline.llm.common import batches, lists, read, shared_dir, write_table
 
 #: Ids in a block, the unit of independent decoding.
 BLOCK = 256
+#: Where rows with a null doc_id stand in the order.
+NULL_ID = -(1 << 63)
 #: Longest code in bits; it is raised when there are more ids than such codes.
 LIMIT = 16
-#: Ids in a file, about.
-FILE_IDS = 8_000_000
+#: Ids in a file, about, as long as there are no more than FILES files.
+FILE_IDS, FILES = 8_000_000, 65_536
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -168,9 +171,16 @@ def write_files(df: DataFrame, vocabulary: str, pattern: str, end_id: int, path:
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
 
-    files = max(1, -(-int(counts.sum()) // file_ids))
-    bounds = plain.select("doc_id").approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files) if files > 1 else []
-    bounds = sorted({int(x) for x in bounds})
+    files = min(FILES, max(1, -(-int(counts.sum()) // file_ids)))
+    key = F.coalesce("doc_id", F.lit(NULL_ID))
+    found = plain.select(key.alias("key")).approxQuantile("key", [i / files for i in range(1, files)], 0.1 / files) if files > 1 else []
+    bounds = np.sort(np.array(found, np.float64))
+
+    def files_of(ids: pa.Array) -> np.ndarray:
+        """How many bounds are below each id; the rows of an id that is several bounds are dealt over the files between them."""
+        ids = ids.fill_null(NULL_ID).to_numpy().astype(np.float64)
+        low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+        return (low + np.arange(len(ids)) % (high - low + 1)).astype(np.int32)
 
     def encoded(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "ids"):
@@ -179,11 +189,9 @@ def write_files(df: DataFrame, vocabulary: str, pattern: str, end_id: int, path:
             data, n_bytes, checkpoints, n_checkpoints = pack(ids, n, codes, lengths)
             ends = np.concatenate([[0], np.cumsum(n_bytes)]).astype(np.int32)
             payload = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), batch.column("n_tokens"), payload, lists(checkpoints, n_checkpoints, pa.int32())], ["file", "doc_id", "n_tokens", "payload", "checkpoints"])
+            yield pa.RecordBatch.from_arrays([pa.array(files_of(batch.column("doc_id"))), batch.column("doc_id"), batch.column("n_tokens"), payload, lists(checkpoints, n_checkpoints, pa.int32())], ["file", "doc_id", "n_tokens", "payload", "checkpoints"])
 
-    # The file of a document: how many bounds are below its id.
-    file = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    coded = plain.select(file.cast("int").alias("file"), "doc_id", "n_tokens", "ids").mapInArrow(encoded, "file int, doc_id long, n_tokens long, payload binary, checkpoints array<int>")
+    coded = plain.select("doc_id", "n_tokens", "ids").mapInArrow(encoded, "file int, doc_id long, n_tokens long, payload binary, checkpoints array<int>")
     order = Window.partitionBy("file").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     coded.repartitionById(len(bounds) + 1, "file").withColumn("first", F.coalesce(F.sum("n_tokens").over(order), F.lit(0).cast("long"))).write.partitionBy("file").option("compression", "none").parquet(f"{path}/records")
 
@@ -196,7 +204,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         lengths[r.id] = r.length
     records = spark.read.schema("doc_id long, n_tokens long, payload binary, checkpoints array<int>, first long, file int").parquet(f"{path}/records")
     ends, before = [], 0
-    for r in sorted(records.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r.file):  # one row for each file
+    for r in sorted(records.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r.file):  # one row for each of at most FILES + 1 files
         ends.append((r.file, before))
         before += r.n
     starts = spark.createDataFrame(ends, "file int, before long")
