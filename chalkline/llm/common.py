@@ -22,7 +22,9 @@ ARROW_ROWS = 1_024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table.  The session hands rows to Python in small batches from here on, as every operator here expects."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -9,10 +9,14 @@ that cannot reach the k-th best exact score known so far are out.  Only when few
 are left, or nothing is left to process, are the possible members scored
 exactly; nothing is given up without that proof.
 
+Scores are exact 64-bit integers; bounds are kept in floating point with a margin
+for its rounding.  Vectors so large that a score might not fit 64 bits are an
+error.
+
 Vectors that are null, hold null, NaN or infinity, or have no id take no part.
 Missing components of shorter vectors count as 0.  Repeated rows are candidates
-each; a query id with several vectors asks with the largest of them.  Ties go to
-the smaller id.  Extra columns are left out; an empty table, or one without
+each; a query id with several vectors asks with the largest of them, and all rows
+of its id are its own.  Ties go to the smaller id.  Extra columns are left out; an empty table, or one without
 queries, gives an empty result.
 """
 
@@ -69,8 +73,8 @@ def in_blocks(df: DataFrame, size: int) -> DataFrame:
     return packed.withColumn("block", F.monotonically_increasing_id())
 
 
-def _matrix(row: dict, name: str) -> np.ndarray:
-    return np.frombuffer(row[f"{name}_matrix"], np.int64 if row[f"{name}_wide"] else np.int32).reshape(row[f"{name}_n"], -1).astype(np.int64)
+def _matrix(row: dict) -> np.ndarray:
+    return np.frombuffer(row["matrix"], np.int64 if row["wide"] else np.int32).reshape(row["n"], -1).astype(np.int64)
 
 
 class Index:
@@ -78,6 +82,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
+        self.widest = np.abs(x.astype(np.float64)).max(0) + STEP
         levels = (x // STEP).T
         self.order = np.argsort(-levels, axis=1, kind="stable")  # of each dimension, by descending impact
         segments = [np.unique(-row, return_counts=True) for row in levels]
@@ -92,6 +97,10 @@ class Index:
         """Ids and exact scores of all vectors that can be among the k best, given that k others reach ``bar``."""
         n, dims = self.x.shape
         q = q[:dims] if len(q) >= dims else np.concatenate([q, np.zeros(dims - len(q), np.int64)])
+        most = float(np.abs(q.astype(np.float64)) @ self.widest)  # no score is larger
+        if most >= 2.0**63:
+            raise OverflowError("scores of these vectors may not fit 64 bits")
+        margin = most * dims * len(ROUNDS) * 2.0**-50  # for the rounding of all sums below
         others = self.ids != own
         # What a segment adds at least, over the least that its dimension can add; each posting adds up to ``slack`` more.
         low = (self.level * STEP + np.where(q > 0, 0, STEP - 1)[:, None]) * q[:, None]
@@ -111,7 +120,7 @@ class Index:
             if at:
                 gained += np.bincount(np.concatenate(at), np.concatenate(gains), n)
             # The best so far, scored exactly, raise the bar; rest bounds what any vector may still gain.
-            rest = slack + float(np.where(done, 0.0, gain).max(1).sum())
+            rest = margin + slack + float(np.where(done, 0.0, gain).max(1).sum())
             near = np.argpartition(-gained, min(4 * k, n - 1))[: 4 * k + 1]
             near = near[others[near]]
             if len(near) >= k:
@@ -127,20 +136,22 @@ class Index:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, its own id excepted."""
     rows = lambda df: df.select(F.col(id_).cast("long").alias("id"), quantised(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    side = lambda df, name: df.select("block", *(F.col(c).alias(f"{name}_{c}") for c in ("n", "ids", "matrix", "wide")))
     v = write_table(in_blocks(rows(candidates), BLOCK), "vector-blocks")
-    # Every block of candidates meets every block of the stated queries: the queries are sent once to each block.
-    q = side(in_blocks(rows(queries).groupBy("id").agg(F.max("v").alias("v")), QUERIES), "q").withColumnRenamed("block", "q_block")
-    pairs = side(v, "v").join(v.select("block").agg(F.collect_list("block").alias("block")).crossJoin(q).withColumn("block", F.explode("block")), "block")
+    q = in_blocks(rows(queries).groupBy("id").agg(F.max("v").alias("v")), QUERIES)
+    # The stated queries are sent once to every block of candidates, behind its vectors.
+    columns = ["n", "ids", "matrix", "wide"]
+    asked = v.select("block").agg(F.collect_list("block").alias("blocks")).crossJoin(q.withColumnRenamed("block", "asked")).select(F.explode("blocks").alias("block"), "asked", *columns)
+    dealt = v.select("block", F.lit(-1).cast("long").alias("asked"), *columns).union(asked).repartition("block").sortWithinPartitions("block", "asked")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, block, bars = None, None, {}
+        index, bars = None, {}
         for batch in source:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                if row["block"] != block:
-                    index, block = Index(np.frombuffer(row["v_ids"], np.int64), _matrix(row, "v")), row["block"]
-                ids, matrix, out = np.frombuffer(row["q_ids"], np.int64), _matrix(row, "q"), []
-                bar = bars.setdefault(row["q_block"], np.full(len(ids), -np.inf))
+                ids, matrix, out = np.frombuffer(row["ids"], np.int64), _matrix(row), []
+                if row["asked"] < 0:
+                    index = Index(ids, matrix)
+                    continue
+                bar = bars.setdefault(row["asked"], np.full(len(ids), -np.inf))
                 for j, (own, vector) in enumerate(zip(ids.tolist(), matrix, strict=True)):
                     found, scores = index.search(vector, own, k, bar[j])
                     if len(scores) == k:
@@ -148,7 +159,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id"
                     out.append((np.full(len(found), own), found, scores))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
