@@ -1,9 +1,10 @@
 """Line-first quality rules, in DataFrame functions only.
 
 Every line with a word is judged first: a line fails when symbols make up too
-much of it, when it is written in capitals only (capitals, no small letter, and
-not mostly letters of a caseless script), when it is a menu (separators
-or nothing but link names) or when it holds a phrase of site boilerplate.
+much of it, when punctuation does, when it is written in capitals only (capitals,
+no small letter, and not mostly letters of a caseless script), when it is
+navigation (many separators, or as many as parts of a word or two stand between,
+or nothing but a link name) or when it holds a phrase of site boilerplate.
 Failing lines are removed; a document that loses too much of its text with them
 is rejected, and so is one that is too short or repeats itself (base rules).
 
@@ -36,8 +37,10 @@ class Rules:
     min_words: int = 20
     max_repeat_share: int = 30
     max_symbol_share: int = 5
+    max_punctuation_share: int = 30
     min_line_chars: int = 12
     max_separators: int = 2
+    max_part_words: int = 2
     min_kept_share: int = 50
     separators: str = r"[|»›•·]"
     link_names: str = r"(?i)^[\x20\x09-\x0D]*(home|menu|search|login|log in|sign in|sign up|register|contact|contact us|about|about us|next|previous|back to top|share|tweet|read more|skip to content)[\x20\x09-\x0D]*$"
@@ -53,8 +56,12 @@ def line_passes(line: Column, rules: Rules) -> Column:
     long_enough = F.length(line) >= rules.min_line_chars
     symbols = long_enough & (100 * _count(line, SYMBOLS) > rules.max_symbol_share * F.length(line))
     capitals = long_enough & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}") & (2 * _count(line, r"\p{Lu}") > _count(line, r"\p{L}"))
-    menu = line.rlike(rules.link_names) | (_count(line, rules.separators) > rules.max_separators)
-    return ~(symbols | capitals | menu | line.rlike(rules.boilerplate))
+    punctuation = long_enough & (100 * _count(line, r"\p{P}") > rules.max_punctuation_share * F.length(line))
+    separators = _count(line, rules.separators)
+    words = F.size(F.filter(F.split(F.regexp_replace(line, rules.separators, " "), SPACE), lambda w: w != ""))
+    parts = (separators >= rules.max_separators) & (words <= rules.max_part_words * (separators + 1))
+    menu = line.rlike(rules.link_names) | (separators > rules.max_separators) | parts
+    return ~(symbols | punctuation | capitals | menu | line.rlike(rules.boilerplate))
 
 
 def judge(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -117,16 +124,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_sql(rules: Rules = Rules()) -> str:
-    """SQL of op3_quality_rules, over the table documents.
-
-    It fails every line with a capital and no small letter: equal to judge()
-    unless most letters of such a line are caseless.
-    """
+    """SQL of op3_quality_rules, over the table documents."""
     count = lambda x, p: f"(length({x}) - length(regexp_replace({x}, '{p}', '', 'g')))"
     line_fails = (
         f"(length(x) >= {rules.min_line_chars} AND 100 * {count('x', SYMBOLS)} > {rules.max_symbol_share} * length(x))"
-        f" OR (length(x) >= {rules.min_line_chars} AND regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}'))"
+        f" OR (length(x) >= {rules.min_line_chars} AND regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}') AND 2 * {count('x', '\\p{Lu}')} > {count('x', '\\p{L}')})"
+        f" OR (length(x) >= {rules.min_line_chars} AND 100 * {count('x', '\\p{P}')} > {rules.max_punctuation_share} * length(x))"
         f" OR regexp_matches(x, '{rules.link_names}') OR {count('x', rules.separators)} > {rules.max_separators}"
+        f" OR ({count('x', rules.separators)} >= {rules.max_separators} AND len(regexp_extract_all(regexp_replace(x, '{rules.separators}', ' ', 'g'), '{WORD}+')) <= {rules.max_part_words} * ({count('x', rules.separators)} + 1))"
         f" OR regexp_matches(x, '{rules.boilerplate}')"
     )
     return f"""
