@@ -1,9 +1,10 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed capacity.
 
 Two pieces may not share a bin when they come from the same source or belong to
-the same duplicate cluster.  Documents are dealt over shards by a hash of their
-ids, so that a shard holds about BINS bins whatever the size of a source or
-cluster; each shard is packed on its own.  Within a shard, pieces are placed from
+the same duplicate cluster.  Pieces are dealt over shards by a hash of their
+document's id, cluster and source and of their place in it, so that a shard holds
+about BINS bins whatever the size of a source or cluster, and whatever ids are
+null or shared by several texts; each shard is packed on its own.  Within a shard, pieces are placed from
 the longest to the shortest.  Bins are ordered by what is left in them and carry
 bitmaps of their sources and clusters; the search begins at the first bin with
 room and goes on to successors until the tightest bin without a conflict is
@@ -80,7 +81,7 @@ def pack(df: DataFrame, capacity: int, doc_id: str = "doc_id", length: Column |
     pieces = pieces.select(
         "doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"),
         F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("length"), "source", "cluster",
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source"), F.lit(shards)).alias("shard"),
     )
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:

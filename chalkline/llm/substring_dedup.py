@@ -19,8 +19,9 @@ occurrences in a slice are repeats for certain and go straight to their document
 
 Null and empty texts stay as they are.  Rows with a null doc_id stay and count
 for no one.  A row that is repeated as a whole is one document: each copy gets
-the same result.  Rows that share a doc_id but not a text are kept apart by a
-checksum of the text.  Extra columns pass through; an empty table gives an empty
+the same result.  Rows that share a doc_id but not a text are kept apart by 22
+bits of a checksum of the text; should two such texts agree in them, which of
+their rows is taken as the earlier is undefined.  Extra columns pass through; an empty table gives an empty
 result.
 """
 
@@ -57,6 +58,7 @@ def _gear() -> np.ndarray:
 
 
 GEAR = _gear()
+TAGS = (1 << 22) - 1
 SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
@@ -100,9 +102,9 @@ def spans_of(ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> 32, pairs & (1 << 32) - 1
 
 
-# A place in a document in one integer: 16 bits of the text's checksum, 36 of the start, 10 of the length.
+# A place in a document in one integer: 22 bits of the text's checksum, 31 of the start, 10 of the length.
 def tag_of(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFF
+    return zlib.crc32(data) & TAGS
 
 
 def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,7 +126,7 @@ def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", tex
                 starts, ends = starts[first], ends[last]
                 keys.append(np.fromiter((digest(chunk[8 * i : 8 * j + 8]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(ends)))
                 docs.append(np.full(len(ends), doc, np.int64))
-                places.append(tag_of(data) << 46 | starts << 10 | ends - starts)
+                places.append(tag_of(data) << 41 | starts << 10 | ends - starts)
             key, doc, place = np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places)
             order = np.lexsort((place, doc, key))
             key, doc, place = key[order], doc[order], place[order]
@@ -150,7 +152,7 @@ def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", tex
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.col("text") != ""))
     dealt = rows.mapInArrow(chunks, "key long, doc long, place long, known boolean").repartition("key").sortWithinPartitions("known", "key", "doc", "place")
-    found = dealt.mapInArrow(later, "doc long, place long").groupBy("doc", F.shiftright("place", 46).cast("int").alias("tag"))
+    found = dealt.mapInArrow(later, "doc long, place long").groupBy("doc", F.shiftright("place", 41).cast("int").alias("tag"))
     return found.agg(F.sort_array(F.collect_set("place")).alias("places"))  # the spans of one document
 
 
@@ -171,7 +173,8 @@ def runs(places: list[int], min_bytes: int) -> list[tuple[int, int]]:
     """(start, end) in bytes of runs of adjacent or overlapping places, in order, that are long enough."""
     out: list[list[int]] = []
     for p in places:
-        start, end = p >> 10 & (1 << 36) - 1, (p >> 10 & (1 << 36) - 1) + (p & 1023)
+        start = p >> 10 & (1 << 31) - 1
+        end = start + (p & 1023)
         if out and out[-1][1] >= start:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -206,7 +209,7 @@ def dedupe(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind), pa.array(removed, pa.int64())], [*names, *(f.name for f in new)])
 
     found = repeats(df, s, doc_id, text).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("places").alias("__places"))
-    tag = F.crc32(F.col(text).cast("binary")).bitwiseAND(0xFFFF).cast("int")
+    tag = F.crc32(F.col(text).cast("binary")).bitwiseAND(TAGS).cast("int")
     joined = df.join(found, (F.col(doc_id).cast("long") == F.col("__doc")) & (tag == F.col("__tag")), "left").select(*(F.col(f"`{c}`") for c in df.columns), "__places")
     return joined.mapInArrow(cut, T.StructType([*df.schema.fields, *new]))
 
