@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.config import HostRules
+from chalkline.functions.bands import meet
 from chalkline.functions.text import duration_text
 
 
@@ -43,7 +44,7 @@ def verify_media(probes: DataFrame) -> DataFrame:
 
 def timeline_metadata(probes: DataFrame) -> DataFrame:
     """probes video_id, fps, frame_count, width, height, duration; what is missing is worked out, what can't be is dropped."""
-    count = F.coalesce(F.when(F.col("frame_count") > 0, F.col("frame_count")), F.greatest(F.lit(1).cast("long"), F.bround(F.col("duration") * F.col("fps")).cast("long")))
+    count = F.coalesce(F.when(F.col("frame_count") > 0, F.col("frame_count")), F.when(F.col("duration") > 0, F.greatest(F.lit(1).cast("long"), F.bround(F.col("duration") * F.col("fps")).cast("long"))))
     rows = probes.where((F.col("fps") > 0) & (F.col("width") > 0) & (F.col("height") > 0)).withColumn("frame_count", count)
     rows = rows.withColumn("duration_seconds", F.coalesce(F.when(F.col("duration") > 0, F.col("duration")), F.col("frame_count") / F.col("fps"))).where(F.col("frame_count").isNotNull() & (F.col("duration_seconds") > 0))
     last = F.least("duration_seconds", F.greatest(F.lit(0.0), (F.col("frame_count") - 1) / F.col("fps")))
@@ -61,5 +62,5 @@ def sample_grid(windows: DataFrame, fps: float, source_fps: float, least: float
 
 def fine_scan_filter(samples: DataFrame, windows: DataFrame) -> DataFrame:
     """Samples inside a window (closed), with its index."""
-    w = windows.select(F.col("video_id").alias("v"), "window_index", "start_seconds", "end_seconds")
-    return samples.join(w, (F.col("video_id") == F.col("v")) & F.col("timestamp_seconds").between(F.col("start_seconds"), F.col("end_seconds"))).select("video_id", "frame_index", "timestamp_seconds", "window_index")
+    w, at = windows.select("video_id", "window_index", "start_seconds", "end_seconds"), F.col("timestamp_seconds")
+    return meet(samples.select("video_id", "frame_index", "timestamp_seconds"), w, (at, at), (F.col("start_seconds"), F.col("end_seconds")), 16.0).select("video_id", "frame_index", "timestamp_seconds", "window_index")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chalkline.config import CoverageConfig
 from chalkline.functions import text as tx
+from chalkline.functions.bands import meet
 from chalkline.operators.changes import change_clusters
 
 # One struct holds the evidence of all rules; what a rule has not is null.
@@ -42,11 +43,13 @@ def nearest_distance(clusters: DataFrame, trusted: DataFrame) -> DataFrame:
 def resolve_states(states: DataFrame, reviewed: DataFrame, trusted: DataFrame, c: CoverageConfig = CoverageConfig()) -> DataFrame:
     """What became of each stable state, by the candidate nearest in time (at most ``match_seconds`` away)."""
     near = reviewed.join(trusted.select("video_id", "candidate_index", F.lit(True).alias("is_trusted")), ["video_id", "candidate_index"], "left")
-    near = near.select(F.col("video_id").alias("v"), "candidate_index", F.col("timestamp_seconds").alias("at"), "kept", "selected", "manual_decision", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted"))
+    near = near.select("video_id", "candidate_index", F.col("timestamp_seconds").alias("at"), "kept", "selected", "manual_decision", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted"))
     far = F.abs(F.col("at") - F.col("timestamp_seconds"))
     # Farther candidates leave a state unresolved, as none does, so the band bounds the join.
-    pairs = states.join(near, (F.col("video_id") == F.col("v")) & (far <= c.match_seconds), "left")
-    nearest = pairs.groupBy("video_id", "checkpoint_index", "timestamp_seconds").agg(F.min_by(F.struct("is_trusted", "selected", "kept", "manual_decision"), F.when(F.col("v").isNotNull(), F.struct(far, "candidate_index"))).alias("n"))
+    t, at = F.col("timestamp_seconds"), F.col("at")
+    pairs = meet(states.select("video_id", "checkpoint_index", "timestamp_seconds"), near, (t, t), (at - c.match_seconds - 0.001, at + c.match_seconds + 0.001), 4 * c.match_seconds).where(far <= c.match_seconds)
+    best = pairs.groupBy("video_id", "checkpoint_index").agg(F.min_by(F.struct("is_trusted", "selected", "kept", "manual_decision"), F.struct(far, "candidate_index")).alias("n"))
+    nearest = states.select("video_id", "checkpoint_index", "timestamp_seconds").join(best, ["video_id", "checkpoint_index"], "left")
     n = F.col("n")
     resolution = (
         F.when(n.isNull(), "UNRESOLVED").when(n["is_trusted"] | n["selected"], "TRUSTED").when(~n["kept"], "AUTO_DISMISSED_DUPLICATE").when(n["manual_decision"] == F.lit(False), "MANUALLY_DISMISSED").otherwise("UNRESOLVED")
@@ -56,13 +59,15 @@ def resolve_states(states: DataFrame, reviewed: DataFrame, trusted: DataFrame, c
 
 def states_near(clusters: DataFrame, resolved: DataFrame, c: CoverageConfig = CoverageConfig()) -> DataFrame:
     """Clusters with the number and the first eight times of states nearby, all and unresolved."""
-    s = resolved.select(F.col("video_id").alias("v"), F.round("timestamp_seconds", 4).alias("at"), F.col("timestamp_seconds").alias("exact"), (F.col("resolution") == "UNRESOLVED").alias("open"))
-    near = (F.col("video_id") == F.col("v")) & (F.col("exact") >= F.col("start_seconds") - c.near_seconds) & (F.col("exact") <= F.col("end_seconds") + c.near_seconds)
+    s = resolved.select("video_id", F.round("timestamp_seconds", 4).alias("at"), F.col("timestamp_seconds").alias("exact"), (F.col("resolution") == "UNRESOLVED").alias("open"))
     first = lambda x: tx.joined(F.slice(F.sort_array(F.collect_list(x)), 1, 8).cast("array<string>"))
-    found = clusters.join(s, near, "left").groupBy("video_id", "cluster_index").agg(
+    spans = clusters.select("video_id", "cluster_index", "start_seconds", "end_seconds")
+    pairs = meet(spans, s, (F.col("start_seconds") - c.near_seconds, F.col("end_seconds") + c.near_seconds), (F.col("exact"), F.col("exact")), 4 * c.near_seconds)
+    found = pairs.groupBy("video_id", "cluster_index").agg(
         F.count("at").alias("state_count"), F.count_if(F.col("open")).alias("unresolved_count"), first(F.col("at")).alias("state_times"), first(F.when(F.col("open"), F.col("at"))).alias("unresolved_times")
     )
-    return clusters.join(found, ["video_id", "cluster_index"])
+    zero = {"state_count": F.lit(0), "unresolved_count": F.lit(0), "state_times": F.lit(""), "unresolved_times": F.lit("")}
+    return clusters.join(found, ["video_id", "cluster_index"], "left").withColumns({x: F.coalesce(x, v) for x, v in zero.items()})
 
 
 def trusted_gaps(trusted: DataFrame, durations: DataFrame, c: CoverageConfig = CoverageConfig()) -> DataFrame:
@@ -77,13 +82,17 @@ def gap_evidence(gaps: DataFrame, segments: DataFrame, changes: DataFrame, resol
     """Gaps with the speech that overlaps them, the changes within (closed) and the states within (open)."""
     key = ["video_id", "left", "right"]
 
-    def counts(rows: DataFrame, inside, **aggregates) -> DataFrame:
-        return gaps.join(rows.withColumnRenamed("video_id", "v"), (F.col("video_id") == F.col("v")) & inside, "left").groupBy(*key).agg(*(x.alias(n) for n, x in aggregates.items()))
+    def counts(rows: DataFrame, low, high, within=None, **aggregates) -> DataFrame:
+        pairs = meet(gaps.select(*key), rows, (F.col("left"), F.col("right")), (low, high), 64.0)
+        found = (pairs if within is None else pairs.where(within)).groupBy(*key).agg(*(x.alias(n) for n, x in aggregates.items()))
+        return gaps.join(found, key, "left").select(*key, *(F.coalesce(n, F.lit(0)).alias(n) for n in aggregates))
 
-    said = counts(segments, (F.col("end_seconds") >= F.col("left")) & (F.col("start_seconds") <= F.col("right")), segment_count=F.count("segment_index"), word_count=F.coalesce(F.sum(tx.word_count(F.col("text"))), F.lit(0)))
     at = F.col("timestamp_seconds")
-    seen = counts(changes.where("kind <> 'NONE'"), at.between(F.col("left"), F.col("right")), change_count=F.count("frame_index"))
-    states = counts(resolved, (at > F.col("left")) & (at < F.col("right")), state_count=F.count("checkpoint_index"), unresolved_count=F.count_if(F.col("resolution") == "UNRESOLVED"))
+    spoken = segments.select("video_id", "start_seconds", "end_seconds", tx.word_count(F.col("text")).alias("words"))
+    said = counts(spoken, F.col("start_seconds"), F.col("end_seconds"), segment_count=F.count("*"), word_count=F.sum("words"))
+    seen = counts(changes.where("kind <> 'NONE'").select("video_id", "timestamp_seconds"), at, at, change_count=F.count("*"))
+    inside = (at > F.col("left")) & (at < F.col("right"))
+    states = counts(resolved.select("video_id", "timestamp_seconds", "resolution"), at, at, inside, state_count=F.count("*"), unresolved_count=F.count_if(F.col("resolution") == "UNRESOLVED"))
     return said.join(seen, key).join(states, key)
 
 

@@ -11,15 +11,22 @@ from chalkline.operators.ocr import with_flags
 
 
 def apply_text_extractor(images: DataFrame, factory: Callable[[], Callable[[bytes], dict]]) -> DataFrame:
-    """images video_id, trusted_index, content -> text, word_count, mean_confidence and flags of each image."""
+    """images video_id, trusted_index, content -> text, lines, line_count, word_count, mean_confidence and flags of each image.
+
+    ``lines`` are those of the callable's result (none if it has none), its
+    line_count too; the number of lines where it gives no count.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = factory()
         for part in parts:
-            found = pd.DataFrame([extract(bytes(x)) for x in part.content], columns=["text", "word_count", "mean_confidence", "has_text"], index=part.index)
+            results = [extract(bytes(x)) for x in part.content]
+            found = pd.DataFrame(results, columns=["text", "word_count", "mean_confidence", "has_text"], index=part.index)
+            found["lines"] = [list(r["lines"]) if isinstance(r.get("lines"), list) else [] for r in results]
+            found["line_count"] = [int(r.get("line_count") or len(n)) for r, n in zip(results, found["lines"], strict=True)]
             yield pd.concat([part[["video_id", "trusted_index"]], found], axis=1)
 
-    return with_flags(images.mapInPandas(run, "video_id string, trusted_index int, text string, word_count long, mean_confidence double, has_text boolean"))
+    return with_flags(images.mapInPandas(run, "video_id string, trusted_index int, text string, word_count long, mean_confidence double, has_text boolean, lines array<string>, line_count int"))
 
 
 def apply_transcriber(audio: DataFrame, factory: Callable[[], Callable[[bytes], Iterator[tuple[float, float, str]]]]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from chalkline.config import TopicConfig
 from chalkline.functions import text as tx
+from chalkline.functions.bands import meet
+
 
 def in_order():
     """Rows of a lecture in order."""
@@ -27,18 +29,20 @@ def align(trusted: DataFrame, segments: DataFrame, c: TopicConfig = TopicConfig(
     """For each screenshot the segments that overlap [t - before, t + after], closed on both sides."""
     lo, hi = F.greatest(F.lit(0.0), F.col("timestamp_seconds") - c.before_seconds), F.col("timestamp_seconds") + c.after_seconds
     near = trusted.select("video_id", "trusted_index", "candidate_index", "timestamp_seconds", lo.alias("context_start_seconds"), hi.alias("context_end_seconds"))
-    pairs = near.join(segments, (near.video_id == segments.video_id) & (F.col("end_seconds") >= F.col("context_start_seconds")) & (F.col("start_seconds") <= F.col("context_end_seconds")), "left")
-    parts = F.sort_array(F.collect_list(F.when(F.col("segment_index").isNotNull(), F.struct("segment_index", "text"))))
-    out = pairs.groupBy(near.video_id, "trusted_index", "candidate_index", "timestamp_seconds", "context_start_seconds", "context_end_seconds").agg(parts.alias("parts"))
+    pairs = meet(near.select("video_id", "trusted_index", "context_start_seconds", "context_end_seconds"), segments, (F.col("context_start_seconds"), F.col("context_end_seconds")), (F.col("start_seconds"), F.col("end_seconds")), 32.0)
+    found = pairs.groupBy("video_id", "trusted_index").agg(F.sort_array(F.collect_list(F.struct("segment_index", "text"))).alias("parts"))
+    out = near.join(found, ["video_id", "trusted_index"], "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<segment_index:int,text:string>>")))
     said = F.filter(F.transform("parts", lambda x: x["text"]), lambda x: F.btrim(x) != "")
-    return out.select(*out.columns[:-1], F.transform("parts", lambda x: x["segment_index"]).alias("segment_indexes"), F.array_join(said, " ").alias("text"))
+    return out.select(*near.columns, F.transform("parts", lambda x: x["segment_index"]).alias("segment_indexes"), F.array_join(said, " ").alias("text"))
 
 
 def near_visual_signal(segments: DataFrame, trusted: DataFrame, signals: DataFrame, c: TopicConfig = TopicConfig()) -> DataFrame:
     """Segments that start within ``visual_seconds`` of a trusted screenshot of a signal candidate."""
-    shown = trusted.join(signals, ["video_id", "candidate_index"]).select(F.col("video_id").alias("v"), "timestamp_seconds")
-    near = (F.col("video_id") == F.col("v")) & (F.abs(F.col("timestamp_seconds") - F.col("start_seconds")) <= c.visual_seconds)
-    return segments.join(shown, near, "left_semi").select("video_id", "segment_index")
+    at, start = F.col("timestamp_seconds"), F.col("start_seconds")
+    shown = trusted.join(signals, ["video_id", "candidate_index"]).select("video_id", "timestamp_seconds")
+    # The buckets are a little wider than the band, which the difference itself decides.
+    pairs = meet(segments.select("video_id", "segment_index", "start_seconds"), shown, (start, start), (at - c.visual_seconds - 0.001, at + c.visual_seconds + 0.001), 2 * c.visual_seconds)
+    return pairs.where(F.abs(at - start) <= c.visual_seconds).select("video_id", "segment_index").distinct()
 
 
 def boundary_scores(segments: DataFrame, near: DataFrame, c: TopicConfig = TopicConfig()) -> DataFrame:
@@ -65,44 +69,68 @@ def boundary_scores(segments: DataFrame, near: DataFrame, c: TopicConfig = Topic
 
 
 def choose_boundaries(scores: DataFrame, first_start: DataFrame, c: TopicConfig = TopicConfig()) -> DataFrame:
-    """The boundaries taken: strong ones once a section is long enough, the best at hand once it is too long."""
+    """The boundaries taken: strong ones once a section is long enough, the best at hand once it is too long.
+
+    The best of the rows seen is kept as they come: a row's distance from the
+    section's start is fixed until a boundary is taken, and only then are the
+    rows behind that boundary looked at again.
+    """
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        all_ = [(int(r.segment_index), float(r.timestamp_seconds), float(r.score), list(r.reasons)) for r in rows.sort_values("segment_index").itertuples()]
-        start, last, pending_from, out = float(rows.first_start.iloc[0]), 0, 0, []
-        for n, (index, at, _, _) in enumerate(all_):
-            seen = all_[: n + 1]
-            strong = [x for x in seen if x[0] > pending_from and x[2] >= c.threshold]
-            if at - start >= c.min_seconds and strong:
-                ready = [x for x in strong if x[1] - start >= c.min_seconds]
-                if ready:
-                    best = max(ready, key=lambda x: (x[2], x[1]))
-                    out.append(best)
-                    start, last, pending_from = best[1], best[0], best[0]
-                    continue
-            if at - start >= c.max_seconds:
-                pool = [x for x in seen if x[0] > last and x[1] - start >= c.min_seconds]
-                if pool:
-                    best = max(pool, key=lambda x: x[2])  # the earliest of equals
-                    out.append((*best[:3], best[3] or ["MAX_SECTION_DURATION"]))
-                    start, last, pending_from = best[1], best[0], index
-        return pd.DataFrame([(key[0], i, t, s, r) for i, t, s, r in out], columns=["video_id", "segment_index", "timestamp_seconds", "score", "reasons"])
+        rows = rows.sort_values("segment_index")
+        index, at, score = rows.segment_index.tolist(), rows.timestamp_seconds.tolist(), rows.score.tolist()
+        reasons, start, since, best, pool, out = rows.reasons.tolist(), float(rows.first_start.iloc[0]), 0, None, None, []
+        last = pending = 0  # segments from which on rows may be taken: any, and strong ones
+
+        def see(j: int) -> None:
+            nonlocal best, pool
+            if at[j] - start < c.min_seconds:
+                return
+            if index[j] > pending and score[j] >= c.threshold and (best is None or (score[j], at[j]) > (score[best], at[best])):
+                best = j
+            if index[j] > last and (pool is None or score[j] > score[pool]):  # the earliest of equals
+                pool = j
+
+        for n in range(len(index)):
+            see(n)
+            taken = None
+            if best is not None and at[n] - start >= c.min_seconds:
+                taken, behind = best, index[best]
+                out.append((index[taken], at[taken], score[taken], list(reasons[taken])))
+            elif pool is not None and at[n] - start >= c.max_seconds:
+                taken, behind = pool, index[n]
+                out.append((index[taken], at[taken], score[taken], list(reasons[taken]) or ["MAX_SECTION_DURATION"]))
+            if taken is not None:
+                start, last, pending, since, best, pool = at[taken], index[taken], behind, taken + 1, None, None
+                for j in range(since, n + 1):
+                    see(j)
+        return pd.DataFrame([(key[0], *x) for x in out], columns=["video_id", "segment_index", "timestamp_seconds", "score", "reasons"])
 
     schema = "video_id string, segment_index int, timestamp_seconds double, score double, reasons array<string>"
     return scores.join(first_start, "video_id").groupBy("video_id").applyInPandas(fold, schema)
 
 
+def topic_of_segments(segments: DataFrame, starts: DataFrame) -> DataFrame:
+    """video_id, segment_index, topic_index: the last of ``starts`` (segment_start_index, topic_index) at or before each segment.
+
+    Starts and segments stand in one order and the last start is carried along.
+    """
+    begin = starts.select("video_id", F.col("segment_start_index").alias("segment_index"), F.lit(0).alias("role"), "topic_index")
+    rows = begin.unionByName(segments.select("video_id", "segment_index", F.lit(1).alias("role"), F.lit(None).cast("int").alias("topic_index")))
+    order = Window.partitionBy("video_id").orderBy("segment_index", "role").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("topic_index", F.last("topic_index", ignorenulls=True).over(order))
+    return rows.where("role = 1 AND topic_index IS NOT NULL").drop("role")
+
+
 def topic_spans(segments: DataFrame, boundaries: DataFrame, trusted: DataFrame, durations: DataFrame) -> DataFrame:
     """Sections between boundaries: segment ranges and times that also cover the screenshots."""
     firsts = segments.select("video_id").distinct().select("video_id", F.lit(0).alias("segment_start_index"), F.array(F.lit("LECTURE_START")).alias("boundary_reasons"))
     starts = firsts.unionByName(boundaries.select("video_id", F.col("segment_index").alias("segment_start_index"), F.col("reasons").alias("boundary_reasons")))
     order = Window.partitionBy("video_id").orderBy("segment_start_index")
-    starts = starts.withColumns({"topic_index": (F.row_number().over(order) - 1).cast("int"), "next_index": F.lead("segment_start_index").over(order)})
-    seg = segments.select(F.col("video_id").alias("v"), "segment_index", "start_seconds", "end_seconds")
-    inside = (F.col("video_id") == F.col("v")) & (F.col("segment_index") >= F.col("segment_start_index")) & (F.col("next_index").isNull() | (F.col("segment_index") < F.col("next_index")))
-    spans = starts.join(seg, inside).groupBy("video_id", "topic_index", "segment_start_index", "boundary_reasons").agg(
-        F.max("segment_index").alias("segment_end_index"), F.min_by("start_seconds", "segment_index").alias("s"), F.max_by("end_seconds", "segment_index").alias("e")
-    )
+    starts = starts.withColumn("topic_index", (F.row_number().over(order) - 1).cast("int"))
+    seg = segments.select("video_id", "segment_index", "start_seconds", "end_seconds").join(topic_of_segments(segments, starts), ["video_id", "segment_index"])
+    ranges = seg.groupBy("video_id", "topic_index").agg(F.max("segment_index").alias("segment_end_index"), F.min_by("start_seconds", "segment_index").alias("s"), F.max_by("end_seconds", "segment_index").alias("e"))
+    spans = starts.join(ranges, ["video_id", "topic_index"])
     earliest = trusted.groupBy("video_id").agg(F.min("timestamp_seconds").alias("earliest"))
     spans = spans.join(earliest, "video_id", "left").join(durations, "video_id", "left")
     topic = Window.partitionBy("video_id").orderBy("topic_index")
@@ -133,14 +161,16 @@ def visual_only_topics(trusted: DataFrame, durations: DataFrame, c: TopicConfig
 
 def assign_to_topics(trusted: DataFrame, spans: DataFrame) -> DataFrame:
     """(topic_index, trusted_index): the band [start, end), open-ended for the last topic."""
-    s = spans.select(F.col("video_id").alias("v"), "topic_index", "start_seconds", "end_seconds", "is_last")
-    inside = (F.col("video_id") == F.col("v")) & (F.col("timestamp_seconds") >= F.col("start_seconds")) & (F.col("is_last") | (F.col("timestamp_seconds") < F.col("end_seconds")))
-    return trusted.join(s, inside).select("video_id", "topic_index", "trusted_index", "candidate_index", "timestamp_seconds")
+    rows, at = trusted.select("video_id", "trusted_index", "candidate_index", "timestamp_seconds"), F.col("timestamp_seconds")
+    s = spans.select("video_id", "topic_index", "start_seconds", "end_seconds", "is_last")
+    inner = meet(rows, s.where("NOT is_last"), (at, at), (F.col("start_seconds"), F.col("end_seconds")), 64.0).where(at < F.col("end_seconds"))
+    last = rows.join(s.where("is_last"), "video_id").where(at >= F.col("start_seconds"))  # one span a lecture
+    return inner.unionByName(last).select("video_id", "topic_index", "trusted_index", "candidate_index", "timestamp_seconds")
 
 
 def in_topics(segments: DataFrame, spans: DataFrame) -> DataFrame:
-    s = spans.select(F.col("video_id").alias("v"), "topic_index", "segment_start_index", "segment_end_index")
-    return segments.join(s, (F.col("video_id") == F.col("v")) & F.col("segment_index").between(F.col("segment_start_index"), F.col("segment_end_index"))).drop("v", "segment_start_index", "segment_end_index")
+    """Segments and the topic in whose range they are."""
+    return segments.join(topic_of_segments(segments, spans.select("video_id", "segment_start_index", "topic_index")), ["video_id", "segment_index"]).select(*segments.columns, "topic_index")
 
 
 def top_tokens(rows: DataFrame, order: str, tokens, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ from chalkline.operators import candidates as cand
 from chalkline.operators import changes as chg
 from chalkline.operators import coverage as cov
 from chalkline.operators import ocr, speech
+from chalkline.sources.scratch import scratch_path
 
 GRID = 8  # embeddings are read as GRID x GRID frames
 EDGE = 0.1
@@ -22,20 +23,31 @@ TILES = 20  # lectures
 
 
 def table(method):
-    """Built once a library: plans are shared, nothing is computed."""
+    """Built once a library: a plan, or a written table if it is one of the ``shared`` ones."""
 
     @wraps(method)
     def get(self):
-        if method.__name__ not in self._made:
-            self._made[method.__name__] = method(self)
-        return self._made[method.__name__]
+        name = method.__name__
+        if name not in self._made:
+            made = method(self)
+            if name in self.shared:
+                path = scratch_path(self.spark, name)
+                made.write.parquet(path)
+                made = self.spark.read.schema(made.schema).parquet(path)
+            self._made[name] = made
+        return self._made[name]
 
     return property(get)
 
 
+#: Tables that several stages behind them read: queries over many stages write each once.
+STAGES = frozenset(("all_changes", "segments", "candidates", "reviewed", "trusted", "states", "scores", "boundaries", "spans", "assigned", "keywords", "alignment", "ocr", "resolved", "findings"))
+
+
 class Library:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self.shared: frozenset[str] = frozenset()  # tables to be written when they are first asked for
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -235,24 +247,18 @@ class Library:
         return rows.where(~((F.col("kind") == 3) & (i == 0))).select("video_id", i.alias("position"), asked.cast("int").alias("trusted_index"))
 
     @table
-    def windows(self):
-        """Activity windows over all changes, merged."""
-        raw = chg.coarse_windows(self.changes)
-        return chg.merge_windows(raw, self.timeline.select("video_id", F.col("duration_seconds").alias("duration")))
+    def raw_windows(self):
+        return chg.coarse_windows(self.changes)
 
     @table
-    def window_seeds(self):
-        """Small windows around strong changes, to be merged: of every eighth sample only, as the SQL has it."""
-        rows = self.changes.where("kind IN ('SCENE', 'STRUCTURAL') AND frame_index % 8 = 0")
-        order = Window.partitionBy("video_id").orderBy("frame_index")
-        return rows.select(
-            "video_id", (F.row_number().over(order) - 1).cast("int").alias("window_index"), F.col("previous_timestamp_seconds").alias("start_seconds"), F.col("timestamp_seconds").alias("end_seconds"), F.col("change_score").alias("peak_score"),
-            (F.col("kind") == "SCENE").alias("scene_change"), (F.col("kind") == "STRUCTURAL").alias("structural_change"), F.lit(1).cast("long").alias("coarse_sample_count"), F.when(F.col("kind") == "SCENE", "SCENE_TRANSITION").otherwise("STRUCTURAL_ACTIVITY").alias("reason"),
-        )
+    def windows(self):
+        """Activity windows over all changes, merged."""
+        return chg.merge_windows(self.raw_windows, self.timeline.select("video_id", F.col("duration_seconds").alias("duration")))
 
     @table
-    def seed_windows(self):
-        return chg.merge_windows(self.window_seeds, self.timeline.select("video_id", F.col("duration_seconds").alias("duration")))
+    def scanned(self):
+        """The changes that a scan of the windows alone sees, with quiet rows over the rest."""
+        return chg.quiet_sentinels(self.windows, self.changes, self.timeline)
 
     @table
     def stage_inputs(self):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from chalkline.config import ChangeConfig
 from chalkline.functions import text as tx
 
 SPEECH = ", ".join(f"'{w}'" for w in tx.SPEECH_STOPWORDS)
@@ -172,10 +173,34 @@ TABLES: dict[str, str] = {
     "items": """SELECT o.video_id, o.position, o.trusted_index, t.candidate_index, t.timestamp_seconds, t.image_filename, a.topic_index, x.title AS topic_title FROM default_order o JOIN trusted t USING (video_id, trusted_index) LEFT JOIN (SELECT video_id, trusted_index, min(topic_index) AS topic_index FROM assigned GROUP BY ALL) a USING (video_id, trusted_index) LEFT JOIN titles x ON x.video_id = a.video_id AND x.topic_index = a.topic_index""",
     "pages_made": """SELECT *, unnest(list_filter([CASE WHEN first THEN 'COVER' END, CASE WHEN first OR before IS DISTINCT FROM topic_index THEN 'DIVIDER' END, 'SCREENSHOT'], lambda x: x IS NOT NULL)) AS page_kind FROM (SELECT *, lag(position) OVER w IS NULL AS first, lag(topic_index) OVER w AS before FROM items WINDOW w AS (PARTITION BY video_id ORDER BY position))""",
     "page_plan": """SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY position, CASE page_kind WHEN 'COVER' THEN 0 WHEN 'DIVIDER' THEN 1 ELSE 2 END))::INTEGER AS page_no, page_kind, CASE WHEN page_kind = 'SCREENSHOT' THEN trusted_index END AS trusted_index, CASE WHEN page_kind <> 'COVER' THEN topic_index END AS topic_index FROM pages_made""",
-    "seeds": """SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1)::INTEGER AS window_index, previous_timestamp_seconds AS start_seconds, timestamp_seconds AS end_seconds, change_score AS peak_score, kind = 'SCENE' AS scene_change, kind = 'STRUCTURAL' AS structural_change, CASE WHEN kind = 'SCENE' THEN 'SCENE_TRANSITION' ELSE 'STRUCTURAL_ACTIVITY' END AS reason FROM changes WHERE kind IN ('SCENE', 'STRUCTURAL') AND frame_index % 8 = 0""",
-    "padded": "SELECT s.*, greatest(0.0::DOUBLE, start_seconds - 1) AS lo, least(t.duration_seconds, end_seconds + 2) AS hi FROM seeds s JOIN timeline t USING (video_id)",
-    "seed_windows": """SELECT video_id, (island - 1)::INTEGER AS window_index, min(lo) AS start_seconds, max(hi) AS end_seconds, max(peak_score) AS peak_score, bool_or(scene_change) AS scene_change, bool_or(structural_change) AS structural_change, count(*) AS coarse_sample_count, list(reason ORDER BY lo, hi, window_index) AS all_reasons FROM (
+    # Activity windows of pairs, one row a step; m is the window that the step closes.
+    "window_walk": """SELECT video_id, 0::BIGINT AS i, 0 AS run, NULL::DOUBLE AS s, NULL::DOUBLE AS l, 0.0::DOUBLE AS peak, false AS scene, false AS structural, 0 AS n, NULL::STRUCT(s DOUBLE, l DOUBLE, peak DOUBLE, scene BOOLEAN, structural BOOLEAN, n INTEGER) AS m, false AS last FROM (SELECT DISTINCT video_id FROM changes)
+ UNION ALL SELECT video_id, i, runs, CASE WHEN hot THEN coalesce(s, pt) WHEN NOT shut THEN s END, CASE WHEN hot THEN t WHEN NOT shut THEN l END, CASE WHEN hot THEN greatest(peak, c_score) WHEN shut THEN 0.0::DOUBLE ELSE peak END,
+  CASE WHEN hot THEN scene OR c_kind = 'SCENE' ELSE scene AND NOT shut END, CASE WHEN hot THEN structural OR c_kind = 'STRUCTURAL' ELSE structural AND NOT shut END, CASE WHEN hot THEN n + 1 WHEN shut THEN 0 ELSE n END,
+  CASE WHEN shut THEN {'s': s, 'l': l, 'peak': peak, 'scene': scene, 'structural': structural, 'n': n} END, back = 1
+ FROM (SELECT *, NOT hot AND s IS NOT NULL AND coalesce(t - l >= 1, false) AS shut FROM (SELECT *, c_kind IN ('STRUCTURAL', 'SCENE') OR c_kind = 'LOCAL' AND runs >= 2 AS hot FROM (
+  SELECT w.*  EXCLUDE (i, m, last), c.i, c.back, c.kind AS c_kind, c.change_score AS c_score, c.previous_timestamp_seconds AS pt, c.timestamp_seconds AS t, CASE c.kind WHEN 'LOCAL' THEN w.run + 1 WHEN 'NONE' THEN 0 ELSE w.run END AS runs
+  FROM window_walk w JOIN ordered c ON c.video_id = w.video_id AND c.i = w.i + 1)))""",
+    "raw_windows": """SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY w.s) - 1)::INTEGER AS window_index, w.s AS start_seconds, w.l AS end_seconds, round(w.peak, 4) AS peak_score, w.scene AS scene_change, w.structural AS structural_change, w.n::BIGINT AS coarse_sample_count,
+ CASE WHEN w.scene THEN 'SCENE_TRANSITION' WHEN w.structural THEN 'STRUCTURAL_ACTIVITY' ELSE 'PERSISTENT_LOCAL_CHANGE' END AS reason FROM (SELECT video_id, m AS w FROM window_walk WHERE m IS NOT NULL
+ UNION ALL SELECT video_id, {'s': s, 'l': l, 'peak': peak, 'scene': scene, 'structural': structural, 'n': n} FROM window_walk WHERE last AND s IS NOT NULL)""",
+    "padded": "SELECT s.*, greatest(0.0::DOUBLE, start_seconds - 1) AS lo, least(t.duration_seconds, end_seconds + 2) AS hi FROM raw_windows s JOIN timeline t USING (video_id)",
+    "merged_windows": """SELECT video_id, (island - 1)::INTEGER AS window_index, min(lo) AS start_seconds, max(hi) AS end_seconds, max(peak_score) AS peak_score, bool_or(scene_change) AS scene_change, bool_or(structural_change) AS structural_change, sum(coarse_sample_count)::BIGINT AS coarse_sample_count, list(reason ORDER BY lo, hi, window_index) AS all_reasons FROM (
  SELECT *, sum(b) OVER (PARTITION BY video_id ORDER BY lo, hi, window_index ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lo - max(hi) OVER (PARTITION BY video_id ORDER BY lo, hi, window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2 THEN 0 ELSE 1 END AS b FROM padded)) GROUP BY video_id, island""",
+    # Near-duplicate suppression: recent holds the last five kept frames, newest first.
+    "suppressed": """SELECT video_id, -1 AS candidate_index, []::STRUCT(i INTEGER, h BIGINT, v DOUBLE[])[] AS recent, NULL::STRUCT(kept BOOLEAN, "of" INTEGER, bits INTEGER, diff DOUBLE) AS m, 0::BIGINT AS step FROM (SELECT DISTINCT video_id FROM hashes)
+ UNION ALL SELECT video_id, candidate_index, CASE WHEN keep THEN list_prepend({'i': candidate_index, 'h': dhash, 'v': thumb}, recent[1:4]) ELSE recent END,
+  {'kept': keep, 'of': CASE WHEN NOT keep THEN hit.i END, 'bits': CASE WHEN hit IS NOT NULL THEN bit_count(xor(dhash, hit.h))::INTEGER END, 'diff': CASE WHEN hit IS NOT NULL THEN round(list_sum(list_transform(range(1, 65), lambda k: abs(thumb[k] - hit.v[k]))) / 64, 6) END}, step
+ FROM (SELECT *, protected OR hit IS NULL AS keep FROM (SELECT h.video_id, h.candidate_index, h.dhash, h.thumb, h.protected, s.recent, h.step,
+   list_filter(s.recent, lambda r: bit_count(xor(h.dhash, r.h)) <= 22 AND list_sum(list_transform(range(1, 65), lambda k: abs(h.thumb[k] - r.v[k]))) / 64 <= 0.14::DOUBLE)[1] AS hit
+  FROM suppressed s JOIN (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY candidate_index) AS step FROM hashes) h ON h.video_id = s.video_id AND h.step = s.step + 1))""",
+    "visual_groups": """SELECT video_id, trusted_index, timestamp_seconds AS t, 0 AS topic, timestamp_seconds AS since FROM trusted WHERE trusted_index = 0
+ UNION ALL SELECT video_id, trusted_index, t, CASE WHEN fresh THEN topic + 1 ELSE topic END, CASE WHEN fresh THEN t ELSE since END FROM (
+  SELECT c.video_id, c.trusted_index, c.timestamp_seconds AS t, g.topic, g.since, c.timestamp_seconds - g.t >= 90 AND c.timestamp_seconds - g.since >= 45 OR c.timestamp_seconds - g.since >= 300 AS fresh
+  FROM visual_groups g JOIN trusted c ON c.video_id = g.video_id AND c.trusted_index = g.trusted_index + 1)""",
+    "raw_times": "SELECT video_id, frame_index, CASE WHEN frame_index % 5 = 0 THEN 0.0::DOUBLE WHEN frame_index % 7 = 0 THEN timestamp_seconds - 9 ELSE timestamp_seconds END AS raw FROM all_changes",
+    "repaired": """SELECT video_id, -1 AS i, 0.0::DOUBLE AS last FROM (SELECT DISTINCT video_id FROM all_changes)
+ UNION ALL SELECT r.video_id, r.frame_index, greatest(p.last, CASE WHEN r.raw > 0 AND r.raw >= p.last THEN r.raw ELSE r.frame_index / 0.4::DOUBLE END) FROM repaired p JOIN raw_times r ON r.video_id = p.video_id AND r.frame_index = p.i + 1""",
     "dag": "SELECT * FROM (VALUES (0, 'raw', 'source'), (1, 'source', 'timeline'), (2, 'timeline', 'changes'), (3, 'changes', 'states'), (4, 'states', 'candidates'), (5, 'candidates', 'trusted'), (6, 'source', 'transcript'), (7, 'transcript', 'topics'), (7, 'trusted', 'topics'), (8, 'trusted', 'ocr'), (8, 'topics', 'ocr'), (9, 'changes', 'coverage'), (9, 'states', 'coverage'), (9, 'candidates', 'coverage'), (9, 'trusted', 'coverage'), (9, 'transcript', 'coverage'), (9, 'topics', 'coverage'), (9, 'ocr', 'coverage')) AS t(number, input, stage)",
     "stage_inputs": "SELECT video_id, stage, input, CASE WHEN (video_id::INTEGER + number) % 7 = 3 THEN NULL WHEN (video_id::INTEGER * 3 + number) % 11 = 5 THEN 0 ELSE 1 END AS recorded_version FROM lectures, dag",
     "freshness": "SELECT video_id, stage, CASE WHEN count(recorded_version) = 0 THEN 'MISSING' WHEN bool_and(recorded_version IS NOT DISTINCT FROM 1) THEN 'FRESH' ELSE 'STALE' END AS status FROM stage_inputs GROUP BY ALL",
@@ -185,6 +210,36 @@ TABLES: dict[str, str] = {
 }
 
 
+def frame_difference(a: str, b: str, c: ChangeConfig, edge: float) -> str:
+    """{kind, score} of the change between two frames of 8 x 8 values."""
+    changed = f"list_filter(range(0, 64), lambda i: abs({b}[i + 1] - {a}[i + 1]) >= {c.pixel_delta})"
+    mean = f"list_sum(list_transform(range(1, 65), lambda i: abs({b}[i] - {a}[i]))) / 64"
+    moved = f"len(list_filter(range(1, 65), lambda i: i % 8 <> 0 AND (abs({a}[i + 1] - {a}[i]) > {edge}) <> (abs({b}[i + 1] - {b}[i]) > {edge})))::DOUBLE / 64"
+    side = lambda f, part: f"list_{f}(list_transform(ch, lambda i: {part}))"
+    box = f"CASE WHEN len(ch) = 0 THEN 0.0::DOUBLE ELSE ({side('max', 'i // 8')} - {side('min', 'i // 8')} + 1) * ({side('max', 'i % 8')} - {side('min', 'i % 8')} + 1)::DOUBLE / 64 END"
+    kind = (
+        f"CASE WHEN mean <= {c.quiet_mean} AND len(ch) / 64.0::DOUBLE <= {c.quiet_ratio} AND moved <= {c.quiet_edge} THEN 'NONE' WHEN len(ch) / 64.0::DOUBLE >= {c.scene_ratio} OR mean >= {c.scene_mean} THEN 'SCENE'"
+        f" WHEN len(ch) / 64.0::DOUBLE <= {c.local_ratio} AND {box} <= {c.local_bbox} AND mean <= {c.local_mean} THEN 'LOCAL' ELSE 'STRUCTURAL' END"
+    )
+    score = "floor(100.0::DOUBLE * (0.35::DOUBLE * least(1.0::DOUBLE, mean / 40) + 0.45::DOUBLE * least(1.0::DOUBLE, len(ch) / 64.0::DOUBLE / 0.35::DOUBLE) + 0.20::DOUBLE * least(1.0::DOUBLE, moved / 0.20::DOUBLE)) * 10000 + 0.5::DOUBLE) / 10000"
+    return f"(SELECT {{'kind': {kind}, 'score': {score}}} FROM (SELECT {changed} AS ch, {mean} AS mean, {moved} AS moved))"
+
+
+def anchored_windows(c: ChangeConfig, edge: float, quiet: float) -> str:
+    """Activity windows of frames with an anchor: one row a step, m is the window that the step closes."""
+    return f"""WITH RECURSIVE f AS (SELECT (vec_id % 20)::VARCHAR AS video_id, (vec_id // 20 * 48 + 7)::DOUBLE AS t, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id // 20) AS i, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id // 20 DESC) = 1 AS last FROM embeddings),
+walk AS (SELECT video_id, i, t, v, v AS anchor, 0 AS run, NULL::DOUBLE AS s, NULL::DOUBLE AS l, 0.0::DOUBLE AS peak, false AS scene, false AS structural, 0 AS n, NULL::STRUCT(s DOUBLE, l DOUBLE, peak DOUBLE, scene BOOLEAN, structural BOOLEAN, n INTEGER) AS m, last FROM f WHERE i = 1
+ UNION ALL SELECT video_id, i, t, v, CASE WHEN shut OR NOT hot AND s IS NULL AND p.kind = 'NONE' THEN v ELSE anchor END, runs, CASE WHEN hot THEN coalesce(s, pt) WHEN NOT shut THEN s END, CASE WHEN hot THEN t WHEN NOT shut THEN l END,
+  CASE WHEN hot THEN greatest(peak, p.score, a.score) WHEN shut THEN 0.0::DOUBLE ELSE peak END, CASE WHEN hot THEN scene OR 'SCENE' IN (p.kind, a.kind) ELSE scene AND NOT shut END, CASE WHEN hot THEN structural OR 'STRUCTURAL' IN (p.kind, a.kind) ELSE structural AND NOT shut END, CASE WHEN hot THEN n + 1 WHEN shut THEN 0 ELSE n END,
+  CASE WHEN shut THEN {{'s': s, 'l': l, 'peak': peak, 'scene': scene, 'structural': structural, 'n': n}} END, last
+ FROM (SELECT *, NOT hot AND s IS NOT NULL AND coalesce(t - l >= {quiet}, false) AS shut FROM (SELECT *, p.kind IN ('STRUCTURAL', 'SCENE') OR a.kind IN ('STRUCTURAL', 'SCENE') OR p.kind = 'LOCAL' AND (runs >= 2 OR a.kind <> 'NONE') AS hot FROM (
+  SELECT *, CASE p.kind WHEN 'LOCAL' THEN run + 1 WHEN 'NONE' THEN 0 ELSE run END AS runs FROM (SELECT *, {frame_difference('before', 'v', c, edge)} AS p, {frame_difference('anchor', 'v', c, edge)} AS a FROM (
+   SELECT f.video_id, f.i, f.t, f.v, f.last, w.v AS before, w.anchor, w.t AS pt, w.run, w.s, w.l, w.peak, w.scene, w.structural, w.n FROM walk w JOIN f ON f.video_id = w.video_id AND f.i = w.i + 1)))))),
+closed AS (SELECT video_id, m AS w FROM walk WHERE m IS NOT NULL UNION ALL SELECT video_id, {{'s': s, 'l': l, 'peak': peak, 'scene': scene, 'structural': structural, 'n': n}} FROM walk WHERE last AND s IS NOT NULL)
+SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY w.s) - 1)::INTEGER AS window_index, w.s AS start_seconds, w.l AS end_seconds, round(w.peak, 4) AS peak_score, w.scene AS scene_change, w.structural AS structural_change, w.n::BIGINT AS coarse_sample_count,
+ CASE WHEN w.scene THEN 'SCENE_TRANSITION' WHEN w.structural THEN 'STRUCTURAL_ACTIVITY' ELSE 'PERSISTENT_LOCAL_CHANGE' END AS reason FROM closed"""
+
+
 def with_tables(body: str) -> str:
     """``body`` behind the tables that it names, in order of need."""
     order: list[str] = []

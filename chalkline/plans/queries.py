@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.config import ChangeConfig
 from chalkline.functions import text as tx
 from chalkline.functions import vectors as vx
 from chalkline.operators import candidates as cand
@@ -14,7 +15,7 @@ from chalkline.operators import catalog, coverage, lineage, ocr, pages, plugins,
 from chalkline.operators import changes as chg
 from chalkline.operators import summaries as sm
 from chalkline.plans import oracle as o
-from chalkline.plans.library import EDGE, GRID, TILES, Library
+from chalkline.plans.library import EDGE, GRID, STAGES, TILES, Library
 from chalkline.sources import artifacts
 from chalkline.sources.scratch import scratch_path
 from chalkline.streaming import states as stream
@@ -23,13 +24,20 @@ SPARK: dict[str, Callable[[Library], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function of the library under its name, with its SQL where there is one."""
+def query(sql: str | None = None, stages: bool = False):
+    """Register a function of the library under its name, with its SQL where there is one.
+
+    ``stages``: it reads tables of many stages, each of which is written once.
+    """
 
     def add(f):
-        SPARK[f.__name__] = f
+        def run(x):
+            x.shared = STAGES if stages else x.shared
+            return f(x)
+
+        SPARK[f.__name__] = run
         if sql:
-            SQL[f.__name__] = o.with_tables(sql)
+            SQL[f.__name__] = sql if sql.startswith("WITH RECURSIVE") else o.with_tables(sql)
         return f
 
     return add
@@ -63,11 +71,18 @@ def read_ocr_words(x):
     return rows.select(F.col("par_num").cast("string").alias("video_id"), F.col("page_num").alias("trusted_index"), F.col("block_num").alias("block"), F.col("line_num").alias("line"), F.col("word_num").cast("long").alias("pos"), "left", "top", "width", "height", "conf", "text")
 
 
-@query()
-def read_image_assets(x):
+def _image_folder(x):
+    """One file for each trusted screenshot but every sixth candidate: a copy of its name."""
     path = scratch_path(x.spark, "images")
-    x.frames.select(F.to_json(F.struct("thumb")).alias("value")).write.text(path)
-    return artifacts.read_image_assets(x.spark, path)
+    named = x.trusted.where("candidate_index % 6 <> 0").select(F.concat("video_id", F.lit("-"), "image_filename").alias("image_filename")).withColumn("value", F.col("image_filename"))
+    named.write.partitionBy("image_filename").text(path)
+    return path
+
+
+@query("SELECT video_id, trusted_index, video_id || '-' || image_filename AS image_filename, candidate_index % 6 <> 0 AS present FROM trusted")
+def read_image_assets(x):
+    manifest = x.trusted.select("video_id", "trusted_index", F.concat("video_id", F.lit("-"), "image_filename").alias("image_filename"))
+    return artifacts.read_image_assets(x.spark, _image_folder(x), manifest).select("video_id", "trusted_index", "image_filename", "present")
 
 
 @query("SELECT video_id, segment_index, start_seconds, end_seconds, text FROM segments")
@@ -206,16 +221,16 @@ def combined_context(x):
     return x.ocr.join(x.alignment.select("video_id", "trusted_index", F.col("text").alias("said")), ["video_id", "trusted_index"]).select("video_id", "trusted_index", ocr.combined_context(F.col("text"), F.col("said")).alias("combined_context"))
 
 
-@query("SELECT video_id, ready_for_pdf, pdf_status FROM summary")
+@query("SELECT video_id, ready_for_pdf, pdf_status FROM summary", stages=True)
 def gate_status(x):
     return x.summary.select("video_id", "ready_for_pdf", "pdf_status")
 
 
 # Vectors -------------------------------------------------------------------------------------------------------------
 @query("""SELECT video_id, window_index, i::INTEGER AS sample_index, greatest(0, round_even((start_seconds + i / 4.0::DOUBLE) * 10.0::DOUBLE, 0)::BIGINT) AS frame_index, round(start_seconds + i / 4.0::DOUBLE, 6) AS timestamp_seconds
-FROM (SELECT video_id, window_index, start_seconds, unnest(range(0, greatest(0, floor((end_seconds - start_seconds) * 4.0::DOUBLE)::INTEGER) + 1)) AS i FROM seed_windows)""")
+FROM (SELECT video_id, window_index, start_seconds, unnest(range(0, greatest(0, floor((end_seconds - start_seconds) * 4.0::DOUBLE)::INTEGER) + 1)) AS i FROM merged_windows)""")
 def sample_grid(x):
-    return catalog.sample_grid(x.seed_windows, 4.0, 10.0)
+    return catalog.sample_grid(x.windows, 4.0, 10.0)
 
 
 def _pairs(x):
@@ -273,12 +288,12 @@ def near_visual_signal(x):
     return x.near
 
 
-@query("SELECT * FROM assigned")
+@query("SELECT * FROM assigned", stages=True)
 def assign_to_topics(x):
     return x.assigned
 
 
-@query("SELECT * EXCLUDE (coverage_flags), array_to_string(coverage_flags, ',') AS coverage_flags FROM content")
+@query("SELECT * EXCLUDE (coverage_flags), array_to_string(coverage_flags, ',') AS coverage_flags FROM content", stages=True)
 def enrich_content(x):
     return x.content.withColumn("coverage_flags", tx.joined(F.col("coverage_flags")))
 
@@ -304,7 +319,7 @@ def resolve_states(x):
     return x.resolved
 
 
-@query("SELECT video_id, cluster_index, state_count, unresolved_count, state_times, unresolved_times FROM states_near")
+@query("SELECT video_id, cluster_index, state_count, unresolved_count, state_times, unresolved_times FROM states_near", stages=True)
 def states_near_cluster(x):
     return coverage.states_near(chg.change_clusters(x.changes), x.resolved).select("video_id", "cluster_index", "state_count", "unresolved_count", "state_times", "unresolved_times")
 
@@ -313,24 +328,24 @@ def _gap_evidence(x):
     return coverage.gap_evidence(coverage.trusted_gaps(x.trusted, x.lecture_durations), x.segments, x.changes, x.resolved)
 
 
-@query('SELECT video_id, "left", "right", segment_count, word_count FROM gap_evidence')
+@query('SELECT video_id, "left", "right", segment_count, word_count FROM gap_evidence', stages=True)
 def gap_speech_overlap(x):
     return _gap_evidence(x).select("video_id", "left", "right", "segment_count", F.col("word_count").cast("long").alias("word_count"))
 
 
-@query('SELECT video_id, "left", "right", change_count FROM gap_evidence')
+@query('SELECT video_id, "left", "right", change_count FROM gap_evidence', stages=True)
 def gap_visual_activity(x):
     return _gap_evidence(x).select("video_id", "left", "right", "change_count")
 
 
-@query('SELECT video_id, "left", "right", state_count, unresolved_count FROM gap_evidence')
+@query('SELECT video_id, "left", "right", state_count, unresolved_count FROM gap_evidence', stages=True)
 def gap_states(x):
     return _gap_evidence(x).select("video_id", "left", "right", "state_count", "unresolved_count")
 
 
-@query("SELECT c.video_id, c.frame_index, c.timestamp_seconds, w.window_index FROM all_changes c JOIN seed_windows w ON w.video_id = c.video_id AND c.timestamp_seconds BETWEEN w.start_seconds AND w.end_seconds")
+@query("SELECT c.video_id, c.frame_index, c.timestamp_seconds, w.window_index FROM all_changes c JOIN merged_windows w ON w.video_id = c.video_id AND c.timestamp_seconds BETWEEN w.start_seconds AND w.end_seconds")
 def fine_scan_filter(x):
-    return catalog.fine_scan_filter(x.all_changes, x.seed_windows)
+    return catalog.fine_scan_filter(x.all_changes, x.windows)
 
 
 @query("SELECT * FROM warnings")
@@ -338,7 +353,7 @@ def ocr_warning_lookup(x):
     return coverage.ocr_warnings(x.ocr, x.trusted)
 
 
-@query("SELECT * FROM items")
+@query("SELECT * FROM items", stages=True)
 def page_items(x):
     return pages.page_items(pages.default_page_order(x.assigned), x.trusted, x.assigned, x.titles)
 
@@ -349,9 +364,9 @@ def strong_change_clusters(x):
     return chg.change_clusters(x.changes)
 
 
-@query("""SELECT video_id, window_index, start_seconds, end_seconds, peak_score, scene_change, structural_change, coarse_sample_count, CASE WHEN len(list_distinct(all_reasons)) = 2 THEN all_reasons[1] || ',' || CASE WHEN all_reasons[1] = 'SCENE_TRANSITION' THEN 'STRUCTURAL_ACTIVITY' ELSE 'SCENE_TRANSITION' END ELSE all_reasons[1] END AS reasons FROM seed_windows""")
+@query("""SELECT video_id, window_index, start_seconds, end_seconds, peak_score, scene_change, structural_change, coarse_sample_count, array_to_string(list_filter(all_reasons, lambda r, i: list_position(all_reasons, r) = i), ',') AS reasons FROM merged_windows""")
 def merge_activity_windows(x):
-    return x.seed_windows.withColumn("reasons", tx.joined(F.col("reasons")))
+    return x.windows.withColumn("reasons", tx.joined(F.col("reasons")))
 
 
 @query("SELECT video_id, candidate_index, content_loss_risk, content_loss_reason FROM candidates")
@@ -364,12 +379,12 @@ def boundary_scores(x):
     return x.scores.withColumn("reasons", tx.joined(F.col("reasons")))
 
 
-@query("SELECT video_id, topic_index, segment_start_index, segment_end_index, start_seconds, end_seconds, is_last, array_to_string(boundary_reasons, ',') AS boundary_reasons FROM spans")
+@query("SELECT video_id, topic_index, segment_start_index, segment_end_index, start_seconds, end_seconds, is_last, array_to_string(boundary_reasons, ',') AS boundary_reasons FROM spans", stages=True)
 def topic_spans(x):
     return x.spans.withColumn("boundary_reasons", tx.joined(F.col("boundary_reasons")))
 
 
-@query('SELECT * FROM gaps')
+@query('SELECT * FROM gaps', stages=True)
 def trusted_gaps(x):
     return coverage.trusted_gaps(x.trusted, x.lecture_durations)
 
@@ -380,7 +395,7 @@ def state_span_metrics(x):
     return chg.span_metrics(x.changes, x.states)
 
 
-@query("SELECT * FROM page_plan")
+@query("SELECT * FROM page_plan", stages=True)
 def page_plan(x):
     return pages.page_plan(page_items(x))
 
@@ -390,14 +405,34 @@ def dense_reindex(x):
     return x.trusted.select("video_id", "candidate_index", "trusted_index")
 
 
-@query()
+# Limits for frames of values around 0 with a spread of about an eighth.
+FRAMES = ChangeConfig(pixel_delta=0.45)
+FRAME_EDGE = 0.6
+
+
+@query(o.anchored_windows(FRAMES, FRAME_EDGE, 100.0))
 def coarse_activity_windows(x):
-    return chg.coarse_windows(x.changes)
+    """Over frames, 48 seconds apart: a window stays open over two of them without activity."""
+    at = (F.col("candidate_index") * 48 + 7).cast("double")
+    frames = x.frames.select("video_id", F.col("candidate_index").alias("frame_index"), at.alias("timestamp_seconds"), "thumb")
+    return chg.anchored_windows(frames, GRID, FRAME_EDGE, FRAMES, 100.0)
+
+
+@query("SELECT * FROM raw_windows")
+def pair_activity_windows(x):
+    """Over classified pairs, without an anchor."""
+    return x.raw_windows
 
 
 @query()
 def quiet_sentinels(x):
-    return chg.quiet_sentinels(x.windows, x.changes, x.timeline)
+    return x.scanned
+
+
+@query()
+def scanned_states(x):
+    """Stable states as a scan finds them: of the changes within windows and the quiet rows between."""
+    return chg.stable_states(x.scanned)
 
 
 @query("SELECT * FROM stable")
@@ -410,7 +445,7 @@ def state_clamp(x):
     return x.states
 
 
-@query()
+@query("SELECT video_id, candidate_index, m.kept AS kept, m.of AS duplicate_of_candidate_index, m.bits AS duplicate_hash_distance, m.diff AS duplicate_mean_abs_difference FROM suppressed WHERE m IS NOT NULL")
 def suppress_near_duplicates(x):
     return cand.suppress_near_duplicates(_hashes(x), cand.CandidateConfig(max_hash_distance=22, max_mean_abs_difference=0.14))
 
@@ -420,12 +455,13 @@ def choose_boundaries(x):
     return x.boundaries.withColumn("reasons", tx.joined(F.col("reasons")))
 
 
-@query()
+@query("""SELECT g.video_id, g.topic_index, g.start_seconds, g.screenshot_count, coalesce(lead(g.start_seconds) OVER (PARTITION BY g.video_id ORDER BY g.topic_index), greatest(g.start_seconds, d.duration)) AS end_seconds
+FROM (SELECT video_id, topic AS topic_index, min(t) AS start_seconds, count(*) AS screenshot_count FROM visual_groups GROUP BY ALL) g JOIN lecture_durations d USING (video_id)""")
 def visual_only_topics(x):
     return speech.visual_only_topics(x.trusted, x.lecture_durations)
 
 
-@query()
+@query("SELECT video_id, i AS frame_index, last AS timestamp_seconds FROM repaired WHERE i >= 0")
 def repair_timestamps(x):
     raw = F.when(F.col("frame_index") % 5 == 0, 0.0).when(F.col("frame_index") % 7 == 0, F.col("timestamp_seconds") - 9).otherwise(F.col("timestamp_seconds"))
     return chg.repair_timestamps(x.all_changes.select("video_id", "frame_index", raw.alias("raw"), F.lit(0.4).alias("fps")))
@@ -442,28 +478,28 @@ def ocr_pages(x):
     return ocr.ocr_pages(x.ocr_words)
 
 
-@query("SELECT * FROM keywords")
+@query("SELECT * FROM keywords", stages=True)
 def topic_keywords(x):
     return x.keywords
 
 
-@query("SELECT * FROM visual_keywords")
+@query("SELECT * FROM visual_keywords", stages=True)
 def visual_keywords(x):
     return ocr.visual_keywords(x.content)
 
 
 @query("""SELECT t.*, coalesce(k.l, '') AS visual_keywords FROM (SELECT video_id, topic_index, count(*) AS screenshot_count, count(*) FILTER (trim(visible_text) <> '') AS screenshots_with_ocr_text, sum(ocr_word_count)::BIGINT AS ocr_word_count FROM content GROUP BY ALL) t
-LEFT JOIN (SELECT video_id, topic_index, string_agg(token, ',' ORDER BY rank) AS l FROM visual_keywords GROUP BY ALL) k USING (video_id, topic_index)""")
+LEFT JOIN (SELECT video_id, topic_index, string_agg(token, ',' ORDER BY rank) AS l FROM visual_keywords GROUP BY ALL) k USING (video_id, topic_index)""", stages=True)
 def topic_content(x):
     return ocr.topic_content(x.content)
 
 
-@query("SELECT * FROM titles")
+@query("SELECT * FROM titles", stages=True)
 def topic_titles(x):
     return x.titles
 
 
-@query("SELECT * EXCLUDE (trusted_screenshot_indexes), array_to_string(trusted_screenshot_indexes, ',') AS trusted_screenshot_indexes FROM topics")
+@query("SELECT * EXCLUDE (trusted_screenshot_indexes), array_to_string(trusted_screenshot_indexes, ',') AS trusted_screenshot_indexes FROM topics", stages=True)
 def topic_stats(x):
     return x.topics.withColumn("trusted_screenshot_indexes", tx.joined(F.col("trusted_screenshot_indexes").cast("array<string>")))
 
@@ -475,10 +511,10 @@ def summary_changes(x):
 
 
 @query("""SELECT video_id, coarse_samples, fine_samples, coarse_samples + fine_samples AS analysed_samples, a AS activity_seconds, round(greatest(0.0::DOUBLE, duration_seconds - a), 4) AS static_seconds_skipped, round(greatest(0.0::DOUBLE, 100 * (1 - (coarse_samples + fine_samples)::DOUBLE / frame_count)), 4) AS estimated_frame_reduction_percent, round((coarse_samples + fine_samples) / duration_seconds, 4) AS effective_fps FROM (
-SELECT t.*, (SELECT count(*) FROM all_changes c WHERE c.video_id = t.video_id AND c.frame_index % 4 = 0) AS coarse_samples, (SELECT count(*) FROM all_changes c JOIN seed_windows w ON w.video_id = c.video_id AND c.timestamp_seconds BETWEEN w.start_seconds AND w.end_seconds WHERE c.video_id = t.video_id) AS fine_samples,
-round(coalesce((SELECT sum(end_seconds - start_seconds) FROM seed_windows w WHERE w.video_id = t.video_id), 0.0::DOUBLE), 4) AS a FROM timeline t)""")
+SELECT t.*, (SELECT count(*) FROM all_changes c WHERE c.video_id = t.video_id AND c.frame_index % 4 = 0) AS coarse_samples, (SELECT count(*) FROM all_changes c JOIN merged_windows w ON w.video_id = c.video_id AND c.timestamp_seconds BETWEEN w.start_seconds AND w.end_seconds WHERE c.video_id = t.video_id) AS fine_samples,
+round(coalesce((SELECT sum(end_seconds - start_seconds) FROM merged_windows w WHERE w.video_id = t.video_id), 0.0::DOUBLE), 4) AS a FROM timeline t)""")
 def adaptive_savings(x):
-    return sm.adaptive_savings(x.timeline, x.seed_windows, x.all_changes.where("frame_index % 4 = 0"), fine_scan_filter(x))
+    return sm.adaptive_savings(x.timeline, x.windows, x.all_changes.where("frame_index % 4 = 0"), fine_scan_filter(x))
 
 
 @query("""SELECT l.video_id, count(s.video_id) AS checkpoint_count, count(*) FILTER (reason = 'INITIAL_STABLE') AS initial_count, count(*) FILTER (reason = 'STABLE_AFTER_CHANGE') AS stable_count, count(*) FILTER (reason = 'PRE_TRANSITION_PROTECTION') AS protection_count, count(*) FILTER (reason = 'END_OF_VIDEO_FALLBACK') AS fallback_count, count(*) FILTER (reason = 'SINGLE_FRAME') AS single_count, min(timestamp_seconds) AS first_seconds, max(timestamp_seconds) AS last_seconds FROM lectures l LEFT JOIN states s USING (video_id) GROUP BY l.video_id""")
@@ -507,7 +543,7 @@ def summary_alignment(x):
 
 
 @query("""SELECT video_id, (SELECT count(*) FROM topics t WHERE t.video_id = l.video_id) AS topic_count, (SELECT count(*) FROM segments t WHERE t.video_id = l.video_id) AS segment_count, (SELECT count(DISTINCT trusted_index) FROM assigned t WHERE t.video_id = l.video_id) AS assigned_count, (SELECT count(*) FROM scores t WHERE t.video_id = l.video_id AND score >= 0.9::DOUBLE) AS candidate_boundary_count,
-(SELECT count(*) FROM boundaries t WHERE t.video_id = l.video_id) AS accepted_boundary_count, (SELECT count(*) FROM trusted t WHERE t.video_id = l.video_id) - (SELECT count(DISTINCT trusted_index) FROM assigned t WHERE t.video_id = l.video_id) AS unassigned_count FROM lectures l""")
+(SELECT count(*) FROM boundaries t WHERE t.video_id = l.video_id) AS accepted_boundary_count, (SELECT count(*) FROM trusted t WHERE t.video_id = l.video_id) - (SELECT count(DISTINCT trusted_index) FROM assigned t WHERE t.video_id = l.video_id) AS unassigned_count FROM lectures l""", stages=True)
 def summary_topics(x):
     return sm.summary_topics(x.lectures, x.topics, x.segments, x.trusted, x.assigned, x.scores, x.boundaries, 0.9)
 
@@ -517,33 +553,33 @@ def summary_ocr(x):
     return sm.summary_ocr(x.lectures, x.ocr)
 
 
-@query("SELECT l.video_id, count(DISTINCT c.topic_index) AS topic_count, count(c.video_id) AS enriched_count, count(c.video_id) = (SELECT count(*) FROM trusted t WHERE t.video_id = l.video_id) AS coverage_complete FROM lectures l LEFT JOIN content c USING (video_id) GROUP BY l.video_id")
+@query("SELECT l.video_id, count(DISTINCT c.topic_index) AS topic_count, count(c.video_id) AS enriched_count, count(c.video_id) = (SELECT count(*) FROM trusted t WHERE t.video_id = l.video_id) AS coverage_complete FROM lectures l LEFT JOIN content c USING (video_id) GROUP BY l.video_id", stages=True)
 def summary_content(x):
     return sm.summary_content(x.lectures, x.content, x.trusted)
 
 
-@query("SELECT * FROM summary")
+@query("SELECT * FROM summary", stages=True)
 def summary_coverage(x):
     return x.summary
 
 
-@query("SELECT l.video_id, count(p.video_id) AS page_count, count(*) FILTER (page_kind = 'SCREENSHOT') AS screenshot_count, count(DISTINCT topic_index) AS topic_count FROM lectures l LEFT JOIN page_plan p USING (video_id) GROUP BY l.video_id")
+@query("SELECT l.video_id, count(p.video_id) AS page_count, count(*) FILTER (page_kind = 'SCREENSHOT') AS screenshot_count, count(DISTINCT topic_index) AS topic_count FROM lectures l LEFT JOIN page_plan p USING (video_id) GROUP BY l.video_id", stages=True)
 def summary_pages(x):
     return sm.summary_pages(x.lectures, page_plan(x))
 
 
-@query("SELECT pdf_status, severity, count(DISTINCT s.video_id) AS lectures, count(finding_index) AS findings FROM summary s LEFT JOIN findings f USING (video_id) GROUP BY ROLLUP (pdf_status, severity)")
+@query("SELECT pdf_status, severity, count(DISTINCT s.video_id) AS lectures, count(finding_index) AS findings FROM summary s LEFT JOIN findings f USING (video_id) GROUP BY ROLLUP (pdf_status, severity)", stages=True)
 def library_rollup(x):
     return coverage.library_rollup(x.summary, x.findings)
 
 
 # Sorts, sets, audits -------------------------------------------------------------------------------------------------
-@query("SELECT * FROM default_order")
+@query("SELECT * FROM default_order", stages=True)
 def default_page_order(x):
     return pages.default_page_order(x.assigned)
 
 
-@query("""SELECT video_id, CASE WHEN blocking THEN 'blocking' ELSE 'review' END AS class, (row_number() OVER (PARTITION BY video_id, blocking ORDER BY finding_index))::INTEGER AS rank, finding_index FROM findings WHERE blocking OR severity = 'REVIEW' QUALIFY row_number() OVER (PARTITION BY video_id, blocking ORDER BY finding_index) <= CASE WHEN blocking THEN 20 ELSE 12 END""")
+@query("""SELECT video_id, CASE WHEN blocking THEN 'blocking' ELSE 'review' END AS class, (row_number() OVER (PARTITION BY video_id, blocking ORDER BY finding_index))::INTEGER AS rank, finding_index FROM findings WHERE blocking OR severity = 'REVIEW' QUALIFY row_number() OVER (PARTITION BY video_id, blocking ORDER BY finding_index) <= CASE WHEN blocking THEN 20 ELSE 12 END""", stages=True)
 def top_findings(x):
     return coverage.top_findings(x.findings)
 
@@ -568,7 +604,7 @@ def _detail(df):
     return df.withColumn("detail", text).drop("evidence")
 
 
-@query("SELECT * FROM findings")
+@query("SELECT * FROM findings", stages=True)
 def coverage_findings(x):
     return _detail(x.findings)
 
@@ -578,14 +614,14 @@ def _rule(n: int, name: str) -> None:
         return _detail(x.rules[n - 1]).drop("rule", "rule_order")
 
     rule.__name__ = name
-    query(f"SELECT video_id, severity, blocking, start_seconds, end_seconds, reasons, detail FROM rule{n}")(rule)
+    query(f"SELECT video_id, severity, blocking, start_seconds, end_seconds, reasons, detail FROM rule{n}", stages=True)(rule)
 
 
 for _n, _name in enumerate(("uncaptured_change", "protected_lost", "long_gap", "topic_without_visual", "ocr_uncertain"), 1):
     _rule(_n, f"rule_{_name}")
 
 
-@query("SELECT * FROM lecture_durations")
+@query("SELECT * FROM lecture_durations", stages=True)
 def lecture_duration(x):
     return x.lecture_durations
 
@@ -611,15 +647,15 @@ def check_domain(x):
     return quality.check_domain(x.shuffled_changes)
 
 
-@query("SELECT video_id, min(trusted_index) FILTER (n <> 1) AS first_bad, count(*) FILTER (n <> 1) AS violations, sum(n) <> count(*) AS sum_differs FROM (SELECT t.video_id, t.trusted_index, count(a.video_id) AS n FROM trusted t LEFT JOIN assigned a USING (video_id, trusted_index) GROUP BY ALL) GROUP BY video_id HAVING count(*) FILTER (n <> 1) > 0")
+@query("SELECT video_id, min(trusted_index) FILTER (n <> 1) AS first_bad, count(*) FILTER (n <> 1) AS violations, sum(n) <> count(*) AS sum_differs FROM (SELECT t.video_id, t.trusted_index, count(a.video_id) AS n FROM trusted t LEFT JOIN assigned a USING (video_id, trusted_index) GROUP BY ALL) GROUP BY video_id HAVING count(*) FILTER (n <> 1) > 0", stages=True)
 def check_exactly_once(x):
     return quality.check_exactly_once(x.trusted, x.assigned)
 
 
-@query("SELECT t.video_id, t.trusted_index, t.image_filename FROM trusted t WHERE t.candidate_index % 6 = 0")
+@query("SELECT video_id, trusted_index, video_id || '-' || image_filename AS image_filename FROM trusted WHERE candidate_index % 6 = 0", stages=True)
 def check_assets_present(x):
-    there = x.frames.where("candidate_index % 6 <> 0").select(F.concat(F.lit("frame-"), "candidate_index", F.lit(".png")).alias("image_filename")).distinct()
-    return quality.check_assets_present(x.trusted, there)
+    manifest = x.trusted.select("video_id", "trusted_index", F.concat("video_id", F.lit("-"), "image_filename").alias("image_filename"))
+    return quality.check_assets_present(manifest, artifacts.read_image_assets(x.spark, _image_folder(x)))
 
 
 @query("SELECT * FROM freshness")
@@ -678,15 +714,15 @@ def activity_sessions_stream(x):
 def _extractor():
     def extract(content: bytes) -> dict:
         words = content.decode().split(" ")
-        return {"text": content.decode(), "word_count": len(words), "mean_confidence": float(len(words) % 101), "has_text": bool(content.strip())}
+        return {"text": content.decode(), "lines": content.decode().split("\n"), "word_count": len(words), "mean_confidence": float(len(words) % 101), "has_text": bool(content.strip())}
 
     return extract
 
 
-@query("SELECT (conv_id % 20)::VARCHAR AS video_id, (conv_id // 20 * 100 + turn)::INTEGER AS trusted_index, text, len(string_split(text, ' ')) AS word_count, (len(string_split(text, ' ')) % 101)::DOUBLE AS mean_confidence, trim(text) <> '' AS has_text, trim(text) <> '' AND len(string_split(text, ' ')) % 101 < 55 AS low_confidence FROM conversations")
+@query("SELECT (conv_id % 20)::VARCHAR AS video_id, (conv_id // 20 * 100 + turn)::INTEGER AS trusted_index, text, len(string_split(text, ' ')) AS word_count, (len(string_split(text, ' ')) % 101)::DOUBLE AS mean_confidence, trim(text) <> '' AS has_text, trim(text) <> '' AND len(string_split(text, ' ')) % 101 < 55 AS low_confidence, array_to_string(string_split(text, chr(10)), '/') AS lines, len(string_split(text, chr(10)))::INTEGER AS line_count FROM conversations")
 def apply_text_extractor(x):
     images = x.read("conversations").select((F.col("conv_id") % TILES).cast("string").alias("video_id"), (F.floor(F.col("conv_id") / TILES) * 100 + F.col("turn")).cast("int").alias("trusted_index"), F.col("text").cast("binary").alias("content"))
-    return plugins.apply_text_extractor(images, _extractor)
+    return plugins.apply_text_extractor(images, _extractor).withColumn("lines", F.array_join("lines", "/"))
 
 
 def _transcriber():

@@ -41,7 +41,17 @@ def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(good)
 
 
-def read_image_assets(spark: SparkSession, glob: str) -> DataFrame:
-    """Image files by name and size; contents are not read."""
+def read_image_assets(spark: SparkSession, glob: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Image files by name and size; contents are not read.
+
+    The name is that of the file, or of its folder where that is image_filename=NAME.
+    With a ``manifest`` (image_filename and more): its rows, the size of each
+    one's file (the largest of several of one name) and whether there is one.
+    """
     rows = spark.read.format("binaryFile").load(glob)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("image_filename"), "length")
+    name = F.col("image_filename") if "image_filename" in rows.columns else F.element_at(F.split("path", "/"), -1)
+    files = rows.select(name.alias("image_filename"), "length")
+    if manifest is None:
+        return files
+    sizes = files.groupBy("image_filename").agg(F.max("length").alias("length"))
+    return manifest.drop("length", "present").join(sizes, "image_filename", "left").withColumn("present", F.col("length").isNotNull())

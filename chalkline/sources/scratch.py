@@ -9,11 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a folder of our own only where the cluster names none."""
+    """A new path under spark.checkpoint.dir; a folder of our own only in local mode, where none may be named."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chalkline-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get()

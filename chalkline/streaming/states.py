@@ -1,6 +1,7 @@
 """Structured Streaming: stable states and late rows, activity sessions.
 
-A lecture's stream ends with a row of kind END; its last state is emitted then.
+A lecture's stream ends with a row of kind END or after a time without rows; its
+last state is emitted then.
 """
 
 from __future__ import annotations
@@ -21,11 +22,21 @@ STATE = "pending boolean, had_change boolean, quiet_start double, last_ts double
 OUT = STATES + ", status string"
 
 
-def stable_states_stream(changes: DataFrame, c: StateConfig = StateConfig()) -> DataFrame:
-    """States of a stream of change rows; rows behind the last one seen come out with status REJECTED."""
+def stable_states_stream(changes: DataFrame, c: StateConfig = StateConfig(), idle_ms: int | None = None) -> DataFrame:
+    """States of a stream of change rows; rows behind the last one seen come out with status REJECTED.
+
+    With ``idle_ms`` a lecture without rows for that long is over: its last state
+    is emitted and what is held for it is freed.  A query with a timer goes on
+    until it is stopped; with availableNow it would never end.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine, out = StateMachine(c, state.get if state.exists else None), []
+        if state.hasTimedOut:
+            state.remove()
+            made = machine.end()
+            yield pd.DataFrame([(key[0], *made, "EMITTED")] if made is not None else [], columns=[x.split()[0] for x in OUT.split(", ")])
+            return
         rows = pd.concat(list(batches)).sort_values(["timestamp_seconds", "frame_index"], kind="stable")
         for r in rows[COLUMNS].itertuples(index=False):
             if r.kind == "END":
@@ -37,9 +48,12 @@ def stable_states_stream(changes: DataFrame, c: StateConfig = StateConfig()) ->
             if made is not None:
                 out.append((key[0], *made, status))
         state.update(tuple(machine.state))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
 
-    return changes.groupBy("video_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return changes.groupBy("video_id").applyInPandasWithState(step, OUT, STATE, "append", timeout)
 
 
 def activity_sessions_stream(changes: DataFrame, gap: str = "1 second") -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators on hand-made rows, two lectures each so that a missing key shows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.config import CandidateConfig, StateConfig
+from chalkline.config import CandidateConfig, ChangeConfig, StateConfig, TopicConfig
 from chalkline.functions import text as tx
 from chalkline.functions import vectors as vx
 from chalkline.operators import candidates as cand
@@ -49,6 +51,98 @@ def test_quiet_sentinels(spark):
     assert [(r.frame_index, r.timestamp_seconds) for r in got if r.video_id == "c"] == [(9, 1.0)]
 
 
+def test_timeline_drops_what_cannot_be_worked_out(spark):
+    rows = [("a", 10.0, None, 640, 480, None), ("b", 10.0, 50, 640, 480, None), ("c", 10.0, None, 640, 480, 2.55), ("d", 10.0, 0, 640, 480, 0.0), ("e", 0.0, 5, 640, 480, 1.0)]
+    df = spark.createDataFrame(rows, "video_id string, fps double, frame_count int, width int, height int, duration double")
+    assert {r.video_id: (r.frame_count, r.duration_seconds) for r in catalog.timeline_metadata(df).collect()} == {"b": (50, 5.0), "c": (26, 2.55)}
+
+
+def test_windows_of_frames_with_an_anchor(spark):
+    """A lone LOCAL step counts, for it differs from the anchor too; a change that stays keeps its window open."""
+    still = np.random.default_rng(3).random(64)
+    frames = []
+    for video, busy in (("a", True), ("b", False)):
+        for i in range(24):
+            v = still.copy()
+            v[0] += 0.5 * (busy and i >= 4)
+            v[:16] += 0.5 * (busy and i >= 10)
+            frames.append((video, i, i * 0.5, v.tolist()))
+    df = spark.createDataFrame(frames, "video_id string, frame_index int, timestamp_seconds double, thumb array<double>")
+    got = chg.anchored_windows(df, 8, 0.5, ChangeConfig(pixel_delta=0.2, local_ratio=0.05, quiet_edge=1.0)).orderBy("window_index").collect()
+    assert [(r.video_id, r.start_seconds, r.end_seconds, r.reason, r.coarse_sample_count) for r in got] == [("a", 1.5, 2.0, "PERSISTENT_LOCAL_CHANGE", 1), ("a", 4.5, 11.5, "STRUCTURAL_ACTIVITY", 14)]
+
+
+def test_boundaries_against_a_plain_scan(spark):
+    """All rows seen so far are looked at again at every row."""
+    c, rng = TopicConfig(), np.random.default_rng(4)
+    rows, want = [], []
+    for video in "abc":
+        at = np.cumsum(rng.integers(1, 40, 150)).astype(float)
+        score = rng.choice([0.0, 0.2, 0.55, 0.9, 0.95, 1.4], 150, p=[0.5, 0.2, 0.15, 0.05, 0.05, 0.05])
+        if video == "c":
+            score = np.minimum(score, 0.6)
+        seen, start, last, pending = [], 0.0, 0, 0
+        for i in range(150):
+            rows.append((video, i + 1, float(at[i]), float(score[i]), [] if score[i] < 0.5 else ["X"]))
+            seen.append((i + 1, float(at[i]), float(score[i])))
+            ready = [x for x in seen if x[0] > pending and x[2] >= c.threshold and x[1] - start >= c.min_seconds]
+            pool = [x for x in seen if x[0] > last and x[1] - start >= c.min_seconds]
+            if ready:
+                best = max(ready, key=lambda x: (x[2], x[1]))
+                pending = best[0]
+            elif at[i] - start >= c.max_seconds and pool:
+                best = max(pool, key=lambda x: x[2])
+                pending = i + 1
+            else:
+                continue
+            want.append((video, best[0]))
+            start, last = best[1], best[0]
+    df = spark.createDataFrame(rows, "video_id string, segment_index int, timestamp_seconds double, score double, reasons array<string>")
+    first = spark.createDataFrame([(v, 0.0) for v in "abc"], "video_id string, first_start double")
+    got = speech.choose_boundaries(df, first).collect()
+    assert sorted((r.video_id, r.segment_index) for r in got) == want and {tuple(r.reasons) for r in got if r.video_id == "c"} <= {("X",), ("MAX_SECTION_DURATION",)}
+
+
+def test_spans_meet_as_in_all_pairs(spark):
+    from chalkline.functions.bands import meet
+
+    rng = np.random.default_rng(5)
+    left = [(str(v), i, float(x), float(x + w)) for i, (v, x, w) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 90, 60) / 2, rng.integers(-2, 30, 60), strict=True))] + [("0", 99, None, 3.0)]
+    right = [(str(v), i, float(x), float(x + w)) for i, (v, x, w) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(-10, 90, 60) / 2, rng.integers(0, 9, 60), strict=True))]
+    a = spark.createDataFrame(left, "video_id string, i int, lo double, hi double")
+    b = spark.createDataFrame(right, "video_id string, j int, low double, high double")
+    got = sorted((r.i, r.j) for r in meet(a, b, (F.col("lo"), F.col("hi")), (F.col("low"), F.col("high")), 4.0).collect())
+    assert got == sorted((i, j) for v, i, x, y in left for w, j, p, q in right if v == w and x is not None and x <= y and p <= q and x <= q and p <= y)
+
+
+def test_an_idle_stream_ends_by_its_timer(spark):
+    from chalkline.sources.scratch import scratch_path
+    from chalkline.streaming import states as stream
+
+    rows = spark.createDataFrame(change_rows([("LOCAL", 3, 0.01)] * 3, 10), CHANGES)
+    other = spark.createDataFrame(change_rows([QUIET] * 3, 10, "b"), CHANGES)
+    source, sink = scratch_path(spark, "idle-in"), scratch_path(spark, "idle-out")
+    rows.union(other).write.parquet(source)
+    out = stream.stable_states_stream(spark.readStream.schema(rows.schema).parquet(source), idle_ms=1)
+    query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(processingTime="1 second").start()
+    got, until = [], time.monotonic() + 60
+    while not got and time.monotonic() < until and query.isActive:
+        time.sleep(2)
+        if query.lastProgress:
+            got = [(r.video_id, r.frame_index, r.reason) for r in spark.read.schema(out.schema).parquet(sink).where("video_id = 'a'").collect()]
+    query.stop()
+    assert got == [("a", 3, "END_OF_VIDEO_FALLBACK")]
+
+
+def test_text_extractor_keeps_lines(spark):
+    from chalkline.operators import plugins
+
+    results = {b"one": {"text": "a\nb", "lines": ["a", "b"], "word_count": 2, "mean_confidence": 80.0, "has_text": True}, b"two": {"text": "", "word_count": 0, "mean_confidence": 0.0, "has_text": False}}
+    df = spark.createDataFrame([("v", 0, b"one"), ("w", 0, b"two")], "video_id string, trusted_index int, content binary")
+    got = {r.video_id: (r.lines, r.line_count) for r in plugins.apply_text_extractor(df, lambda: results.__getitem__).collect()}
+    assert got == {"v": (["a", "b"], 2), "w": ([], 0)}
+
+
 def test_states_without_rows(spark):
     assert chg.stable_states(spark.createDataFrame([], CHANGES)).count() == 0
 
