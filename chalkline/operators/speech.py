@@ -48,7 +48,7 @@ def near_visual_signal(segments: DataFrame, trusted: DataFrame, signals: DataFra
 def boundary_scores(segments: DataFrame, near: DataFrame, c: TopicConfig = TopicConfig()) -> DataFrame:
     """How likely a topic begins with each segment but the first."""
     words = lambda lo, hi: F.array_distinct(F.flatten(F.collect_list("tokens").over(in_order().rowsBetween(lo, hi))))
-    rows = segments.select("video_id", "segment_index", F.col("start_seconds").alias("timestamp_seconds"), tx.speech_tokens(F.col("text")).alias("tokens"), tx.is_cue(F.col("text")).alias("cue"), (F.col("start_seconds") - F.lag("end_seconds").over(in_order())).alias("gap"))
+    rows = segments.select("video_id", "segment_index", F.col("start_seconds").alias("timestamp_seconds"), F.array_distinct(tx.speech_tokens(F.col("text"))).alias("tokens"), tx.is_cue(F.col("text")).alias("cue"), (F.col("start_seconds") - F.lag("end_seconds").over(in_order())).alias("gap"))
     rows = rows.withColumns({"left": words(-c.window, -1), "right": words(0, c.window - 1)})
     rows = rows.join(near.withColumn("visual", F.lit(True)), ["video_id", "segment_index"], "left").where("segment_index >= 1")
     enough = (F.size("left") >= c.lexical_tokens) & (F.size("right") >= c.lexical_tokens)
@@ -174,9 +174,13 @@ def in_topics(segments: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def top_tokens(rows: DataFrame, order: str, tokens, k: int) -> DataFrame:
-    """topic_index, rank, token, n: the k commonest tokens of each topic, ties by first occurrence."""
-    found = rows.select("video_id", "topic_index", F.col(order).alias("row"), F.posexplode(tokens).alias("pos", "token"))
-    counts = found.groupBy("video_id", "topic_index", "token").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first"))
+    """topic_index, rank, token, n: the k commonest tokens of each topic, ties by first occurrence.
+
+    Row and position are one number, for the least of a struct would sort all tokens.
+    """
+    found = rows.select("video_id", "topic_index", F.col(order).cast("long").alias("row"), F.posexplode(tokens).alias("pos", "token"))
+    place = F.shiftleft("row", 32) + F.col("pos")
+    counts = found.groupBy("video_id", "topic_index", "token").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     best = Window.partitionBy("video_id", "topic_index").orderBy(F.desc("n"), "first")
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("video_id", "topic_index", "rank", "token", "n")
 

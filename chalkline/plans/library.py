@@ -41,7 +41,7 @@ def table(method):
 
 
 #: Tables that several stages behind them read: queries over many stages write each once.
-STAGES = frozenset(("all_changes", "segments", "candidates", "reviewed", "trusted", "states", "scores", "boundaries", "spans", "assigned", "keywords", "alignment", "ocr", "resolved", "findings"))
+STAGES = frozenset(("all_changes", "segments", "candidates", "reviewed", "trusted", "states", "scores", "boundaries", "spans", "assigned", "keywords", "topics", "alignment", "ocr", "resolved", "findings"))
 
 
 class Library:
