@@ -8,10 +8,11 @@ file), payload (its codes, most significant bit first, padded to whole bytes)
 and checkpoints (the bit offset of every block of BLOCK ids in the payload).
 Blocks decode independently by one table look-up an id, many blocks in step.
 
-Null texts count as empty (one record with the end id).  Repeated rows give one
-record each, side by side; those of an id that fills several files are dealt over
-them.  Rows with a null doc_id come first.  Extra columns
-are left out; an empty table gives files without records.
+Null texts count as empty (one record with the end id).  Ids are any 64-bit
+integers, compared as such.  Repeated rows give one record each, side by side;
+those of an id that fills several files are dealt over them.  Rows with a null
+doc_id come first (with those of the least integer, -2^63).  Extra columns are
+left out; an empty table gives files without records.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chalkline.llm import bpe
-from chalkline.llm.common import batches, lists, read, shared_dir, write_table
+from chalkline.llm.common import batches, lists, read, scratch_folder, shared_dir, write_table
 
 #: Ids in a block, the unit of independent decoding.
 BLOCK = 256
@@ -35,6 +36,8 @@ NULL_ID = -(1 << 63)
 LIMIT = 16
 #: Ids in a file, about, as long as there are no more than FILES files.
 FILE_IDS, FILES = 8_000_000, 65_536
+#: Rows for each file that are looked at to part the ids into files (8 MB at most).
+SAMPLED = 16
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -163,22 +166,35 @@ def write_files(df: DataFrame, vocabulary: str, pattern: str, end_id: int, path:
             ids = [np.concatenate([ids_of(x.as_py()).astype(kind), end]) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    plain = write_table(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary"), "token-ids")
-    counts = count_ids(plain, "ids", kind, size)
-    lengths = code_lengths(counts)
-    codes = canonical(lengths)
     spark = df.sparkSession
-    used = np.flatnonzero(lengths)
-    spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
-
-    files = min(FILES, max(1, -(-int(counts.sum()) // file_ids)))
-    key = F.coalesce("doc_id", F.lit(NULL_ID))
-    found = plain.select(key.alias("key")).approxQuantile("key", [i / files for i in range(1, files)], 0.1 / files) if files > 1 else []
-    bounds = np.sort(np.array(found, np.float64))
+    with scratch_folder(spark, "token-ids") as folder:
+        source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        plain = write_table(source.mapInArrow(encode, "doc_id long, n_tokens long, ids binary"), "ids", folder=folder)
+        counts = count_ids(plain, "ids", kind, size)
+        lengths = code_lengths(counts)
+        used = np.flatnonzero(lengths)
+        spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
+        bounds = file_bounds(plain, min(FILES, max(1, -(-int(counts.sum()) // file_ids))))
+        write_records(plain, bounds, kind, lengths, path)
+
+
+def file_bounds(plain: DataFrame, files: int) -> np.ndarray:
+    """The ids that part the rows into ``files`` of about equal numbers, by the ids of a sample of rows of bounded size."""
+    if files == 1:
+        return np.zeros(0, np.int64)
+    share = min(1.0, SAMPLED * files / max(1, plain.count()))
+    keys = plain.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"))
+    keys = keys if share == 1 else keys.sample(share, seed=8)
+    found = np.sort(keys.toArrow().column("key").to_numpy())  # about SAMPLED for each of FILES files at most, or all rows of a smaller table
+    return found[np.arange(1, files) * len(found) // files] if len(found) else found
+
+
+def write_records(plain: DataFrame, bounds: np.ndarray, kind: str, lengths: np.ndarray, path: str) -> None:
+    codes = canonical(lengths)
 
     def files_of(ids: pa.Array) -> np.ndarray:
-        """How many bounds are below each id; the rows of an id that is several bounds are dealt over the files between them."""
-        ids = ids.fill_null(NULL_ID).to_numpy().astype(np.float64)
+        """How many bounds are below each id; the rows of an id that is a bound are dealt over the files it parts."""
+        ids = ids.fill_null(NULL_ID).to_numpy()
         low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
         return (low + np.arange(len(ids)) % (high - low + 1)).astype(np.int32)
 
