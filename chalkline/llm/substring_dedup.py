@@ -19,15 +19,13 @@ occurrences in a slice are repeats for certain and go straight to their document
 
 Null and empty texts stay as they are.  Rows with a null doc_id stay and count
 for no one.  A row that is repeated as a whole is one document: each copy gets
-the same result.  Rows that share a doc_id but not a text are kept apart by 22
-bits of a checksum of the text; should two such texts agree in them, which of
-their rows is taken as the earlier is undefined.  Extra columns pass through; an empty table gives an empty
-result.
+the same result.  Rows that share a doc_id but not a text are documents of their
+own, in the order of a 64-bit digest of the text.  Extra columns pass through; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,7 +56,6 @@ def _gear() -> np.ndarray:
 
 
 GEAR = _gear()
-TAGS = (1 << 22) - 1
 SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
@@ -102,13 +99,14 @@ def spans_of(ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> 32, pairs & (1 << 32) - 1
 
 
-# A place in a document in one integer: 22 bits of the text's checksum, 31 of the start, 10 of the length.
-def tag_of(data: bytes) -> int:
-    return zlib.crc32(data) & TAGS
+def digest_of(text: str):
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.col(text))
 
 
+# A place in a document is one integer: the start, then 10 bits of the length.
 def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc long, tag int, places array<long>: the spans of each document that occur before, elsewhere or in it."""
+    """doc, tag long, places array<long>: the spans of each document that occur before, elsewhere or in it."""
     assert s.min_bytes + s.max_chunk <= 1024, "a span's length must fit in its place"
 
     def chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +114,8 @@ def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", tex
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches(source, "text"):
-            keys, docs, places = [], [], []
-            for doc, value in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            keys, sizes, places = [], [], []
+            for value in batch.column("text").to_pylist():
                 data = value.encode()
                 ends = np.array(chunk_ends(data, s), np.int64)
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -125,47 +123,49 @@ def repeats(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", tex
                 first, last = spans_of(ends, s)
                 starts, ends = starts[first], ends[last]
                 keys.append(np.fromiter((digest(chunk[8 * i : 8 * j + 8]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(ends)))
-                docs.append(np.full(len(ends), doc, np.int64))
-                places.append(tag_of(data) << 41 | starts << 10 | ends - starts)
-            key, doc, place = np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places)
-            order = np.lexsort((place, doc, key))
-            key, doc, place = key[order], doc[order], place[order]
-            again, same = _later(key, doc, place, None)
+                sizes.append(len(ends))
+                places.append(starts << 10 | ends - starts)
+            doc, tag = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc", "tag"))
+            key, place = np.concatenate(keys).view(np.int64), np.concatenate(places)
+            order = np.lexsort((place, tag, doc, key))
+            key, at = key[order], tuple(x[order] for x in (doc, tag, place))
+            again, same = _later(key, at, None)
             keep = ~(again & same)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(again, doc, key)[keep]), pa.array(doc[keep]), pa.array(place[keep]), pa.array(again[keep])], ["key", "doc", "place", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (np.where(again, at[0], key), *at, again)], ["key", "doc", "tag", "place", "known"])
 
     def later(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None
         for batch in source:
-            key, doc, place = (batch.column(c).to_numpy() for c in ("key", "doc", "place"))
+            key, *at = (batch.column(c).to_numpy() for c in ("key", "doc", "tag", "place"))
             known = batch.column("known").to_numpy(zero_copy_only=False)
             open_ = ~known
             out = known.copy()
             if open_.any():
-                again, same = _later(key[open_], doc[open_], place[open_], first)
+                again, same = _later(key[open_], tuple(x[open_] for x in at), first)
                 out[open_] = again & ~same
                 started = np.flatnonzero(~again)
                 if len(started):
                     i = np.flatnonzero(open_)[started[-1]]
-                    first = (key[i], doc[i], place[i])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(place[out])], ["doc", "place"])
+                    first = (key[i], *(x[i] for x in at))
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in at], ["doc", "tag", "place"])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.col("text") != ""))
-    dealt = rows.mapInArrow(chunks, "key long, doc long, place long, known boolean").repartition("key").sortWithinPartitions("known", "key", "doc", "place")
-    found = dealt.mapInArrow(later, "doc long, place long").groupBy("doc", F.shiftright("place", 41).cast("int").alias("tag"))
-    return found.agg(F.sort_array(F.collect_set("place")).alias("places"))  # the spans of one document
+    rows = df.select(F.col(doc_id).cast("long").alias("doc"), digest_of(text).alias("tag"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.col("text") != ""))
+    place = "doc long, tag long, place long"
+    dealt = rows.mapInArrow(chunks, f"key long, {place}, known boolean").repartition("key").sortWithinPartitions("known", "key", "doc", "tag", "place")
+    return dealt.mapInArrow(later, place).groupBy("doc", "tag").agg(F.sort_array(F.collect_set("place")).alias("places"))  # the spans of one document
 
 
-def _later(key: np.ndarray, doc: np.ndarray, place: np.ndarray, first: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in order: is the key met before, and is this the very place where it was met first?"""
+def _later(key: np.ndarray, at: tuple[np.ndarray, ...], first: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order: is the key met before, and is this the very document and place where it was met first?"""
     n = len(key)
     begins = np.ones(n, bool)
     begins[1:] = key[1:] != key[:-1]
     if first is not None and n and key[0] == first[0]:
         begins[0] = False
-    at = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
-    first_doc, first_place = (first[1], first[2]) if first is not None else (0, 0)
-    same = (np.where(at < 0, first_doc, doc[at]) == doc) & (np.where(at < 0, first_place, place[at]) == place)
+    since = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+    same = np.ones(n, bool)
+    for x, earlier in zip(at, first[1:] if first is not None else (0,) * len(at), strict=True):
+        same &= np.where(since < 0, earlier, x[since]) == x
     return ~begins, same
 
 
@@ -173,7 +173,7 @@ def runs(places: list[int], min_bytes: int) -> list[tuple[int, int]]:
     """(start, end) in bytes of runs of adjacent or overlapping places, in order, that are long enough."""
     out: list[list[int]] = []
     for p in places:
-        start = p >> 10 & (1 << 31) - 1
+        start = p >> 10
         end = start + (p & 1023)
         if out and out[-1][1] >= start:
             out[-1][1] = max(out[-1][1], end)
@@ -209,8 +209,7 @@ def dedupe(df: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind), pa.array(removed, pa.int64())], [*names, *(f.name for f in new)])
 
     found = repeats(df, s, doc_id, text).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("places").alias("__places"))
-    tag = F.crc32(F.col(text).cast("binary")).bitwiseAND(TAGS).cast("int")
-    joined = df.join(found, (F.col(doc_id).cast("long") == F.col("__doc")) & (tag == F.col("__tag")), "left").select(*(F.col(f"`{c}`") for c in df.columns), "__places")
+    joined = df.join(found, (F.col(doc_id).cast("long") == F.col("__doc")) & (digest_of(text) == F.col("__tag")), "left").select(*(F.col(f"`{c}`") for c in df.columns), "__places")
     return joined.mapInArrow(cut, T.StructType([*df.schema.fields, *new]))
 
 
