@@ -7,8 +7,8 @@ landmark texts M, a text's coordinates are K(x, M) K(M, M)^-1/2; one ridge
 regression for each language (one against the rest) is solved on those of a
 bounded training sample (``per_language`` documents of each language, whose
 normal equations are summed in tasks).  Texts are scored in batches as matrix
-products.  Every language of the training rows is learned; a repeated id counts
-once in the sample, with its smallest text.
+products.  Every language of the training rows is learned, however rare; an id
+that is repeated in a language counts once there, with its smallest text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text
 when there is nothing to learn from.  Equal texts get equal results; ties go to
@@ -123,12 +123,14 @@ def train(df: DataFrame, s: Settings = Settings(), text: str = "text", lang: str
     and what the driver holds, grows with the number of languages only.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    chosen, counts = spread(known, "lang", "key", s.per_language)
+    chosen, counts = spread(known.select("key", "lang").distinct(), "lang", "key", s.per_language)
     names = sorted(counts)
     if not names:
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, 0), np.float32))
     with scratch_folder(df.sparkSession, "languages") as folder:
-        sample = write_table(spectra(one_text(chosen, "key", "text", "lang")), "spectra", folder=folder)
+        chosen = F.broadcast(chosen.select(F.col("key").alias("__key"), F.col("lang").alias("__lang")))  # per_language ids a language
+        rows = known.join(chosen, F.col("key").eqNullSafe(F.col("__key")) & (F.col("lang") == F.col("__lang")), "left_semi")
+        sample = write_table(spectra(one_text(rows, "key", "text", "lang")), "spectra", folder=folder)
         sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
         order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")  # per_language rows a language
         first = sample.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(1, s.landmarks // len(names)))

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 def spread(rows: DataFrame, value: str, key: str, limit: int) -> tuple[DataFrame, dict]:
     """(rows, counts): about ``limit`` rows of each ``value``, all where there are no more, and how many there were.
 
-    A row stays if the hash of its key, as a share, is small enough for its
-    value's count, so no task orders the rows of a common value.  The share is
-    set five standard deviations low: ``limit`` bounds the rows of distinct keys.
-    ``rows`` has no null values; the driver holds one count a value, as a model does.
+    ``rows`` has each pair of a key and a value once.  A row stays if the hash of
+    its key, as a share, is small enough for its value's count, so no task orders
+    the rows of a common value; that of the smallest hash stays in any case.  The
+    share is set five standard deviations low.  ``rows`` has no null values; the
+    driver holds one count a value, as a model does.
     """
-    counts = {r[value]: r["count"] for r in rows.groupBy(value).count().collect()}
-    low = max(1.0, limit - 5 * sqrt(limit))
-    shares = rows.sparkSession.createDataFrame([(v, 1.0 if n <= limit else low / n) for v, n in counts.items()] or [], f"__value {rows.schema[value].dataType.simpleString()}, __share double")
     share = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
-    return rows.join(F.broadcast(shares), F.col(value) == F.col("__value")).where(share < F.col("__share")).drop("__value", "__share"), counts
+    found = rows.groupBy(value).agg(F.count("*").alias("n"), F.min(share).alias("least")).collect()
+    low = max(1.0, limit - 5 * sqrt(limit))
+    shares = [(r[value], 1.0 if r.n <= limit else low / r.n, r.least) for r in found]
+    shares = rows.sparkSession.createDataFrame(shares, f"__value {rows.schema[value].dataType.simpleString()}, __share double, __least double")
+    chosen = rows.join(F.broadcast(shares), F.col(value) == F.col("__value")).where((share < F.col("__share")) | (share == F.col("__least")))
+    return chosen.drop("__value", "__share", "__least"), {r[value]: r.n for r in found}
 
 
 def one_text(rows: DataFrame, key: str, text: str, *others: str) -> DataFrame:
