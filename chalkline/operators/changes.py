@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from math import floor
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.config import ChangeConfig, CoverageConfig, StateConfig
+from chalkline.operators.folds import SLICE_ROWS, Fold, sliced
 
 
 def in_order():
@@ -70,7 +72,7 @@ def merge_windows(windows: DataFrame, durations: DataFrame, before: float = 1.0,
     return merged.withColumn("window_index", (F.col("island") - 1).cast("int")).drop("island")
 
 
-WINDOWS = "video_id string, window_index int, start_seconds double, end_seconds double, peak_score double, scene_change boolean, structural_change boolean, coarse_sample_count long, reason string"
+ORDER = ("timestamp_seconds", "frame_index")
 
 
 class WindowFold:
@@ -81,43 +83,60 @@ class WindowFold:
     a run (a NONE pair ends the run) or comes with any difference from the anchor.
     """
 
-    def __init__(self, quiet_seconds: float):
-        self.quiet, self.run, self.now, self.done = quiet_seconds, 0, None, []
+    # A part of a window: whether it goes on with one of the slice before, start, end, peak, scene, structural, samples.
+    PART = "goes_on boolean, start_seconds double, end_seconds double, peak_score double, scene_change boolean, structural_change boolean, coarse_sample_count long"
 
-    def add(self, before: float, at: float, pair: str, score: float, anchor: str = "NONE", anchor_score: float = 0.0) -> bool:
-        """Take a sample; true if it is the new anchor: it closed a window, or nothing goes on and nothing changed."""
+    def __init__(self, quiet_seconds: float, state: list | None = None):
+        self.run, last = state or (0, None)
+        self.quiet, self.now = quiet_seconds, None if last is None else (True, None, last, 0.0, False, False, 0)
+
+    def add(self, before: float, at: float, pair: str, score: float, anchor: str = "NONE", anchor_score: float = 0.0) -> tuple[list[tuple], bool]:
+        """Take a sample: (windows that it closed, whether it is the new anchor: it closed one, or nothing goes on and nothing changed)."""
         self.run = self.run + 1 if pair == "LOCAL" else 0 if pair == "NONE" else self.run
         kinds = {pair, anchor}
         if kinds & {"STRUCTURAL", "SCENE"} or pair == "LOCAL" and (self.run >= 2 or anchor != "NONE"):
-            start, _, peak, scene, structural, n = self.now or (before, at, 0.0, False, False, 0)
-            self.now = (start, at, max(peak, score, anchor_score), scene or "SCENE" in kinds, structural or "STRUCTURAL" in kinds, n + 1)
-            return False
+            goes_on, start, _, peak, scene, structural, n = self.now or (False, before, at, 0.0, False, False, 0)
+            self.now = (goes_on, start, at, max(peak, score, anchor_score), scene or "SCENE" in kinds, structural or "STRUCTURAL" in kinds, n + 1)
+            return [], False
         if self.now is None:
-            return pair == "NONE"
-        if at - self.now[1] < self.quiet:
-            return False
-        self.done.append(self.now)
-        self.now = None
-        return True
-
-    def frame(self, video: str) -> pd.DataFrame:
-        if self.now is not None:
-            self.done.append(self.now)
-        name = lambda scene, structural: "SCENE_TRANSITION" if scene else "STRUCTURAL_ACTIVITY" if structural else "PERSISTENT_LOCAL_CHANGE"
-        made = [(video, i, start, end, round(peak, 4), scene, structural, n, name(scene, structural)) for i, (start, end, peak, scene, structural, n) in enumerate(self.done)]
-        return pd.DataFrame(made, columns=[x.split()[0] for x in WINDOWS.split(", ")])
-
-
-def coarse_windows(changes: DataFrame, quiet_seconds: float = 1.0) -> DataFrame:
-    """Activity windows of classified pairs, where there are no frames to compare with an anchor."""
+            return [], pair == "NONE"
+        if at - self.now[2] < self.quiet:
+            return [], False
+        return self.end(), True
+
+    def end(self) -> list[tuple]:
+        done, self.now = [self.now] if self.now else [], None
+        return done
+
+    def cut(self) -> list[tuple]:
+        return [self.now] if self.now else []
+
+    def state(self) -> list:
+        return [min(self.run, 2), self.now and self.now[2]]
+
+
+class PairWindows(WindowFold):
+    """Windows of classified pairs: (time before, time, kind, score)."""
+
+    def add(self, before: float, at: float, kind: str, score: float) -> list[tuple]:
+        return super().add(before, at, kind, score)[0]
+
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, windows = rows.sort_values(["timestamp_seconds", "frame_index"], kind="stable"), WindowFold(quiet_seconds)
-        for r in rows.itertuples():
-            windows.add(r.previous_timestamp_seconds, r.timestamp_seconds, r.kind, r.change_score)
-        return windows.frame(rows.video_id.iloc[0])
+def joined_windows(parts: DataFrame) -> DataFrame:
+    """The windows whose parts, in slices, these are."""
+    number = F.sum((~F.col("goes_on")).cast("int")).over(Window.partitionBy("video_id").orderBy("slice", "nth").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    out = parts.withColumn("window_index", number.cast("int")).groupBy("video_id", "window_index").agg(
+        F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds"), F.max("peak_score").alias("peak"),
+        F.bool_or("scene_change").alias("scene_change"), F.bool_or("structural_change").alias("structural_change"), F.sum("coarse_sample_count").alias("coarse_sample_count"),
+    )
+    reason = F.when(F.col("scene_change"), "SCENE_TRANSITION").when(F.col("structural_change"), "STRUCTURAL_ACTIVITY").otherwise("PERSISTENT_LOCAL_CHANGE")
+    return out.select("video_id", "window_index", "start_seconds", "end_seconds", F.round("peak", 4).alias("peak_score"), "scene_change", "structural_change", "coarse_sample_count", reason.alias("reason"))
 
-    return changes.groupBy("video_id").applyInPandas(fold, WINDOWS)
+
+def coarse_windows(changes: DataFrame, quiet_seconds: float = 1.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Activity windows of classified pairs, where there are no frames to compare with an anchor."""
+    columns = ("previous_timestamp_seconds", "timestamp_seconds", "kind", "change_score")
+    return joined_windows(sliced(changes, Fold(partial(PairWindows, quiet_seconds), columns, ORDER, WindowFold.PART), slice_rows))
 
 
 def frame_difference(a: np.ndarray, b: np.ndarray, edge: float, c: ChangeConfig) -> tuple[str, float]:
@@ -139,25 +158,46 @@ def frame_difference(a: np.ndarray, b: np.ndarray, edge: float, c: ChangeConfig)
     return kind, floor(score * 10000 + 0.5) / 10000
 
 
-def anchored_windows(frames: DataFrame, width: int, edge: float, c: ChangeConfig = ChangeConfig(), quiet_seconds: float = 1.0) -> DataFrame:
+class FrameWindows:
+    """Windows of frames, each compared with the one before and with the anchor; both are part of the state."""
+
+    def __init__(self, width: int, edge: float, c: ChangeConfig, quiet_seconds: float, state: list | None = None):
+        self.at, last, anchor, windows = state or (None, None, None, None)
+        frame = lambda x: None if x is None else np.array(x, np.float64).reshape(-1, width)
+        self.last, self.anchor = frame(last), frame(anchor)
+        self.windows, self.width, self.edge, self.c = WindowFold(quiet_seconds, windows), width, edge, c
+
+    def add(self, at: float, thumb: np.ndarray) -> list[tuple]:
+        now, out = np.asarray(thumb, np.float64).reshape(-1, self.width), []
+        if self.last is None:
+            self.anchor = now
+        else:
+            pair = frame_difference(self.last, now, self.edge, self.c)
+            # The anchor is the frame before as long as nothing changes.
+            anchor = pair if self.anchor is self.last else frame_difference(self.anchor, now, self.edge, self.c)
+            out, moves = self.windows.add(self.at, at, *pair, *anchor)
+            if moves:
+                self.anchor = now
+        self.last, self.at = now, at
+        return out
+
+    def end(self) -> list[tuple]:
+        return self.windows.end()
+
+    def cut(self) -> list[tuple]:
+        return self.windows.cut()
+
+    def state(self) -> list:
+        return [self.at, self.last.ravel().tolist(), self.anchor.ravel().tolist(), self.windows.state()]
+
+
+def anchored_windows(frames: DataFrame, width: int, edge: float, c: ChangeConfig = ChangeConfig(), quiet_seconds: float = 1.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Activity windows of sampled frames (video_id, frame_index, timestamp_seconds, thumb), each compared with the one before and with the stable anchor.
 
     The anchor catches slow writing, no step of which is a change of its own.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, windows = rows.sort_values(["timestamp_seconds", "frame_index"], kind="stable"), WindowFold(quiet_seconds)
-        anchor = last = before = None
-        for r in rows.itertuples():
-            now = np.asarray(r.thumb, np.float64).reshape(-1, width)
-            if last is None:
-                anchor = now
-            elif windows.add(before, r.timestamp_seconds, *frame_difference(last, now, edge, c), *frame_difference(anchor, now, edge, c)):
-                anchor = now
-            last, before = now, r.timestamp_seconds
-        return windows.frame(rows.video_id.iloc[0])
-
-    return frames.groupBy("video_id").applyInPandas(fold, WINDOWS)
+    fold = Fold(partial(FrameWindows, width, edge, c, quiet_seconds), ("timestamp_seconds", "thumb"), ORDER, WindowFold.PART)
+    return joined_windows(sliced(frames, fold, slice_rows))
 
 
 SENTINELS = (
@@ -231,6 +271,9 @@ def quiet_sentinels(windows: DataFrame, fine_pairs: DataFrame, timeline: DataFra
     return spans.groupBy("video_id").cogroup(fine_pairs.groupBy("video_id")).applyInPandas(fold, SENTINELS)
 
 
+CHANGE_COLUMNS = ("previous_frame_index", "frame_index", "previous_timestamp_seconds", "timestamp_seconds", "kind", "change_score", "changed_pixel_ratio")
+
+
 class StateMachine:
     """The checkpoint rules, one lecture's rows in order; usable row by row (batch and stream share it)."""
 
@@ -239,19 +282,19 @@ class StateMachine:
 
     def __init__(self, c: StateConfig, state: tuple | None = None):
         self.c = c
-        self.state = list(state or self.START)
+        self.state_ = list(state or self.START)
 
     def _emit(self, frame: int, at: float, reason: str, stability: float, protected: bool) -> tuple:
-        s = self.state
+        s = self.state_
         row = (s[8], int(frame), float(at), reason, round(max(0.0, stability), 6), s[7], float(s[5]), int(s[6]), protected)
         s[3], s[4], s[5], s[6], s[8] = float(at), int(frame), 0.0, 0, s[8] + 1
         return row
 
     def _may(self, frame: int, at: float) -> bool:
-        return frame > self.state[4] and (self.state[3] is None or at - self.state[3] >= self.c.minimum_gap_seconds)
+        return frame > self.state_[4] and (self.state_[3] is None or at - self.state_[3] >= self.c.minimum_gap_seconds)
 
     def add(self, previous_frame: int, frame: int, previous_at: float, at: float, kind: str, score: float, ratio: float) -> tuple | None:
-        s, c, row = self.state, self.c, None
+        s, c, row = self.state_, self.c, None
         s[9], s[10] = int(frame), float(at)
         if kind == "NONE":
             if s[2] is None:
@@ -267,23 +310,46 @@ class StateMachine:
         return row
 
     def end(self) -> tuple | None:
-        s = self.state
+        s = self.state_
         if s[9] is not None and s[0] and self._may(s[9], s[10]):
             return self._emit(s[9], s[10], "END_OF_VIDEO_FALLBACK", s[10] - s[2] if s[2] is not None else 0.0, True)
         return None
 
 
-def stable_states(changes: DataFrame, c: StateConfig = StateConfig()) -> DataFrame:
-    """Checkpoints of each lecture: a sequential fold, one lecture a group."""
+class StateSlices(StateMachine):
+    """The machine over a slice: what it sums up since the last checkpoint starts anew, the rest goes on."""
+
+    OUT = "frame_index int, timestamp_seconds double, reason string, stability_seconds double, kind string, max_score double, n_changes int, protected boolean"
+
+    def add(self, *row) -> list[tuple]:
+        made = super().add(*row)
+        return [] if made is None else [made[1:]]
+
+    def end(self) -> list[tuple]:
+        made = super().end()
+        return [] if made is None else [made[1:]]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["timestamp_seconds", "frame_index"], kind="stable")
-        machine = StateMachine(c)
-        out = [machine.add(*r) for r in rows[["previous_frame_index", "frame_index", "previous_timestamp_seconds", "timestamp_seconds", "kind", "change_score", "changed_pixel_ratio"]].itertuples(index=False)]
-        made = [(rows.video_id.iloc[0], *r) for r in [*out, machine.end()] if r is not None]
-        return pd.DataFrame(made, columns=[x.split()[0] for x in STATES.split(", ")])
+    def cut(self) -> list[tuple]:
+        """What the slice adds to a checkpoint of a later one."""
+        return [(None, None, None, None, None, float(self.state_[5]), int(self.state_[6]), None)]
 
-    return changes.groupBy("video_id").applyInPandas(fold, STATES)
+    def state(self) -> list:
+        s = list(self.state_)
+        s[5], s[6], s[8] = 0.0, 0, min(s[8], 1)
+        return s
+
+
+def stable_states(changes: DataFrame, c: StateConfig = StateConfig(), slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Checkpoints of each lecture: a sequential fold."""
+    parts = sliced(changes, Fold(partial(StateSlices, c), CHANGE_COLUMNS, ORDER, StateSlices.OUT), slice_rows)
+    # Parts without a checkpoint belong to the next one.
+    before = F.count("reason").over(Window.partitionBy("video_id").orderBy("slice", "nth").rowsBetween(Window.unboundedPreceding, -1))
+    found = lambda name: F.max(name).alias(name)  # noqa: E731  (one checkpoint a group)
+    out = parts.withColumn("checkpoint_index", before.cast("int")).groupBy("video_id", "checkpoint_index").agg(
+        *map(found, ("frame_index", "timestamp_seconds", "reason", "stability_seconds")), F.max("kind").alias("source_change_kind"), F.max("max_score").alias("max_change_score_since_previous"),
+        F.sum("n_changes").cast("int").alias("activity_pair_count_since_previous"), F.max("protected").alias("protected_before_transition"),
+    )
+    return out.where("reason IS NOT NULL").select(*(x.split()[0] for x in STATES.split(", ")))
 
 
 def clamp_states(states: DataFrame, timeline: DataFrame) -> DataFrame:
@@ -309,16 +375,25 @@ def span_metrics(changes: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def repair_timestamps(frames: DataFrame) -> DataFrame:
-    """frame_index, raw, fps -> timestamp: raw where it is positive and not behind the last, else index / fps."""
+class Repair:
+    def __init__(self, state: list | None = None):
+        self.last = state[0] if state else 0.0
+
+    def add(self, frame: int, raw: float, fps: float) -> list[tuple]:
+        t = raw if raw > 0 else frame / fps
+        self.last = max(self.last, frame / fps if t < self.last else t)
+        return [(frame, self.last)]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last, out = rows.sort_values("frame_index", kind="stable"), 0.0, []
-        for r in rows.itertuples():
-            t = r.raw if r.raw > 0 else r.frame_index / r.fps
-            t = r.frame_index / r.fps if t < last else t
-            last = max(last, t)
-            out.append(last)
-        return pd.DataFrame({"video_id": rows.video_id, "frame_index": rows.frame_index, "timestamp_seconds": out})
+    def end(self) -> list[tuple]:
+        return []
 
-    return frames.groupBy("video_id").applyInPandas(fold, "video_id string, frame_index int, timestamp_seconds double")
+    cut = end
+
+    def state(self) -> list:
+        return [float(self.last)]
+
+
+def repair_timestamps(frames: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """frame_index, raw, fps -> timestamp: raw where it is positive and not behind the last, else index / fps."""
+    fold = Fold(Repair, ("frame_index", "raw", "fps"), ("frame_index",), "frame_index int, timestamp_seconds double")
+    return sliced(frames, fold, slice_rows).drop("slice", "nth")

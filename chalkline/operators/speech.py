@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from chalkline.config import TopicConfig
 from chalkline.functions import text as tx
 from chalkline.functions.bands import meet
+from chalkline.operators.folds import SLICE_ROWS, Fold, sliced
 
 
 def in_order():
@@ -68,46 +71,63 @@ def boundary_scores(segments: DataFrame, near: DataFrame, c: TopicConfig = Topic
     return rows.select("video_id", "segment_index", "timestamp_seconds", F.round(score, 6).alias("score"), reasons.alias("reasons"))
 
 
-def choose_boundaries(scores: DataFrame, first_start: DataFrame, c: TopicConfig = TopicConfig()) -> DataFrame:
-    """The boundaries taken: strong ones once a section is long enough, the best at hand once it is too long.
+class Boundaries:
+    """The boundaries of one lecture, its rows in order.
 
     The best of the rows seen is kept as they come: a row's distance from the
     section's start is fixed until a boundary is taken, and only then are the
     rows behind that boundary looked at again.
     """
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("segment_index")
-        index, at, score = rows.segment_index.tolist(), rows.timestamp_seconds.tolist(), rows.score.tolist()
-        reasons, start, since, best, pool, out = rows.reasons.tolist(), float(rows.first_start.iloc[0]), 0, None, None, []
-        last = pending = 0  # segments from which on rows may be taken: any, and strong ones
-
-        def see(j: int) -> None:
-            nonlocal best, pool
-            if at[j] - start < c.min_seconds:
-                return
-            if index[j] > pending and score[j] >= c.threshold and (best is None or (score[j], at[j]) > (score[best], at[best])):
-                best = j
-            if index[j] > last and (pool is None or score[j] > score[pool]):  # the earliest of equals
-                pool = j
-
-        for n in range(len(index)):
-            see(n)
-            taken = None
-            if best is not None and at[n] - start >= c.min_seconds:
-                taken, behind = best, index[best]
-                out.append((index[taken], at[taken], score[taken], list(reasons[taken])))
-            elif pool is not None and at[n] - start >= c.max_seconds:
-                taken, behind = pool, index[n]
-                out.append((index[taken], at[taken], score[taken], list(reasons[taken]) or ["MAX_SECTION_DURATION"]))
-            if taken is not None:
-                start, last, pending, since, best, pool = at[taken], index[taken], behind, taken + 1, None, None
-                for j in range(since, n + 1):
-                    see(j)
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["video_id", "segment_index", "timestamp_seconds", "score", "reasons"])
-
-    schema = "video_id string, segment_index int, timestamp_seconds double, score double, reasons array<string>"
-    return scores.join(first_start, "video_id").groupBy("video_id").applyInPandas(fold, schema)
+    OUT = "segment_index int, timestamp_seconds double, score double, reasons array<string>"
+
+    def __init__(self, c: TopicConfig, state: list | None = None):
+        # last, pending: segments from which on rows may be taken: any, and strong ones; held: the rows since the last boundary
+        self.c, self.best, self.pool = c, None, None
+        self.start, self.last, self.pending, self.held = state or (None, 0, 0, [])
+        for row in self.held:
+            self.see(row)
+
+    def see(self, row: list) -> None:
+        index, at, score, _ = row
+        if at - self.start < self.c.min_seconds:
+            return
+        if index > self.pending and score >= self.c.threshold and (self.best is None or (score, at) > (self.best[2], self.best[1])):
+            self.best = row
+        if index > self.last and (self.pool is None or score > self.pool[2]):  # the earliest of equals
+            self.pool = row
+
+    def add(self, index: int, at: float, score: float, reasons: list, first: float) -> list[tuple]:
+        self.start = first if self.start is None else self.start
+        row = [int(index), float(at), float(score), list(reasons)]
+        self.held.append(row)
+        self.see(row)
+        taken = None
+        if self.best is not None and at - self.start >= self.c.min_seconds:
+            taken, behind, why = self.best, self.best[0], self.best[3]
+        elif self.pool is not None and at - self.start >= self.c.max_seconds:
+            taken, behind, why = self.pool, row[0], self.pool[3] or ["MAX_SECTION_DURATION"]
+        if taken is None:
+            return []
+        at_taken = next(i for i, x in enumerate(self.held) if x is taken)
+        self.start, self.last, self.pending, self.best, self.pool, self.held = taken[1], taken[0], behind, None, None, self.held[at_taken + 1 :]
+        for x in self.held:
+            self.see(x)
+        return [(*taken[:3], why)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+    cut = end
+
+    def state(self) -> list:
+        return [self.start, self.last, self.pending, self.held]
+
+
+def choose_boundaries(scores: DataFrame, first_start: DataFrame, c: TopicConfig = TopicConfig(), slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The boundaries taken: strong ones once a section is long enough, the best at hand once it is too long."""
+    fold = Fold(partial(Boundaries, c), ("segment_index", "timestamp_seconds", "score", "reasons", "first_start"), ("segment_index",), Boundaries.OUT)
+    return sliced(scores.join(first_start, "video_id"), fold, slice_rows).drop("slice", "nth")
 
 
 def topic_of_segments(segments: DataFrame, starts: DataFrame) -> DataFrame:

@@ -41,13 +41,13 @@ def stable_states_stream(changes: DataFrame, c: StateConfig = StateConfig(), idl
         for r in rows[COLUMNS].itertuples(index=False):
             if r.kind == "END":
                 made, status = machine.end(), "EMITTED"
-            elif machine.state[9] is not None and r.frame_index <= machine.state[9]:
+            elif machine.state_[9] is not None and r.frame_index <= machine.state_[9]:
                 made, status = (-1, int(r.frame_index), float(r.timestamp_seconds), "LATE", 0.0, r.kind, 0.0, 0, False), "REJECTED"
             else:
                 made, status = machine.add(*r), "EMITTED"
             if made is not None:
                 out.append((key[0], *made, status))
-        state.update(tuple(machine.state))
+        state.update(tuple(machine.state_))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
