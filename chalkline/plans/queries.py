@@ -711,6 +711,14 @@ def activity_sessions_stream(x):
     return out.where(F.col("start") < F.timestamp_micros(F.lit(2_000_000_000_000_000))).select("video_id", seconds("start").alias("start_seconds"), seconds("end").alias("end_seconds"), "n")
 
 
+@query("SELECT video_id, frame_index, timestamp_seconds FROM changes WHERE frame_index % 100 = 99 AND kind <> 'NONE' AND timestamp_seconds + 1 <= (SELECT max(timestamp_seconds) FROM changes WHERE frame_index % 100 <> 99 AND kind <> 'NONE')")
+def late_session_rows(x):
+    """Every hundredth row comes after all others: those behind the watermark by then."""
+    rows = x.changes.select("video_id", "frame_index", "timestamp_seconds", "kind", F.timestamp_micros(F.round(F.col("timestamp_seconds") * 1e6).cast("long")).alias("at"))
+    late = stream.replay_split(rows, F.when(F.col("frame_index") % 100 == 99, 2).otherwise(1), 2)[1]
+    return late.select("video_id", "frame_index", "timestamp_seconds")
+
+
 def _extractor():
     def extract(content: bytes) -> dict:
         words = content.decode().split(" ")

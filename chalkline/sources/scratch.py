@@ -20,3 +20,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of a path in any of Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _file(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of scratch data."""
+    system, at = _file(spark, path)
+    system.delete(at, True)

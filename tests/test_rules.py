@@ -1,7 +1,5 @@
 """Operators on hand-made rows, two lectures each so that a missing key shows."""
 
-import time
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,25 +113,6 @@ def test_spans_meet_as_in_all_pairs(spark):
     assert got == sorted((i, j) for v, i, x, y in left for w, j, p, q in right if v == w and x is not None and x <= y and p <= q and x <= q and p <= y)
 
 
-def test_an_idle_stream_ends_by_its_timer(spark):
-    from chalkline.sources.scratch import scratch_path
-    from chalkline.streaming import states as stream
-
-    rows = spark.createDataFrame(change_rows([("LOCAL", 3, 0.01)] * 3, 10), CHANGES)
-    other = spark.createDataFrame(change_rows([QUIET] * 3, 10, "b"), CHANGES)
-    source, sink = scratch_path(spark, "idle-in"), scratch_path(spark, "idle-out")
-    rows.union(other).write.parquet(source)
-    out = stream.stable_states_stream(spark.readStream.schema(rows.schema).parquet(source), idle_ms=1)
-    query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(processingTime="1 second").start()
-    got, until = [], time.monotonic() + 60
-    while not got and time.monotonic() < until and query.isActive:
-        time.sleep(2)
-        if query.lastProgress:
-            got = [(r.video_id, r.frame_index, r.reason) for r in spark.read.schema(out.schema).parquet(sink).where("video_id = 'a'").collect()]
-    query.stop()
-    assert got == [("a", 3, "END_OF_VIDEO_FALLBACK")]
-
-
 def test_text_extractor_keeps_lines(spark):
     from chalkline.operators import plugins
 
