@@ -66,16 +66,28 @@ def protect(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"auto_protected": auto, "default_selected": F.col("kept") | auto})
 
 
-def apply_decisions(review: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def latest_decisions(events: DataFrame) -> DataFrame:
+    """The decision log compacted: of each candidate, and each ``candidate_version`` where there is one, the event that counts."""
+    key = ["video_id", "candidate_index", *(["candidate_version"] if "candidate_version" in events.columns else [])]
+    latest = Window.partitionBy(*key).orderBy(F.desc("updated_at"), F.desc("selected"))
+    return events.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth")
+
+
+def apply_decisions(review: DataFrame, events: DataFrame, versions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(overrides, rejects) of decision events video_id, candidate_index, selected, force, updated_at: the latest counts.
 
     Unknown candidates and unforced removals of protected ones are rejected; a
-    decision equal to the default removes the override.
+    decision equal to the default removes the override.  With ``versions``
+    (video_id, version of its candidates) the events say by candidate_version what
+    they were made on: those made on another version are void, and listed.
     """
-    latest = Window.partitionBy("video_id", "candidate_index").orderBy(F.desc("updated_at"), F.desc("selected"))
-    known = events.withColumn("nth", F.row_number().over(latest)).where("nth = 1").join(review.select("video_id", "candidate_index", "auto_protected", "default_selected"), ["video_id", "candidate_index"], "left")
-    reason = F.when(F.col("default_selected").isNull(), "UNKNOWN_CANDIDATE").when(F.col("auto_protected") & ~F.col("selected") & ~F.coalesce(F.col("force"), F.lit(False)), "PROTECTED")
-    judged = known.withColumn("reject_reason", reason)
+    events, reason = latest_decisions(events), F.lit(None).cast("string")
+    if versions is not None:
+        events = events.join(versions.select("video_id", F.col("version").alias("__now")), "video_id", "left")
+        reason = F.when(~F.col("candidate_version").eqNullSafe(F.col("__now")), "OTHER_VERSION")
+    known = events.join(review.select("video_id", "candidate_index", "auto_protected", "default_selected"), ["video_id", "candidate_index"], "left")
+    guard = F.when(F.col("default_selected").isNull(), "UNKNOWN_CANDIDATE").when(F.col("auto_protected") & ~F.col("selected") & ~F.coalesce(F.col("force"), F.lit(False)), "PROTECTED")
+    judged = known.withColumn("reject_reason", F.coalesce(reason, guard))
     overrides = judged.where(F.col("reject_reason").isNull() & (F.col("selected") != F.col("default_selected"))).select("video_id", "candidate_index", F.col("selected").alias("manual_decision"))
     return overrides, judged.where(F.col("reject_reason").isNotNull()).select("video_id", "candidate_index", "reject_reason")
 

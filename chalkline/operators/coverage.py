@@ -136,10 +136,18 @@ def rule_topic_without_visual(topics: DataFrame) -> DataFrame:
     return _finding(topics.where("screenshot_count <= 0"), 4, ["topic_index"], F.lit("HIGH"), F.lit(True), F.col("start_seconds"), F.col("end_seconds"), F.lit("TOPIC_WITHOUT_TRUSTED_SCREENSHOT"), topic_index=F.col("topic_index"), transcript_segment_count=F.col("segment_count"), word_count=F.col("word_count"))
 
 
+def poor_text(ocr: DataFrame) -> DataFrame:
+    return ocr.where(~F.col("has_text") | F.col("low_confidence")).select("video_id", "trusted_index", "has_text", "mean_confidence", "word_count")
+
+
 def ocr_warnings(ocr: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Screenshots whose text is missing or uncertain, with their times; rows of no screenshot are left to check_exactly_once."""
-    poor = ocr.where(~F.col("has_text") | F.col("low_confidence")).select("video_id", "trusted_index", "has_text", "mean_confidence", "word_count")
-    return poor.join(trusted.select("video_id", "trusted_index", "timestamp_seconds"), ["video_id", "trusted_index"])
+    """Screenshots whose text is missing or uncertain, with their times; rows of no screenshot are in ocr_rejects()."""
+    return poor_text(ocr).join(trusted.select("video_id", "trusted_index", "timestamp_seconds"), ["video_id", "trusted_index"])
+
+
+def ocr_rejects(ocr: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Rows with missing or uncertain text whose index is out of range: they belong to no screenshot."""
+    return poor_text(ocr).join(trusted.select("video_id", "trusted_index"), ["video_id", "trusted_index"], "left_anti").withColumn("reject_reason", F.lit("NO_SUCH_SCREENSHOT"))
 
 
 def rule_ocr_uncertain(ocr: DataFrame, trusted: DataFrame) -> DataFrame:

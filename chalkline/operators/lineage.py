@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 DAG = {
     "source": (), "timeline": ("source",), "changes": ("timeline",), "states": ("changes",), "candidates": ("states",), "trusted": ("candidates",),
     "transcript": ("source",), "topics": ("transcript", "trusted"), "ocr": ("trusted", "topics"), "coverage": ("changes", "states", "candidates", "trusted", "transcript", "topics", "ocr"),
+    "order": ("trusted",), "pages": ("trusted", "topics", "order"),
 }
 
 

@@ -5,7 +5,9 @@ Each method is one table; what a stage makes is made by its operators.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import wraps
+from threading import Lock, RLock
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from chalkline.operators import candidates as cand
 from chalkline.operators import changes as chg
 from chalkline.operators import coverage as cov
 from chalkline.operators import ocr, speech
-from chalkline.sources.scratch import scratch_path
+from chalkline.sources.scratch import bucketed
 
 GRID = 8  # embeddings are read as GRID x GRID frames
 EDGE = 0.1
@@ -23,32 +25,42 @@ TILES = 20  # lectures
 
 
 def table(method):
-    """Built once a library: a plan, or a written table if it is one of the ``shared`` ones."""
+    """Built once a library: a plan, or a written table if it is one of the ``shared`` ones.
+
+    Several threads may ask for tables: the first builds one, the others wait for it.
+    """
 
     @wraps(method)
     def get(self):
         name = method.__name__
-        if name not in self._made:
-            made = method(self)
-            if name in self.shared:
-                path = scratch_path(self.spark, name)
-                made.write.parquet(path)
-                made = self.spark.read.schema(made.schema).parquet(path)
-            self._made[name] = made
-        return self._made[name]
+        with self._guard:
+            lock = self._locks.setdefault(name, RLock())
+        with lock:
+            if name not in self._made:
+                made = method(self)
+                self._made[name] = bucketed(made, name) if name in self.shared else made
+            return self._made[name]
 
     return property(get)
 
 
-#: Tables that several stages behind them read: queries over many stages write each once.
-STAGES = frozenset(("all_changes", "segments", "candidates", "reviewed", "trusted", "states", "scores", "boundaries", "spans", "assigned", "keywords", "topics", "alignment", "ocr", "resolved", "findings"))
+#: Tables that two stages or more behind them read: queries over many stages write each once.
+STAGES = frozenset(("lectures", "all_changes", "segments", "candidates", "reviewed", "trusted", "scores", "spans", "assigned", "topics", "ocr", "resolved", "findings"))
+#: The ends of the branches that don't read each other, longest first: built at the same time.
+BRANCHES = ("topics", "resolved", "ocr", "lectures")
 
 
 class Library:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self._guard, self._locks = Lock(), {}
         self.shared: frozenset[str] = frozenset()  # tables to be written when they are first asked for
 
+    def build(self, *names: str) -> None:
+        """Write tables that several stages read, at the same time as far as they don't wait for one another."""
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(lambda name: getattr(self, name), names))
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

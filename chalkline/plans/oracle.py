@@ -201,7 +201,7 @@ TABLES: dict[str, str] = {
     "raw_times": "SELECT video_id, frame_index, CASE WHEN frame_index % 5 = 0 THEN 0.0::DOUBLE WHEN frame_index % 7 = 0 THEN timestamp_seconds - 9 ELSE timestamp_seconds END AS raw FROM all_changes",
     "repaired": """SELECT video_id, -1 AS i, 0.0::DOUBLE AS last FROM (SELECT DISTINCT video_id FROM all_changes)
  UNION ALL SELECT r.video_id, r.frame_index, greatest(p.last, CASE WHEN r.raw > 0 AND r.raw >= p.last THEN r.raw ELSE r.frame_index / 0.4::DOUBLE END) FROM repaired p JOIN raw_times r ON r.video_id = p.video_id AND r.frame_index = p.i + 1""",
-    "dag": "SELECT * FROM (VALUES (0, 'raw', 'source'), (1, 'source', 'timeline'), (2, 'timeline', 'changes'), (3, 'changes', 'states'), (4, 'states', 'candidates'), (5, 'candidates', 'trusted'), (6, 'source', 'transcript'), (7, 'transcript', 'topics'), (7, 'trusted', 'topics'), (8, 'trusted', 'ocr'), (8, 'topics', 'ocr'), (9, 'changes', 'coverage'), (9, 'states', 'coverage'), (9, 'candidates', 'coverage'), (9, 'trusted', 'coverage'), (9, 'transcript', 'coverage'), (9, 'topics', 'coverage'), (9, 'ocr', 'coverage')) AS t(number, input, stage)",
+    "dag": "SELECT * FROM (VALUES (0, 'raw', 'source'), (1, 'source', 'timeline'), (2, 'timeline', 'changes'), (3, 'changes', 'states'), (4, 'states', 'candidates'), (5, 'candidates', 'trusted'), (6, 'source', 'transcript'), (7, 'transcript', 'topics'), (7, 'trusted', 'topics'), (8, 'trusted', 'ocr'), (8, 'topics', 'ocr'), (9, 'changes', 'coverage'), (9, 'states', 'coverage'), (9, 'candidates', 'coverage'), (9, 'trusted', 'coverage'), (9, 'transcript', 'coverage'), (9, 'topics', 'coverage'), (9, 'ocr', 'coverage'), (10, 'trusted', 'order'), (11, 'trusted', 'pages'), (11, 'topics', 'pages'), (11, 'order', 'pages')) AS t(number, input, stage)",
     "stage_inputs": "SELECT video_id, stage, input, CASE WHEN (video_id::INTEGER + number) % 7 = 3 THEN NULL WHEN (video_id::INTEGER * 3 + number) % 11 = 5 THEN 0 ELSE 1 END AS recorded_version FROM lectures, dag",
     "freshness": "SELECT video_id, stage, CASE WHEN count(recorded_version) = 0 THEN 'MISSING' WHEN bool_and(recorded_version IS NOT DISTINCT FROM 1) THEN 'FRESH' ELSE 'STALE' END AS status FROM stage_inputs GROUP BY ALL",
     "reach": "SELECT stage AS target, stage FROM dag UNION SELECT r.target, d.input FROM reach r JOIN dag d ON d.stage = r.stage WHERE d.input <> 'raw'",

@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.sources import committed
+
 WORD_FIELDS = ("level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text")
 
 
-def write_artifact(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the data of the lectures in ``df``, one folder a lecture; other lectures stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").format(fmt).save(path)
+def write_artifact(df: DataFrame, path: str, fmt: str = "parquet", lectures: DataFrame | None = None) -> None:
+    """Replace the data of ``lectures``, or of those in ``df``, whole or not at all; other lectures stay."""
+    committed.commit(df, path, lectures, fmt)
+
 
+def read_artifact(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
+    """A table of write_artifact(), or a folder of JSON lines, under a fixed schema.
 
-def read_artifact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines under a fixed schema; a malformed line fails the read, blank lines are skipped."""
+    A malformed line of the latter fails the read, blank lines are skipped.
+    """
+    if committed.last_version(spark, path):
+        return committed.read_committed(spark, path, schema, fmt)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 

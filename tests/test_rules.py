@@ -114,12 +114,55 @@ def test_spans_meet_as_in_all_pairs(spark):
 
 
 def test_text_extractor_keeps_lines(spark):
+    """Line records, bare strings, and a result without lines."""
     from chalkline.operators import plugins
 
-    results = {b"one": {"text": "a\nb", "lines": ["a", "b"], "word_count": 2, "mean_confidence": 80.0, "has_text": True}, b"two": {"text": "", "word_count": 0, "mean_confidence": 0.0, "has_text": False}}
-    df = spark.createDataFrame([("v", 0, b"one"), ("w", 0, b"two")], "video_id string, trusted_index int, content binary")
-    got = {r.video_id: (r.lines, r.line_count) for r in plugins.apply_text_extractor(df, lambda: results.__getitem__).collect()}
-    assert got == {"v": (["a", "b"], 2), "w": ([], 0)}
+    record = {"text": "Binary Search", "confidence": 85.0, "bbox": [10, 20, 90, 10]}
+    results = {
+        b"one": {"text": "Binary Search\nMid", "lines": [record, {"text": "Mid", "confidence": 70, "bbox": [10, 40, 20, 10]}], "word_count": 3, "mean_confidence": 80.0, "has_text": True},
+        b"two": {"text": "", "word_count": 0, "mean_confidence": 0.0, "has_text": False}, b"three": {"text": "a", "lines": ["a"], "line_count": 4, "word_count": 1, "mean_confidence": 50.0},
+    }
+    df = spark.createDataFrame([("v", 0, b"one"), ("w", 0, b"two"), ("w", 1, b"three")], "video_id string, trusted_index int, content binary")
+    pages = plugins.apply_text_extractor(df, lambda: results.__getitem__).cache()
+    got = {(r.video_id, r.trusted_index): ([x.asDict() for x in r.lines], r.line_count, r.low_confidence) for r in pages.collect()}
+    mid = {"text": "Mid", "confidence": 70.0, "bbox": [10, 40, 20, 10]}
+    assert got == {("v", 0): ([record, mid], 2, False), ("w", 0): ([], 0, False), ("w", 1): ([{"text": "a", "confidence": None, "bbox": None}], 4, True)}
+    # The same lines as those made of word boxes.
+    boxes = [("Binary", 0, 10, 20, 40, 10, 90.0), ("Search", 1, 60, 20, 40, 10, 80.0), ("Mid", 2, 10, 40, 20, 10, 70.0)]
+    words = spark.createDataFrame([("v", 0, 1, 1, 1, 1 + (t == "Mid"), p, a, b, w, h, c, t) for t, p, a, b, w, h, c in boxes], "video_id string, trusted_index int, page int, block int, par int, line int, pos int, left int, top int, width int, height int, conf double, text string")
+    columns = ["video_id", "trusted_index", "line_index", "text", "confidence", "left", "top", "width", "height"]
+    made = sorted(tuple(r) for r in ocr.ocr_lines(words).select(*columns).collect())
+    assert made == sorted(tuple(r) for r in plugins.extracted_lines(pages).where("video_id = 'v'").select(*columns).collect())
+
+
+def test_callables_are_built_once_a_worker(spark, tmp_path):
+    from chalkline.operators import plugins
+
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda content: {"text": content.decode(), "word_count": 1, "mean_confidence": 1.0, "has_text": True}
+
+    df = spark.range(64).repartition(16).selectExpr("string(id) AS video_id", "0 AS trusted_index", "binary(string(id)) AS content")
+    for _ in range(2):
+        assert plugins.apply_text_extractor(df, factory).count() == 64
+    workers = [name.split("-")[0] for name in __import__("os").listdir(folder)]
+    assert 0 < len(workers) < 16 and len(workers) == len(set(workers))
+
+
+def test_decisions_of_another_version_are_void(spark):
+    """Candidates made anew clear what was decided on those before; a later decision on the new ones counts."""
+    review = spark.createDataFrame([("a", i, i == 2, i != 1) for i in range(4)] + [("b", 0, False, True)], "video_id string, candidate_index int, auto_protected boolean, default_selected boolean")
+    events = [("a", 0, False, False, 5, 2), ("a", 0, True, False, 9, 1), ("a", 1, True, False, 3, 2), ("a", 3, False, False, 4, 1), ("a", 2, False, False, 4, 2), ("b", 0, False, False, 1, 1), ("c", 0, False, False, 1, 1)]
+    df = spark.createDataFrame(events, "video_id string, candidate_index int, selected boolean, force boolean, updated_at long, candidate_version int")
+    versions = spark.createDataFrame([("a", 2), ("b", 1)], "video_id string, version int")
+    overrides, rejects = cand.apply_decisions(review, df, versions)
+    assert sorted(tuple(r) for r in overrides.collect()) == [("a", 0, False), ("a", 1, True), ("b", 0, False)]
+    assert sorted(tuple(r) for r in rejects.collect()) == [("a", 0, "OTHER_VERSION"), ("a", 2, "PROTECTED"), ("a", 3, "OTHER_VERSION"), ("c", 0, "OTHER_VERSION")]
 
 
 def test_states_without_rows(spark):
