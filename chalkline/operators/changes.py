@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import partial
-from math import floor
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.config import ChangeConfig, CoverageConfig, StateConfig
+from chalkline.functions.frames import VALUES, classify, measure
 from chalkline.operators.folds import SLICE_ROWS, Fold, sliced
 
 
@@ -139,46 +139,56 @@ def coarse_windows(changes: DataFrame, quiet_seconds: float = 1.0, slice_rows: i
     return joined_windows(sliced(changes, Fold(partial(PairWindows, quiet_seconds), columns, ORDER, WindowFold.PART), slice_rows))
 
 
-def frame_difference(a: np.ndarray, b: np.ndarray, edge: float, c: ChangeConfig) -> tuple[str, float]:
-    """Class and score of the change between two gray frames (arrays of rows)."""
-    delta = np.abs(b - a)
-    changed = delta >= c.pixel_delta
-    edges = lambda x: np.abs(np.diff(x, axis=1)) > edge
-    mean, ratio, moved, box = float(delta.mean()), float(changed.mean()), float((edges(a) != edges(b)).sum() / a.size), 0.0
-    if changed.any():
-        height, width = np.flatnonzero(changed.any(1)), np.flatnonzero(changed.any(0))
-        box = float((height[-1] - height[0] + 1) * (width[-1] - width[0] + 1) / a.size)
-    if mean <= c.quiet_mean and ratio <= c.quiet_ratio and moved <= c.quiet_edge:
-        kind = "NONE"
-    elif ratio >= c.scene_ratio or mean >= c.scene_mean:
-        kind = "SCENE"
-    else:
-        kind = "LOCAL" if ratio <= c.local_ratio and box <= c.local_bbox and mean <= c.local_mean else "STRUCTURAL"
-    score = 100.0 * (0.35 * min(1.0, mean / 40.0) + 0.45 * min(1.0, ratio / 0.35) + 0.20 * min(1.0, moved / 0.20))
-    return kind, floor(score * 10000 + 0.5) / 10000
-
-
 class FrameWindows:
-    """Windows of frames, each compared with the one before and with the anchor; both are part of the state."""
+    """Windows of frames, each compared with the one before and with the anchor; both are part of the state.
+
+    The frames of a slice are known ahead and are compared in blocks.
+    """
 
     def __init__(self, width: int, edge: float, c: ChangeConfig, quiet_seconds: float, state: list | None = None):
         self.at, last, anchor, windows = state or (None, None, None, None)
-        frame = lambda x: None if x is None else np.array(x, np.float64).reshape(-1, width)
-        self.last, self.anchor = frame(last), frame(anchor)
         self.windows, self.width, self.edge, self.c = WindowFold(quiet_seconds, windows), width, edge, c
-
-    def add(self, at: float, thumb: np.ndarray) -> list[tuple]:
-        now, out = np.asarray(thumb, np.float64).reshape(-1, self.width), []
+        self.last, self.anchor = (None if x is None else self.frame(x) for x in (last, anchor))
+        self.ahead_: list[np.ndarray] = []
+        self.place, self.steps, self.apart = 0, {}, {}  # frames taken; differences of frames ahead from the one before and from the anchor
+
+    def frame(self, thumb) -> np.ndarray:
+        return np.asarray(thumb, np.float64).reshape(-1, self.width)
+
+    def ahead(self, rows: list[tuple]) -> None:
+        self.ahead_ = [self.frame(thumb) for _, thumb in rows]
+
+    def differ(self, before: np.ndarray, after: np.ndarray) -> list[tuple[str, float]]:
+        return classify(measure(before, after, self.edge, self.c.pixel_delta), self.c)
+
+    def block(self, now: np.ndarray, most: int) -> np.ndarray:
+        """The frame and those known ahead that are compared with it at once."""
+        size = max(1, min(most, VALUES // now.size))
+        return np.stack(self.ahead_[self.place : self.place + size] or [now])
+
+    def step(self, now: np.ndarray) -> tuple[str, float]:
+        if self.place not in self.steps:
+            after = self.block(now, 256)
+            self.steps = dict(enumerate(self.differ(np.concatenate([self.last[None], after[:-1]]), after), self.place))
+        return self.steps[self.place]
+
+    def from_anchor(self, now: np.ndarray) -> tuple[str, float]:
+        if self.place not in self.apart:
+            after = self.block(now, 16)
+            self.apart = dict(enumerate(self.differ(self.anchor[None], after), self.place))
+        return self.apart[self.place]
+
+    def add(self, at: float, thumb) -> list[tuple]:
+        now, out = self.frame(thumb), []
         if self.last is None:
             self.anchor = now
         else:
-            pair = frame_difference(self.last, now, self.edge, self.c)
+            pair = self.step(now)
             # The anchor is the frame before as long as nothing changes.
-            anchor = pair if self.anchor is self.last else frame_difference(self.anchor, now, self.edge, self.c)
-            out, moves = self.windows.add(self.at, at, *pair, *anchor)
+            out, moves = self.windows.add(self.at, at, *pair, *(pair if self.anchor is self.last else self.from_anchor(now)))
             if moves:
-                self.anchor = now
-        self.last, self.at = now, at
+                self.anchor, self.apart = now, {}
+        self.last, self.at, self.place = now, at, self.place + 1
         return out
 
     def end(self) -> list[tuple]:
@@ -191,7 +201,11 @@ class FrameWindows:
         return [self.at, self.last.ravel().tolist(), self.anchor.ravel().tolist(), self.windows.state()]
 
 
-def anchored_windows(frames: DataFrame, width: int, edge: float, c: ChangeConfig = ChangeConfig(), quiet_seconds: float = 1.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
+#: Frames of a lecture that one task folds at once: about a hundred MB of frames of 160 x 90.
+FRAME_ROWS = 1_024
+
+
+def anchored_windows(frames: DataFrame, width: int, edge: float, c: ChangeConfig = ChangeConfig(), quiet_seconds: float = 1.0, slice_rows: int = FRAME_ROWS) -> DataFrame:
     """Activity windows of sampled frames (video_id, frame_index, timestamp_seconds, thumb), each compared with the one before and with the stable anchor.
 
     The anchor catches slow writing, no step of which is a change of its own.

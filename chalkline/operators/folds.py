@@ -33,6 +33,7 @@ class Fold:
     """A rule: ``machine(state)`` has add(*row) and end(), which give rows of ``out``, and state(), which JSON can hold.
 
     ``state`` is null at a lecture's start, and is the guess for any other slice.
+    A machine with ahead(rows) is shown the rows of its slice before they come.
     add() gets ``columns`` in ``order``; cut() gives the rows that end a slice
     which isn't the last, and end() those of the last.  What rows of ``out``
     accumulate begins anew with each slice: the caller puts the parts together.
@@ -66,8 +67,10 @@ def sliced(rows: DataFrame, fold: Fold, slice_rows: int = SLICE_ROWS, rounds: in
 
     def run(video: str, number: int, part: pd.DataFrame, entry: str | None, last: bool) -> pd.DataFrame:
         machine = fold.machine(json.loads(entry) if entry else None)
-        part = part.sort_values(list(fold.order), kind="stable")
-        out = [o for r in part[list(fold.columns)].itertuples(index=False, name=None) for o in machine.add(*r)]
+        rows = list(part.sort_values(list(fold.order), kind="stable")[list(fold.columns)].itertuples(index=False, name=None))
+        if hasattr(machine, "ahead"):
+            machine.ahead(rows)
+        out = [o for r in rows for o in machine.add(*r)]
         out += machine.end() if last else machine.cut()
         none = (None,) * len(fold.names)
         return frame([(video, number, i, None, None, *o) for i, o in enumerate(out)] + [(video, number, -1, entry, json.dumps(machine.state()), *none)])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.config import ChangeConfig
+from chalkline.functions import frames
 from chalkline.functions import text as tx
 from chalkline.functions import vectors as vx
 from chalkline.operators import candidates as cand
@@ -92,9 +93,9 @@ def read_image_assets(x):
 @query("SELECT video_id, segment_index, start_seconds, end_seconds, text FROM segments")
 def write_artifact(x):
     path = scratch_path(x.spark, "segments")
-    for _ in range(2):  # the second write replaces the first
-        artifacts.write_artifact(x.segments, path)
-    return x.spark.read.schema(x.segments.schema).parquet(path)
+    artifacts.write_artifact(x.segments.where("segment_index % 2 = 0"), path)
+    artifacts.write_artifact(x.segments, path)  # replaces the first
+    return artifacts.read_artifact(x.spark, path, x.segments.schema, "parquet")
 
 
 # Projections and scalar functions ------------------------------------------------------------------------------------
@@ -246,16 +247,25 @@ PAIRS = "(SELECT video_id, candidate_index, thumb AS b, lag(thumb) OVER (PARTITI
 EDGES = "list_transform(range(1, 65), lambda i: i % 8 <> 0 AND abs({v}[i + 1] - {v}[i]) > 0.1)"
 
 
-@query(f"""SELECT video_id, candidate_index, round(list_sum(list_transform(range(1, 65), lambda i: abs(b[i] - a[i]))) / 64, 6) AS mean_pixel_delta, len(c)::DOUBLE / 64 AS changed_pixel_ratio,
+PAIR_METRICS = f"""SELECT video_id, candidate_index, round(list_sum(list_transform(range(1, 65), lambda i: abs(b[i] - a[i]))) / 64, 6) AS mean_pixel_delta, len(c)::DOUBLE / 64 AS changed_pixel_ratio,
  len(list_filter(range(1, 65), lambda i: ea[i] <> eb[i]))::DOUBLE / 64 AS edge_change_ratio,
  CASE WHEN len(c) = 0 THEN 0.0::DOUBLE ELSE (list_max(list_transform(c, lambda i: i // 8)) - list_min(list_transform(c, lambda i: i // 8)) + 1) * (list_max(list_transform(c, lambda i: i % 8)) - list_min(list_transform(c, lambda i: i % 8)) + 1)::DOUBLE / 64 END AS change_bbox_area_ratio
-FROM (SELECT *, list_filter(range(0, 64), lambda i: abs(b[i + 1] - a[i + 1]) >= 0.3) AS c, {EDGES.format(v='a')} AS ea, {EDGES.format(v='b')} AS eb FROM {PAIRS} WHERE a IS NOT NULL)""")
+FROM (SELECT *, list_filter(range(0, 64), lambda i: abs(b[i + 1] - a[i + 1]) >= 0.3) AS c, {EDGES.format(v='a')} AS ea, {EDGES.format(v='b')} AS eb FROM {PAIRS} WHERE a IS NOT NULL)"""
+
+
+@query(PAIR_METRICS)
 def pair_metrics(x):
     e = lambda v: vx.edges(F.col(v), GRID, EDGE)
     rows = _pairs(x).withColumns({"changed": F.zip_with("before", "thumb", lambda a, b: F.abs(b - a) >= 0.3), "moved": F.zip_with(e("before"), e("thumb"), lambda a, b: a != b)})
     return rows.select("video_id", "candidate_index", F.round(vx.mean_abs_difference(F.col("before"), F.col("thumb")), 6).alias("mean_pixel_delta"), vx.share(F.col("changed")).alias("changed_pixel_ratio"), vx.share(F.col("moved")).alias("edge_change_ratio"), vx.bbox_share(F.col("changed"), GRID).alias("change_bbox_area_ratio"))
 
 
+@query(PAIR_METRICS)
+def pair_metrics_in_batches(x):
+    """The same by Arrow batches, for frames too long for column functions."""
+    return frames.pair_metrics(_pairs(x), "before", "thumb", GRID, EDGE, 0.3).select("video_id", "candidate_index", *(F.round(m, 6).alias(m) if m == "mean_pixel_delta" else m for m in frames.METRICS))
+
+
 def _hashes(x):
     return x.frames.select("video_id", "candidate_index", "thumb", (F.col("label") == 3).alias("protected"), vx.dhash(F.col("thumb"), GRID, GRID).alias("dhash"))
 
@@ -688,8 +698,8 @@ def apply_decisions(x):
     return x.overrides.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(x.rejects.withColumn("manual_decision", F.lit(None).cast("boolean")))
 
 
-@query("""WITH e AS (SELECT *, CASE WHEN (video_id::INTEGER + candidate_index) % 3 = 0 THEN 1 ELSE 2 END AS made_on FROM judged), r AS (SELECT *, CASE WHEN made_on <> 2 THEN 'OTHER_VERSION' ELSE reject_reason END AS reason FROM e)
-SELECT video_id, candidate_index, CASE WHEN reason IS NULL THEN selected END AS manual_decision, reason AS reject_reason FROM r WHERE reason IS NOT NULL OR selected <> default_selected""")
+@query("""SELECT video_id, candidate_index, CASE WHEN reason IS NULL THEN selected END AS manual_decision, reason AS reject_reason
+FROM (SELECT *, CASE WHEN (video_id::INTEGER + candidate_index) % 3 = 0 THEN 'OTHER_VERSION' ELSE reject_reason END AS reason FROM judged) WHERE reason IS NOT NULL OR selected <> default_selected""")
 def apply_versioned_decisions(x):
     """A third of the decisions was made on the candidates before the present ones."""
     made_on = F.when((F.col("video_id").cast("int") + F.col("candidate_index")) % 3 == 0, 1).otherwise(2)
