@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,9 @@ def shown(data: bytes) -> str:
     return data.decode("latin-1").translate(byte_table())
 
 
+SPACE = shown(b" ")
+
+
 def _merges(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
     """The two tokens each token is merged from: what lower ranks make of its bytes."""
     out = []
@@ -115,6 +119,12 @@ class Pieces(dict):
     def ids(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(shown(piece.encode()))]).tobytes()
 
+    def spaced(self, word: str) -> bytes:
+        """Ids of a word of letters and the space before it."""
+        if word.isascii():  # such letters are shown as they are
+            return array("I", [t.id for t in self.tokenize(SPACE + word)]).tobytes()
+        return self.ids(" " + word)
+
 
 class Uneven(Exception):
     """A cut at single spaces would change the matches of this text."""
@@ -128,7 +138,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():  # one match
-            out = self.pieces.ids(" " + word)
+            out = self.pieces.spaced(word)
         elif not word or word[0].isspace() or word[-1].isspace():
             raise Uneven
         elif word[-1] in ".,!?:;" and word[:-1].isalpha():  # two matches
@@ -175,6 +185,39 @@ class Encoder:
         return np.frombuffer(out, "<u4")
 
 
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each of several texts: distinct words are looked up once, and their ids gathered in place."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return []
+        words = pc.split_pattern(texts, " ")
+        starts, flat = np.asarray(words.offsets)[:-1] - words.offsets[0].as_py(), words.flatten().dictionary_encode()
+        known, codes = flat.dictionary.to_pylist(), np.asarray(flat.indices).astype(np.int64)
+        later = np.ones(len(codes), bool)
+        later[starts] = False
+        ids: list[bytes] = [b""] * len(known)
+        odd = np.zeros(len(known) + 1, bool)
+        for i in np.unique(codes[later]).tolist():
+            try:
+                ids[i] = self.words[known[i]]
+            except Uneven:
+                odd[i] = True
+        first = [known[i] for i in codes[starts].tolist()]
+        codes[starts] = np.arange(len(known), len(known) + len(first))
+        odd = np.r_[odd[:-1], [x[-1:].isspace() for x in first]]
+        whole = np.logical_or.reduceat(odd[codes], starts)  # texts that a cut at single spaces would change
+        for token in self.added:
+            whole |= np.asarray(pc.match_substring(texts, token))
+        ids += [b"" if w else self.of_pieces(x) for x, w in zip(first, whole.tolist(), strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, offsets = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        out = table[np.arange(int(ends[-1])) + np.repeat(offsets[codes] - (ends - each), each)]
+        parts = np.split(out, np.r_[0, ends][starts][1:])
+        return [self(texts[i].as_py()) if w else part for i, (part, w) in enumerate(zip(parts, whole.tolist(), strict=True))]
+
+
 @lru_cache(4)
 def encoder(vocabulary: str, pattern: str) -> Encoder:
     return Encoder(vocabulary, pattern, added=True)

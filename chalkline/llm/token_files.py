@@ -161,9 +161,9 @@ def write_files(df: DataFrame, vocabulary: str, pattern: str, end_id: int, path:
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = bpe.encoder(vocabulary, pattern), np.array([end_id], kind)
+        encoder, end = bpe.encoder(vocabulary, pattern), np.array([end_id], kind)
         for batch in batches(source, "text"):
-            ids = [np.concatenate([ids_of(x.as_py()).astype(kind), end]) for x in batch.column("text")]
+            ids = [np.concatenate([x.astype(kind), end]) for x in encoder.batch(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     spark = df.sparkSession
