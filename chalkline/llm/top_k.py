@@ -9,8 +9,9 @@ that cannot reach the k-th best exact score known so far are out.  Only when few
 are left, or nothing is left to process, are the possible members scored
 exactly; nothing is given up without that proof.
 
-Scores are exact 64-bit integers; bounds are kept in floating point with a margin
-for its rounding.  Vectors so large that a score might not fit 64 bits are an
+Scores are exact integers; bounds are kept in floating point with a margin for
+its rounding.  Where scores might not fit 64 bits they are summed without a
+limit, and only one among the k best of a block that really doesn't fit is an
 error.
 
 Vectors that are null, hold null, NaN or infinity, or have no id take no part.
@@ -98,8 +99,7 @@ class Index:
         n, dims = self.x.shape
         q = q[:dims] if len(q) >= dims else np.concatenate([q, np.zeros(dims - len(q), np.int64)])
         most = float(np.abs(q.astype(np.float64)) @ self.widest)  # no score is larger
-        if most >= 2.0**63:
-            raise OverflowError("scores of these vectors may not fit 64 bits")
+        exact = self.exact if most < 2.0**63 else self.unlimited
         margin = most * dims * len(ROUNDS) * 2.0**-50  # for the rounding of all sums below
         others = self.ids != own
         # What a segment adds at least, over the least that its dimension can add; each posting adds up to ``slack`` more.
@@ -107,7 +107,7 @@ class Index:
         real = self.size > 0
         floor = np.where(real, low, np.inf).min(1)
         gain = np.where(real & (q != 0)[:, None], low - floor[:, None], -1.0)
-        slack, least, widest = float(np.abs(q).sum() * (STEP - 1)), float(floor.sum()), float(gain.max())
+        slack, least, widest = float(np.abs(q.astype(np.float64)).sum() * (STEP - 1)), float(floor.sum()), float(gain.max())
         gained, done = np.zeros(n), gain < 0
         for share in ROUNDS:
             now = ~done & (gain >= share * widest)
@@ -124,13 +124,22 @@ class Index:
             near = np.argpartition(-gained, min(4 * k, n - 1))[: 4 * k + 1]
             near = near[others[near]]
             if len(near) >= k:
-                bar = max(bar, float(np.sort(self.x[near] @ q)[-k]))
+                bar = max(bar, float(np.sort(exact(near, q))[-k]))
             left = np.flatnonzero((gained >= bar - least - rest) & others)
             if len(left) <= max(8 * k, n // 50):
                 break
-        scores = self.x[left] @ q
-        keep = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][keep], scores[keep]
+        scores = exact(left, q)
+        keep = sorted(range(len(left)), key=lambda i: (-scores[i], self.ids[left[i]]))[:k] if scores.dtype == object else np.lexsort((self.ids[left], -scores))[:k]
+        best = scores[keep]
+        if best.dtype == object and any(not -(1 << 63) <= x < 1 << 63 for x in best):
+            raise OverflowError("a score among the best doesn't fit 64 bits")
+        return self.ids[left][keep], best.astype(np.int64)
+
+    def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return self.x[rows] @ q
+
+    def unlimited(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.array([sum(a * b for a, b in zip(row, q.tolist(), strict=True)) for row in self.x[rows].tolist()], object)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -344,6 +344,11 @@ def test_scores_beyond_64_bits_are_an_error():
     index = top_k.Index(np.arange(3), np.full((3, 2), 1 << 40))
     with pytest.raises(OverflowError):
         index.search(np.full(2, 1 << 40), 0, 1, -np.inf)
+    wide = np.array([[1 << 40, -(1 << 40)], [1 << 40, 3 - (1 << 40)], [-(1 << 40), 1], [5, 6]])  # bounds beyond 64 bits, best scores within
+    for query in ((1 << 40, 1 << 40), (2, 1)):
+        best = sorted(((i, sum(int(a) * b for a, b in zip(v, query, strict=True))) for i, v in enumerate(wide)), key=lambda x: (-x[1], x[0]))[:2]
+        found, scores = top_k.Index(np.arange(4), wide).search(np.array(query), 99, 2, -np.inf)
+        assert list(zip(found.tolist(), scores.tolist(), strict=True)) == best
     big = np.random.default_rng(16).integers(-(1 << 28), 1 << 28, (500, 8))  # scores beyond 53 bits
     found, scores = top_k.Index(np.arange(500), big).search(big[3], 3, 5, -np.inf)
     full = sorted(((j, sum(int(a) * int(b) for a, b in zip(big[j], big[3], strict=True))) for j in range(500) if j != 3), key=lambda p: (-p[1], p[0]))[:5]
