@@ -12,7 +12,9 @@ def meet(left: DataFrame, right: DataFrame, left_span: tuple[Column, Column], ri
     Each row is dealt to the buckets of ``width`` that its span touches, and a pair
     is made in the first bucket that both touch, so the work grows with the rows
     and the pairs that meet.  But for video_id the two sides have no column in
-    common.  Rows with a null end, or that end before they begin, meet nothing.
+    common.  Rows with a null end, or that end before they begin, meet nothing.  A
+    span must be finite: it is dealt to each bucket that it touches, so ``width``
+    should be of the order of the longer spans.
     """
     number = lambda x: F.floor(x / width)
 

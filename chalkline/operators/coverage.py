@@ -60,14 +60,16 @@ def resolve_states(states: DataFrame, reviewed: DataFrame, trusted: DataFrame, c
 def states_near(clusters: DataFrame, resolved: DataFrame, c: CoverageConfig = CoverageConfig()) -> DataFrame:
     """Clusters with the number and the first eight times of states nearby, all and unresolved."""
     s = resolved.select("video_id", F.round("timestamp_seconds", 4).alias("at"), F.col("timestamp_seconds").alias("exact"), (F.col("resolution") == "UNRESOLVED").alias("open"))
-    first = lambda x: tx.joined(F.slice(F.sort_array(F.collect_list(x)), 1, 8).cast("array<string>"))
+    key = ["video_id", "cluster_index"]
+    ranks = {"nth": F.row_number().over(Window.partitionBy(*key).orderBy("at")), "nth_open": F.row_number().over(Window.partitionBy(*key, "open").orderBy("at"))}
+    first = lambda x: tx.joined(F.sort_array(F.collect_list(F.when(x, F.col("at")))).cast("array<string>"))
     spans = clusters.select("video_id", "cluster_index", "start_seconds", "end_seconds")
     pairs = meet(spans, s, (F.col("start_seconds") - c.near_seconds, F.col("end_seconds") + c.near_seconds), (F.col("exact"), F.col("exact")), 4 * c.near_seconds)
-    found = pairs.groupBy("video_id", "cluster_index").agg(
-        F.count("at").alias("state_count"), F.count_if(F.col("open")).alias("unresolved_count"), first(F.col("at")).alias("state_times"), first(F.when(F.col("open"), F.col("at"))).alias("unresolved_times")
+    found = pairs.withColumns(ranks).groupBy(*key).agg(
+        F.count("at").alias("state_count"), F.count_if(F.col("open")).alias("unresolved_count"), first(F.col("nth") <= 8).alias("state_times"), first(F.col("open") & (F.col("nth_open") <= 8)).alias("unresolved_times")
     )
     zero = {"state_count": F.lit(0), "unresolved_count": F.lit(0), "state_times": F.lit(""), "unresolved_times": F.lit("")}
-    return clusters.join(found, ["video_id", "cluster_index"], "left").withColumns({x: F.coalesce(x, v) for x, v in zero.items()})
+    return clusters.join(found, key, "left").withColumns({x: F.coalesce(x, v) for x, v in zero.items()})
 
 
 def trusted_gaps(trusted: DataFrame, durations: DataFrame, c: CoverageConfig = CoverageConfig()) -> DataFrame:
