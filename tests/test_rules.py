@@ -1,5 +1,7 @@
 """Operators on hand-made rows, two lectures each so that a missing key shows."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,7 +152,7 @@ def test_callables_are_built_once_a_worker(spark, tmp_path):
     df = spark.range(64).repartition(16).selectExpr("string(id) AS video_id", "0 AS trusted_index", "binary(string(id)) AS content")
     for _ in range(2):
         assert plugins.apply_text_extractor(df, factory).count() == 64
-    workers = [name.split("-")[0] for name in __import__("os").listdir(folder)]
+    workers = [name.split("-")[0] for name in os.listdir(folder)]
     assert 0 < len(workers) < 16 and len(workers) == len(set(workers))
 
 
