@@ -18,14 +18,20 @@ LINES = "array<struct<text string, confidence double, bbox array<int>>>"
 _BUILT: dict[str, Any] = {}
 
 
+def built(key: str, factory: Callable[[], Any]) -> Any:
+    if key not in _BUILT:
+        _BUILT[key] = factory()
+    return _BUILT[key]
+
+
 def once_a_worker(factory: Callable[[], Any]) -> Callable[[], Any]:
     """``factory``, but a worker process that serves several tasks builds once; factories are told apart by what is sent of them."""
     key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     def get() -> Any:
-        if key not in _BUILT:
-            _BUILT[key] = factory()
-        return _BUILT[key]
+        from chalkline.operators import plugins  # the worker's own module: what is sent with this function would be a copy
+
+        return plugins.built(key, factory)
 
     return get
 
@@ -51,10 +57,10 @@ def apply_text_extractor(images: DataFrame, factory: Callable[[], Callable[[byte
     of lines where it gives no count.  The callable is built once a worker.
     ``spread``: deal the images anew by their sizes first.
     """
-    built = once_a_worker(factory)
+    get = once_a_worker(factory)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = built()
+        extract = get()
         for part in parts:
             results = [extract(bytes(x)) for x in part.content]
             found = pd.DataFrame(results, columns=["text", "word_count", "mean_confidence", "has_text"], index=part.index)
@@ -75,10 +81,10 @@ def extracted_lines(pages: DataFrame) -> DataFrame:
 
 def apply_transcriber(audio: DataFrame, factory: Callable[[], Callable[[bytes], Iterator[tuple[float, float, str]]]], spread: bool = False) -> DataFrame:
     """audio video_id, raw_base, content -> raw segments, one row to many.  The callable is built once a worker."""
-    built = once_a_worker(factory)
+    get = once_a_worker(factory)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        transcribe = built()
+        transcribe = get()
         for part in parts:
             rows = [(r.video_id, r.raw_base * 1_000_000 + i, *x) for r in part.itertuples() for i, x in enumerate(transcribe(bytes(r.content)))]
             yield pd.DataFrame(rows, columns=["video_id", "raw_index", "start", "end", "text"])
