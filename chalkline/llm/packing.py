@@ -8,7 +8,8 @@ null or shared by several texts; each shard is packed on its own.  Within a shar
 the longest to the shortest.  Bins are ordered by what is left in them and carry
 bitmaps of their sources and clusters; the search begins at the first bin with
 room and goes on to successors until the tightest bin without a conflict is
-found, or opens a new one.
+found, or opens a new one.  Successors that all have the piece's source (or all
+its cluster) are passed in blocks.
 
 Documents longer than a bin are cut into full pieces and a rest; nothing is
 dropped.  Null and empty texts have length 0 and lie in no bin (bin_id null).
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +33,8 @@ from chalkline.llm.common import WORD_SPACE, read
 
 #: Bins in a shard, about.
 BINS = 1_000
+#: Bins in a block of the ordered bins, at least.
+BLOCK = 64
 
 
 def n_words(text: str = "text") -> Column:
@@ -43,6 +48,69 @@ def text_cluster(text: str = "text") -> Column:
     return F.when(F.col(text).isNotNull(), F.xxhash64(F.regexp_replace(F.lower(F.btrim(F.col(text), F.lit(WORD_SPACE))), r"[\x20\x09-\x0D]+", " ")))
 
 
+class Bins:
+    """Bins with room, ascending by what is left in them, in blocks that know the bits all their bins have.
+
+    A block all of whose bins have one of the bits asked for is passed as a whole,
+    so the bins of one large source or cluster cost a search no walk over them.
+    """
+
+    def __init__(self):
+        self.masks: list[int] = []
+        self.blocks: list[list[tuple[int, int]]] = []  # (left, bin)
+        self.tops: list[tuple[int, int]] = []  # the last entry of each block
+        self.common: list[int] = []
+
+    def open(self, capacity: int) -> tuple[int, int]:
+        self.masks.append(0)
+        return capacity, len(self.masks) - 1
+
+    def take(self, size: int, own: int) -> tuple[int, int] | None:
+        """Take out the tightest bin with room for ``size`` and none of the bits ``own``."""
+        first = bisect_left(self.tops, (size, -1))
+        for b in range(first, len(self.blocks)):
+            if self.common[b] & own:
+                continue
+            block = self.blocks[b]
+            for at in range(bisect_left(block, (size, -1)) if b == first else 0, len(block)):
+                if not self.masks[block[at][1]] & own:
+                    found = block.pop(at)
+                    self.settle(b)
+                    return found
+        return None
+
+    def put(self, left: int, number: int, own: int) -> None:
+        """Put a bin back with the bits ``own``; a full one is closed."""
+        self.masks[number] |= own
+        if not left:
+            return
+        if not self.blocks:
+            self.blocks.append([])
+            self.tops.append((left, number))
+            self.common.append(0)
+        b = min(bisect_left(self.tops, (left, number)), len(self.blocks) - 1)
+        block = self.blocks[b]
+        insort(block, (left, number))
+        if len(block) > 2 * BLOCK:
+            self.blocks[b : b + 1] = [block[:BLOCK], block[BLOCK:]]
+            self.tops.insert(b, block[BLOCK - 1])
+            self.common.insert(b, 0)
+            self.settle(b)
+            self.settle(b + 1)
+        else:
+            self.tops[b] = block[-1]
+            self.common[b] = self.common[b] & self.masks[number] if len(block) > 1 else self.masks[number]
+
+    def settle(self, b: int) -> None:
+        """Bring the last entry and the common bits of a block up to date."""
+        block = self.blocks[b]
+        if block:
+            self.tops[b] = block[-1]
+            self.common[b] = reduce(and_, [self.masks[n] for _, n in block])
+        else:
+            del self.blocks[b], self.tops[b], self.common[b]
+
+
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[tuple[int, int]]:
     """(bin, offset) of each piece, in the given order."""
     bit: dict[tuple, int] = {}
@@ -50,23 +118,13 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
         for value, n in Counter(values).items():
             if value is not None and value == value and n > 1:  # a lone value cannot conflict
                 bit[kind, value] = 1 << len(bit)
-    masks: list[int] = []
-    order: list[tuple[int, int]] = []  # (left, bin), ascending
+    bins = Bins()
     out = []
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
         own = bit.get(("source", source), 0) | bit.get(("cluster", cluster), 0)
-        at = bisect_left(order, (size, -1))
-        while at < len(order) and masks[order[at][1]] & own:
-            at += 1
-        if at == len(order):
-            left, number = capacity, len(masks)
-            masks.append(0)
-        else:
-            left, number = order.pop(at)
-        masks[number] |= own
+        left, number = bins.take(size, own) or bins.open(capacity)
+        bins.put(left - size, number, own)
         out.append((number, capacity - left))
-        if left > size:
-            insort(order, (left - size, number))
     return out
 
 

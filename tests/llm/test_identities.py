@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from chalkline.llm import bpe, language, substring_dedup, token_files
+from chalkline.llm import bpe, language, packing, substring_dedup, token_files
 
 
 def test_token_files_of_large_ids(spark, tmp_path):
@@ -56,3 +56,20 @@ def test_rare_languages_of_often_repeated_ids_are_learned(spark):
         assert model.languages == ["de", "en", "es"]
     asked = spark.createDataFrame([(1, "la casa es vieja", ""), (2, "the old house is green", ""), (3, "das haus ist grün", "")], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language.predict(asked, language.train(df)).orderBy("doc_id").collect()] == ["es", "en", "de"]
+
+
+def test_best_fit_passes_bins_of_one_source_in_blocks():
+    """More bins than a block holds, most of one source: equal to trying every bin."""
+    rng = random.Random(11)
+    for sources, clusters in ((1, 5_000), (2, 3), (40, 400)):
+        n, capacity = 900, 64
+        sizes = sorted((rng.randint(1, capacity) for _ in range(n)), reverse=True)
+        own = [(0 if rng.random() < 0.5 else rng.choice([None, *range(sources)]), rng.choice([None, *range(clusters)])) for _ in range(n)]
+        bins: list[tuple[int, set, set]] = []
+        for size, (source, cluster), (number, offset) in zip(sizes, own, packing.best_fit(sizes, [s for s, _ in own], [c for _, c in own], capacity), strict=True):
+            fit = [(left, i) for i, (left, s, c) in enumerate(bins) if left >= size and source not in s - {None} and cluster not in c - {None}]
+            left, best = min(fit, default=(capacity, len(bins)))
+            assert (number, offset) == (best, capacity - left)
+            if best == len(bins):
+                bins.append((capacity, set(), set()))
+            bins[best] = (left - size, bins[best][1] | {source}, bins[best][2] | {cluster})
