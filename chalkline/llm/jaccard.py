@@ -51,6 +51,8 @@ HOT, SAMPLE = 131_072, 1 << 20
 TILE, PARTNERS = 1_024, 128
 #: Words of bitmaps compared at once.
 AT_ONCE = 1 << 21
+#: Bits of the filter of ids whose texts are compared (16 MB).
+FILTER = 1 << 27
 #: Prefixes are longer by this fraction, so that as many members must be shared.
 SHARE = 4
 REMEMBERED = 500_000
@@ -318,14 +320,37 @@ def fitting_pairs(tiles: DataFrame, s: Similarity, every: bool) -> DataFrame:
     return pairs.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).select("a", "b")
 
 
+def id_bits(column: str, size: int) -> list[Column]:
+    """The places of an id among ``size`` bits, a power of two."""
+    return [F.xxhash64(column, F.lit(i)).bitwiseAND(size - 1) for i in range(2)]
+
+
+def id_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of the ids of a column, some 16 bits an id and FILTER bits at most: a fuller one lets more other ids pass."""
+    size = min(FILTER, 1 << max(6, (16 * df.count()).bit_length()))
+    places = df.select(F.explode(F.array(*id_bits(column, size))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toArrow()  # FILTER / 64 rows at most
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def candidate_sets(docs: DataFrame, wanted: DataFrame, s: Similarity) -> DataFrame:
-    """(key, n, bits, packed): bitmap and compressed text of each wanted set (key, first, high, low)."""
+    """(key, n, bits, packed): bitmap and compressed text of each wanted set (key, first, high, low).
+
+    Most texts whose id no wanted set has are left out by a filter of bounded size
+    before they are compressed; the join leaves out the others.
+    """
+    wanted_ids = id_filter(wanted, "first")
 
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches(source, "text"):
+            places = [batch.column(c).to_numpy() for c in ("one", "two")]
+            may = np.logical_and.reduce([wanted_ids[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) for at in places])
+            batch = batch.filter(pa.array(may))
             packed = [compress((x or "").encode()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
@@ -341,7 +366,8 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, s: Similarity) -> DataFra
             out = pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), batch.column("packed")], ["key", "n", "bits", "packed"])
             yield out.filter(pa.array(own, pa.bool_()))  # not another text of the same id
 
-    texts = docs.mapInArrow(pack, "doc_id long, packed binary").join(wanted, F.col("doc_id") == F.col("first"))
+    one, two = id_bits("doc_id", 64 * len(wanted_ids))
+    texts = docs.select("doc_id", "text", one.alias("one"), two.alias("two")).mapInArrow(pack, "doc_id long, packed binary").join(wanted, F.col("doc_id") == F.col("first"))
     texts = texts.groupBy("key", "high", "low", F.xxhash64("packed")).agg(F.max("packed").alias("packed"))
     return texts.select("key", "high", "low", "packed").mapInArrow(sign, "key long, n long, bits binary, packed binary")
 
