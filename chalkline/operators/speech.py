@@ -53,9 +53,9 @@ def boundary_scores(segments: DataFrame, near: DataFrame, c: TopicConfig = Topic
     words = lambda lo, hi: F.array_distinct(F.flatten(F.collect_list("tokens").over(in_order().rowsBetween(lo, hi))))
     rows = segments.select("video_id", "segment_index", F.col("start_seconds").alias("timestamp_seconds"), F.array_distinct(tx.speech_tokens(F.col("text"))).alias("tokens"), tx.is_cue(F.col("text")).alias("cue"), (F.col("start_seconds") - F.lag("end_seconds").over(in_order())).alias("gap"))
     rows = rows.withColumns({"left": words(-c.window, -1), "right": words(0, c.window - 1)})
-    rows = rows.join(near.withColumn("visual", F.lit(True)), ["video_id", "segment_index"], "left").where("segment_index >= 1")
     enough = (F.size("left") >= c.lexical_tokens) & (F.size("right") >= c.lexical_tokens)
-    rows = rows.withColumn("novelty", F.when(enough, 1 - tx.jaccard(F.col("left"), F.col("right"))))
+    rows = rows.withColumn("novelty", F.when(enough, 1 - tx.jaccard(F.col("left"), F.col("right")))).drop("tokens", "left", "right")  # the join gets numbers, not words
+    rows = rows.join(near.withColumn("visual", F.lit(True)), ["video_id", "segment_index"], "left").where("segment_index >= 1")
     score = (
         F.when(F.col("gap") >= c.long_gap, 0.9).when(F.col("gap") >= c.gap, 0.55).otherwise(0.0)
         + F.when(F.col("cue"), 0.65).otherwise(0.0)
@@ -198,7 +198,9 @@ def top_tokens(rows: DataFrame, order: str, tokens, k: int) -> DataFrame:
 
     Row and position are one number, for the least of a struct would sort all tokens.
     """
-    found = rows.select("video_id", "topic_index", F.col(order).cast("long").alias("row"), F.posexplode(tokens).alias("pos", "token"))
+    # Dealt by topic before they become tokens, which are many times their size: the groups and the window below need no exchange.
+    dealt = rows.repartition("video_id", "topic_index")
+    found = dealt.select("video_id", "topic_index", F.col(order).cast("long").alias("row"), F.posexplode(tokens).alias("pos", "token"))
     place = F.shiftleft("row", 32) + F.col("pos")
     counts = found.groupBy("video_id", "topic_index", "token").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     best = Window.partitionBy("video_id", "topic_index").orderBy(F.desc("n"), "first")

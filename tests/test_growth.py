@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.functions import text as tx
 from chalkline.operators import changes as chg
+from chalkline.operators import speech
 
 
 def plan(df) -> str:
@@ -19,3 +21,21 @@ def test_span_metrics_reads_each_row_once(spark):
     got = chg.span_metrics(rows, states)
     assert "unboundedfollowing" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [("a", 0, 9.0, 3), ("a", 1, 0.0, 0), ("a", 2, 1998.0, 663)]
+
+
+def test_tokens_are_counted_where_the_rows_of_a_topic_are(spark):
+    """Rows are dealt by topic; the tokens made of them, many times their size, are not shuffled."""
+    rows = spark.createDataFrame([("a", 0, 0, "tree graph tree"), ("a", 1, 0, "graph node tree"), ("a", 2, 1, "node")], "video_id string, segment_index int, topic_index int, text string")
+    got = speech.top_tokens(rows, "segment_index", tx.speech_tokens(F.col("text")), 2)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert sorted(map(tuple, got.select("topic_index", "rank", "token", "n").collect())) == [(0, 1, "tree", 3), (0, 2, "graph", 2), (1, 1, "node", 1)]
+
+
+def test_boundary_scores_join_numbers(spark):
+    """The words of the windows are compared before the join, which then has none of them to shuffle."""
+    segments = spark.createDataFrame([("a", i, i * 10.0, i * 10.0 + 9, f"word{i} other{i % 3}") for i in range(6)], "video_id string, segment_index int, start_seconds double, end_seconds double, text string")
+    near = spark.createDataFrame([("a", 2)], "video_id string, segment_index int")
+    got = speech.boundary_scores(segments, near)
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].split("\n")[1]
+    assert "AS novelty" in below
+    assert [r.segment_index for r in got.where(F.array_contains("reasons", "VISUAL_SECTION_CHANGE")).collect()] == [2]
