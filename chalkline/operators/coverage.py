@@ -33,9 +33,9 @@ def nearest_distance(clusters: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     rows = clusters.select("video_id", F.col("midpoint").alias("t"), "cluster_index").unionByName(trusted.select("video_id", F.col("timestamp_seconds").alias("t"), F.lit(None).cast("int").alias("cluster_index")))
     seen = F.when(F.col("cluster_index").isNull(), F.col("t"))
-    order = Window.partitionBy("video_id").orderBy("t")
-    before = F.last(seen, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(seen, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # Both ways from an end: a window that ends with the partition is gone through anew for each row.
+    carried = lambda order: F.last(seen, ignorenulls=True).over(Window.partitionBy("video_id").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    before, after = carried(F.asc("t")), carried(F.desc("t"))
     near = rows.select("video_id", "cluster_index", F.least(F.col("t") - before, after - F.col("t")).alias("distance")).where(F.col("cluster_index").isNotNull())
     return clusters.join(near, ["video_id", "cluster_index"])
 

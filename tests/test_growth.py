@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import text as tx
 from chalkline.operators import changes as chg
-from chalkline.operators import speech
+from chalkline.operators import coverage, speech
 
 
 def plan(df) -> str:
@@ -39,3 +39,14 @@ def test_boundary_scores_join_numbers(spark):
     below = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].split("\n")[1]
     assert "AS novelty" in below
     assert [r.segment_index for r in got.where(F.array_contains("reasons", "VISUAL_SECTION_CHANGE")).collect()] == [2]
+
+
+def test_nearest_distance_goes_through_a_lecture_once_each_way(spark):
+    shots = [("a", 5.0, 0), ("a", 5.0, 1), ("a", 40.0, 2), ("b", 7.0, 0)]
+    at = [("a", 0, 1.0), ("a", 1, 5.0), ("a", 2, 22.0), ("a", 3, 23.0), ("a", 4, 50.0), ("b", 0, 9.0), ("c", 0, 1.0)]
+    trusted = spark.createDataFrame(shots, "video_id string, timestamp_seconds double, trusted_index int")
+    clusters = spark.createDataFrame(at, "video_id string, cluster_index int, midpoint double")
+    got = coverage.nearest_distance(clusters, trusted)
+    assert "unboundedfollowing" not in plan(got)
+    brute = {(v, i): min((abs(t - s) for w, s, _ in shots if w == v), default=None) for v, i, t in at}
+    assert {(r.video_id, r.cluster_index): r.distance for r in got.collect()} == brute
