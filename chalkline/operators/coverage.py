@@ -80,22 +80,37 @@ def trusted_gaps(trusted: DataFrame, durations: DataFrame, c: CoverageConfig = C
     return rows.select("video_id", left.alias("left"), F.col("t").alias("right")).where(F.col("right") - F.col("left") >= c.gap_seconds)
 
 
-def gap_evidence(gaps: DataFrame, segments: DataFrame, changes: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Gaps with the speech that overlaps them, the changes within (closed) and the states within (open)."""
+def _in_gaps(gaps: DataFrame, rows: DataFrame, low, high, within=None, **aggregates) -> DataFrame:
+    """Gaps with aggregates of the rows that they meet, 0 where there are none."""
     key = ["video_id", "left", "right"]
+    pairs = meet(gaps.select(*key), rows, (F.col("left"), F.col("right")), (low, high), 64.0)
+    found = (pairs if within is None else pairs.where(within)).groupBy(*key).agg(*(x.alias(n) for n, x in aggregates.items()))
+    return gaps.join(found, key, "left").select(*key, *(F.coalesce(n, F.lit(0)).alias(n) for n in aggregates))
 
-    def counts(rows: DataFrame, low, high, within=None, **aggregates) -> DataFrame:
-        pairs = meet(gaps.select(*key), rows, (F.col("left"), F.col("right")), (low, high), 64.0)
-        found = (pairs if within is None else pairs.where(within)).groupBy(*key).agg(*(x.alias(n) for n, x in aggregates.items()))
-        return gaps.join(found, key, "left").select(*key, *(F.coalesce(n, F.lit(0)).alias(n) for n in aggregates))
 
-    at = F.col("timestamp_seconds")
+def gap_speech(gaps: DataFrame, segments: DataFrame) -> DataFrame:
+    """Gaps with the speech that overlaps them."""
     spoken = segments.select("video_id", "start_seconds", "end_seconds", tx.word_count(F.col("text")).alias("words"))
-    said = counts(spoken, F.col("start_seconds"), F.col("end_seconds"), segment_count=F.count("*"), word_count=F.sum("words"))
-    seen = counts(changes.where("kind <> 'NONE'").select("video_id", "timestamp_seconds"), at, at, change_count=F.count("*"))
+    return _in_gaps(gaps, spoken, F.col("start_seconds"), F.col("end_seconds"), segment_count=F.count("*"), word_count=F.sum("words"))
+
+
+def gap_changes(gaps: DataFrame, changes: DataFrame) -> DataFrame:
+    """Gaps with the changes within (closed)."""
+    at = F.col("timestamp_seconds")
+    return _in_gaps(gaps, changes.where("kind <> 'NONE'").select("video_id", "timestamp_seconds"), at, at, change_count=F.count("*"))
+
+
+def gap_states(gaps: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Gaps with the states within (open)."""
+    at = F.col("timestamp_seconds")
     inside = (at > F.col("left")) & (at < F.col("right"))
-    states = counts(resolved.select("video_id", "timestamp_seconds", "resolution"), at, at, inside, state_count=F.count("*"), unresolved_count=F.count_if(F.col("resolution") == "UNRESOLVED"))
-    return said.join(seen, key).join(states, key)
+    return _in_gaps(gaps, resolved.select("video_id", "timestamp_seconds", "resolution"), at, at, inside, state_count=F.count("*"), unresolved_count=F.count_if(F.col("resolution") == "UNRESOLVED"))
+
+
+def gap_evidence(gaps: DataFrame, segments: DataFrame, changes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Gaps with speech, changes and states."""
+    key = ["video_id", "left", "right"]
+    return gap_speech(gaps, segments).join(gap_changes(gaps, changes), key).join(gap_states(gaps, resolved), key)
 
 
 def _finding(df: DataFrame, rule: int, order: list, severity, blocking, start, end, reasons, **evidence) -> DataFrame:

@@ -229,7 +229,7 @@ class Library:
 
     @table
     def lecture_durations(self):
-        return cov.lecture_duration(self.topics, self.segments, self.trusted)
+        return cov.lecture_duration(self.spans, self.segments, self.trusted)  # topics end as their spans do
 
     @table
     def rules(self):

@@ -338,23 +338,23 @@ def states_near_cluster(x):
     return coverage.states_near(chg.change_clusters(x.changes), x.resolved).select("video_id", "cluster_index", "state_count", "unresolved_count", "state_times", "unresolved_times")
 
 
-def _gap_evidence(x):
-    return coverage.gap_evidence(coverage.trusted_gaps(x.trusted, x.lecture_durations), x.segments, x.changes, x.resolved)
+def _gaps(x):
+    return coverage.trusted_gaps(x.trusted, x.lecture_durations)
 
 
-@query('SELECT video_id, "left", "right", segment_count, word_count FROM gap_evidence', stages=True)
+@query('SELECT video_id, "left", "right", segment_count, word_count FROM gap_evidence', stages=True, once=("spans",))
 def gap_speech_overlap(x):
-    return _gap_evidence(x).select("video_id", "left", "right", "segment_count", F.col("word_count").cast("long").alias("word_count"))
+    return coverage.gap_speech(_gaps(x), x.segments).select("video_id", "left", "right", "segment_count", F.col("word_count").cast("long").alias("word_count"))
 
 
-@query('SELECT video_id, "left", "right", change_count FROM gap_evidence', stages=True)
+@query('SELECT video_id, "left", "right", change_count FROM gap_evidence', stages=True, once=("spans", "all_changes"))
 def gap_visual_activity(x):
-    return _gap_evidence(x).select("video_id", "left", "right", "change_count")
+    return coverage.gap_changes(_gaps(x), x.changes).select("video_id", "left", "right", "change_count")
 
 
-@query('SELECT video_id, "left", "right", state_count, unresolved_count FROM gap_evidence', stages=True)
+@query('SELECT video_id, "left", "right", state_count, unresolved_count FROM gap_evidence', stages=True, once=("spans", "resolved"))
 def gap_states(x):
-    return _gap_evidence(x).select("video_id", "left", "right", "state_count", "unresolved_count")
+    return coverage.gap_states(_gaps(x), x.resolved).select("video_id", "left", "right", "state_count", "unresolved_count")
 
 
 @query("SELECT c.video_id, c.frame_index, c.timestamp_seconds, w.window_index FROM all_changes c JOIN merged_windows w ON w.video_id = c.video_id AND c.timestamp_seconds BETWEEN w.start_seconds AND w.end_seconds")
@@ -404,9 +404,9 @@ def topic_spans(x):
     return x.spans.withColumn("boundary_reasons", tx.joined(F.col("boundary_reasons")))
 
 
-@query('SELECT * FROM gaps', stages=True)
+@query('SELECT * FROM gaps', stages=True, once=("spans",))
 def trusted_gaps(x):
-    return coverage.trusted_gaps(x.trusted, x.lecture_durations)
+    return _gaps(x)
 
 
 @query("""SELECT video_id, checkpoint_index, coalesce(max(change_score) FILTER (kind <> 'NONE'), 0.0::DOUBLE) AS max_score, count(*) FILTER (kind <> 'NONE') AS change_count FROM (
@@ -641,7 +641,7 @@ for _n, _name in enumerate(("uncaptured_change", "protected_lost", "long_gap", "
     _rule(_n, f"rule_{_name}")
 
 
-@query("SELECT * FROM lecture_durations", stages=True)
+@query("SELECT * FROM lecture_durations", stages=True, once=("spans",))
 def lecture_duration(x):
     return x.lecture_durations
 

@@ -1,10 +1,13 @@
 """Work that must grow no faster than the rows of a lecture: plans and results on longer lectures."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as tx
 from chalkline.operators import changes as chg
 from chalkline.operators import coverage, speech
+from chalkline.plans import queries
 
 
 def plan(df) -> str:
@@ -50,3 +53,19 @@ def test_nearest_distance_goes_through_a_lecture_once_each_way(spark):
     assert "unboundedfollowing" not in plan(got)
     brute = {(v, i): min((abs(t - s) for w, s, _ in shots if w == v), default=None) for v, i, t in at}
     assert {(r.video_id, r.cluster_index): r.distance for r in got.collect()} == brute
+
+
+def test_gap_queries_make_only_what_they_return(spark):
+    """Each gets the one table besides the gaps that it counts: speech, changes or states."""
+    trusted = spark.createDataFrame([("a", 1000.0)], "video_id string, timestamp_seconds double")
+    durations = spark.createDataFrame([("a", 2000.0)], "video_id string, duration double")
+    tables = {
+        "segments": [("a", 990.0, 1010.0, "two words"), ("a", 1500.0, 1501.0, "one")], "changes": [("a", 1000.0, "SCENE"), ("a", 5.0, "NONE"), ("a", 1999.0, "LOCAL")],
+        "resolved": [("a", 1000.0, "TRUSTED"), ("a", 1200.0, "TRUSTED"), ("a", 1300.0, "UNRESOLVED")],
+    }
+    columns = {"segments": "start_seconds double, end_seconds double, text string", "changes": "timestamp_seconds double, kind string", "resolved": "timestamp_seconds double, resolution string"}
+    expected = {"gap_speech_overlap": ("segments", (1, 2), (2, 3)), "gap_visual_activity": ("changes", (1,), (2,)), "gap_states": ("resolved", (0, 0), (2, 1))}
+    for name, (table, first, second) in expected.items():
+        rows = spark.createDataFrame(tables[table], f"video_id string, {columns[table]}")
+        got = queries.SPARK[name](SimpleNamespace(trusted=trusted, lecture_durations=durations, **{table: rows}))
+        assert sorted(map(tuple, got.collect())) == [("a", 0.0, 1000.0, *first), ("a", 1000.0, 2000.0, *second)]
