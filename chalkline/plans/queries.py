@@ -444,12 +444,12 @@ def pair_activity_windows(x):
     return x.raw_windows
 
 
-@query()
+@query(stages=True, once=tuple(STAGES - {"all_changes"}))
 def quiet_sentinels(x):
     return x.scanned
 
 
-@query()
+@query(stages=True, once=tuple(STAGES - {"all_changes"}))
 def scanned_states(x):
     """Stable states as a scan finds them: of the changes within windows and the quiet rows between."""
     return chg.stable_states(x.scanned)
