@@ -77,10 +77,15 @@ def read_ocr_words(x):
 
 
 def _image_folder(x):
-    """One file for each trusted screenshot but every sixth candidate: a copy of its name."""
+    """One file for each trusted screenshot but every sixth candidate: a copy of its name.
+
+    Each is a folder of its own, so they are dealt to many tasks, which also put
+    what they wrote in place (version 2); the driver would do so one by one.
+    """
     path = scratch_path(x.spark, "images")
     named = x.trusted.where("candidate_index % 6 <> 0").select(F.concat("video_id", F.lit("-"), "image_filename").alias("image_filename")).withColumn("value", F.col("image_filename"))
-    named.write.partitionBy("image_filename").text(path)
+    dealt = named.repartition(int(x.spark.conf.get("spark.sql.shuffle.partitions")), "image_filename")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("image_filename").text(path)
     return path
 
 

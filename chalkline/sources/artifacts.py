@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,18 @@ def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(good)
 
 
+@contextmanager
+def _listing(spark: SparkSession):
+    """Folders are listed by a few tasks a core: Spark's own choice is a task for each folder, up to 10,000."""
+    name, few = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), few))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_image_assets(spark: SparkSession, glob: str, manifest: DataFrame | None = None) -> DataFrame:
     """Image files by name and size; contents are not read.
 
@@ -55,7 +69,8 @@ def read_image_assets(spark: SparkSession, glob: str, manifest: DataFrame | None
     With a ``manifest`` (image_filename and more): its rows, the size of each
     one's file (the largest of several of one name) and whether there is one.
     """
-    rows = spark.read.format("binaryFile").load(glob)
+    with _listing(spark):
+        rows = spark.read.format("binaryFile").load(glob)
     name = F.col("image_filename") if "image_filename" in rows.columns else F.element_at(F.split("path", "/"), -1)
     files = rows.select(name.alias("image_filename"), "length")
     if manifest is None:
