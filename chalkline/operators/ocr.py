@@ -57,7 +57,9 @@ def enrich(ocr: DataFrame, alignment: DataFrame, assigned: DataFrame, titles: Da
     """Screenshots with speech and topic; those in no topic or in several are left to check_exactly_once."""
     once = assigned.groupBy("video_id", "trusted_index").agg(F.count("*").alias("topics"), F.min("topic_index").alias("topic_index")).where("topics = 1").drop("topics")
     speech = alignment.select("video_id", "trusted_index", F.col("text").alias("nearby_speech"))
-    rows = ocr.join(speech, ["video_id", "trusted_index"]).join(once, ["video_id", "trusted_index"]).join(titles.withColumnRenamed("title", "topic_title"), ["video_id", "topic_index"])
+    # Titles first meet the numbers: the texts are then joined by one key alone, and dealt by it once.
+    named = once.join(titles.withColumnRenamed("title", "topic_title"), ["video_id", "topic_index"])
+    rows = ocr.join(named, ["video_id", "trusted_index"]).join(speech, ["video_id", "trusted_index"])
     return rows.select(
         "video_id", "trusted_index", "candidate_index", "topic_index", "topic_title", F.col("text").alias("visible_text"), "nearby_speech", combined_context(F.col("text"), F.col("nearby_speech")).alias("combined_context"),
         F.col("mean_confidence").alias("ocr_mean_confidence"), F.col("word_count").alias("ocr_word_count"), coverage_flags(F.col("has_text"), F.col("low_confidence"), F.col("nearby_speech")).alias("coverage_flags"),

@@ -45,7 +45,7 @@ def table(method):
 
 
 #: Tables that two stages or more behind them read: queries over many stages write each once.
-STAGES = frozenset(("lectures", "all_changes", "segments", "candidates", "reviewed", "trusted", "scores", "spans", "assigned", "topics", "ocr", "resolved", "findings"))
+STAGES = frozenset(("lectures", "all_changes", "segments", "candidates", "reviewed", "trusted", "scores", "spans", "assigned", "keywords", "topics", "ocr", "resolved", "findings"))
 #: The ends of the branches that don't read each other, longest first: built at the same time.
 BRANCHES = ("topics", "resolved", "ocr", "lectures")
 

@@ -503,7 +503,7 @@ def ocr_pages(x):
     return ocr.ocr_pages(x.ocr_words)
 
 
-@query("SELECT * FROM keywords", stages=True, once=("spans",))
+@query("SELECT * FROM keywords", stages=True, once=("spans", "keywords"))
 def topic_keywords(x):
     return x.keywords
 
