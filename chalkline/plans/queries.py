@@ -636,7 +636,7 @@ def coverage_findings(x):
 
 def _rule(n: int, name: str) -> None:
     def rule(x):
-        return _detail(x.rules[n - 1]).drop("rule", "rule_order")
+        return _detail(x.rule(n)).drop("rule", "rule_order")
 
     rule.__name__ = name
     query(f"SELECT video_id, severity, blocking, start_seconds, end_seconds, reasons, detail FROM rule{n}", stages=True, once=() if n in (1, 3) else ("resolved",))(rule)
