@@ -11,7 +11,8 @@ share with it leaves them all, and of those it must share it may leave half, the
 largest.  Tiles too large for one task are dealt as pairs of blocks.  In a tile,
 parity bitmaps of the sets bound every overlap from above: each bit in which two
 bitmaps differ stands for at least one element that the sets don't share.  Pairs
-that pass are intersected exactly as sorted arrays.
+that pass are intersected exactly as sorted arrays.  Bitmaps travel to the tiles;
+texts are read again and travel only for pairs that bitmaps don't rule out.
 
 Only components are asked for, so pairs within one component need no test.  Two
 rounds test one pair a set (a smallest set of about its size that shares most
@@ -32,7 +33,7 @@ left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -87,8 +88,8 @@ class Similarity:
         return both - 2 * -(-self.percent * both // (100 + self.percent))
 
     def bits(self, n: int) -> int:
-        """Bits of a bitmap: eight times the difference that may occur, a power of two."""
-        return 1 << max(64, 8 * n * (100 - self.percent) // self.percent).bit_length()
+        """Bits of a bitmap: four to eight times the difference that may occur, a power of two."""
+        return 1 << max(64, 4 * n * (100 - self.percent) // self.percent).bit_length()
 
 
 class WordHashes(dict):
@@ -183,8 +184,9 @@ def tile_rows(unique: DataFrame, s: Similarity) -> DataFrame:
     bands = F.when(F.expr(f"100 * n >= {s.percent} * shiftleft(1L, length(bin(n)))"), F.array(own, own + 1)).otherwise(F.array(own))
     members = unique.select("key", "n", own.alias("own"), bands.alias("bands"), F.explode("prefix").alias("token"))
     rows = members.select("token", F.explode("bands").alias("band"), "own", "key", "n").select(F.xxhash64("token", "band").alias("tile"), (F.col("band") > F.col("own")).alias("guest"), "key", F.col("n").cast("int").alias("n"))
-    met = rows.groupBy("tile").agg(F.count("*").alias("size"), F.bool_or(~F.col("guest")).alias("at_home")).where("size > 1 AND at_home")
-    return rows.join(met.select("tile"), "tile", "left_semi")
+    tile = Window.partitionBy("tile")  # most rows are alone in theirs: they are shuffled once, with no second copy for a join
+    met = rows.withColumns({"size": F.count("*").over(tile), "at_home": F.bool_or(~F.col("guest")).over(tile)})
+    return met.where("size > 1 AND at_home").drop("size", "at_home")
 
 
 def frequent(tiles: DataFrame, s: Similarity) -> DataFrame:
@@ -201,9 +203,11 @@ def first_partners(tiles: DataFrame, s: Similarity) -> DataFrame:
     return stars.groupBy("a", F.col("key").alias("b")).count().groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def spans_of(tiles: DataFrame) -> DataFrame:
-    """(tile, size) of the tiles with sets of several components."""
-    return tiles.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").drop("low", "high")
+def spanning(tiles: DataFrame) -> DataFrame:
+    """The rows of tiles with sets of several components, and the ``size`` of their tile."""
+    tile = Window.partitionBy("tile")
+    spans = tiles.withColumns({"low": F.min("component").over(tile), "high": F.max("component").over(tile), "size": F.count("*").over(tile)})
+    return spans.where("low < high").drop("low", "high")
 
 
 def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame, s: Similarity, folder: str) -> DataFrame:
@@ -214,13 +218,13 @@ def open_tiles(tiles: DataFrame, found: DataFrame, sets: DataFrame, s: Similarit
     each leaves (c - 1) / 2, so each leaves its largest.
     """
     known = tiles.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    known = frequent(known.join(spans_of(known), "tile"), s)
+    known = frequent(spanning(known), s)
     largest = Window.partitionBy("key", "guest").orderBy(F.desc("size"), "tile")
     known = known.withColumn("nth", F.row_number().over(largest)).where(F.col("nth") > F.floor((s.needed("n") - 1) / 2)).drop("nth", "size")
     known = write_table(known, "open", folder=folder)
     blocks = (F.col("size") / TILE).cast("int") + 1
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = known.join(spans_of(known).select("tile", blocks.alias("blocks")), "tile").withColumn("own", own)
+    rows = spanning(known).withColumn("blocks", blocks).withColumn("own", own)
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("tile", F.least("own", "partner").alias("block"), F.greatest("own", "partner").alias("other"), (F.col("own") > F.col("partner")).alias("second"), "guest", "key", "n", "component")
     return rows.join(sets.select("key", "bits"), "key")
@@ -335,41 +339,45 @@ def id_filter(df: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame, s: Similarity) -> DataFrame:
-    """(key, n, bits, packed): bitmap and compressed text of each wanted set (key, first, high, low).
+def wanted_texts(docs: DataFrame, wanted: DataFrame, s: Similarity, make: Callable[[str, np.ndarray], bytes]) -> DataFrame:
+    """first, high, low, made: ``make(text, members)`` of each wanted set (first, high, low), once.
 
-    Most texts whose id no wanted set has are left out by a filter of bounded size
-    before they are compressed; the join leaves out the others.
+    Most texts whose id no wanted set has are left out by a filter of bounded size;
+    the join by id and digest leaves out the others, also other texts of an id.
     """
+    wanted = wanted.select("first", "high", "low").distinct()
     wanted_ids = id_filter(wanted, "first")
 
-    def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches(source, "text"):
             places = [batch.column(c).to_numpy() for c in ("one", "two")]
             may = np.logical_and.reduce([wanted_ids[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) for at in places])
-            batch = batch.filter(pa.array(may))
-            packed = [compress((x or "").encode()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            batch = batch.filter(pa.array(may.astype(bool)))
+            if not batch.num_rows:
+                continue
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            sets = shingles(texts, s.words)
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(members.tobytes()) for members in sets), np.int64).reshape(-1, 2)
+            made = pa.array(list(map(make, texts, sets)), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), made], ["first", "high", "low", "made"])
 
-    def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    one, two = id_bits("doc_id", 64 * len(wanted_ids))
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text", one.alias("one"), two.alias("two")).mapInArrow(run, "first long, high long, low long, made binary")
+    return texts.groupBy("first", "high", "low").agg(F.max("made").alias("made")).join(wanted, ["first", "high", "low"])
 
-        for batch in batches(source, "packed", 1 << 20):
-            n, maps, own = [], [], []
-            for members, high, low in zip(unpacked(batch.column("packed").to_pylist(), s), batch.column("high").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                n.append(len(members))
-                maps.append(bitmap(members, s.bits(len(members))))
-                own.append(np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), np.int64).tolist() == [high, low])
-            out = pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), batch.column("packed")], ["key", "n", "bits", "packed"])
-            yield out.filter(pa.array(own, pa.bool_()))  # not another text of the same id
 
-    one, two = id_bits("doc_id", 64 * len(wanted_ids))
-    texts = docs.select("doc_id", "text", one.alias("one"), two.alias("two")).mapInArrow(pack, "doc_id long, packed binary").join(wanted, F.col("doc_id") == F.col("first"))
-    texts = texts.groupBy("key", "high", "low", F.xxhash64("packed")).agg(F.max("packed").alias("packed"))
-    return texts.select("key", "high", "low", "packed").mapInArrow(sign, "key long, n long, bits binary, packed binary")
+def candidate_sets(docs: DataFrame, wanted: DataFrame, s: Similarity) -> DataFrame:
+    """(key, n, bits): size and bitmap of each wanted set (key, first, high, low, n)."""
+    maps = wanted_texts(docs, wanted, s, lambda text, members: bitmap(members, s.bits(len(members))))
+    return wanted.join(maps, ["first", "high", "low"]).select("key", "n", F.col("made").alias("bits"))
+
+
+def packed_text(text: str, members: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(text.encode(), 3)
 
 
 def unpacked(packed: list[bytes], s: Similarity) -> list[np.ndarray]:
@@ -380,18 +388,34 @@ def unpacked(packed: list[bytes], s: Similarity) -> list[np.ndarray]:
     return shingles([decompress(x).decode() for x in packed], s.words)
 
 
-def links(pairs: DataFrame, sets: DataFrame, s: Similarity, folder: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by bitmaps first and then exactly.
+def not_ruled_out(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
+    """The pairs (a, b) that may be similar by their bitmaps."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, "bits_a"):
+            signatures = Signatures([*batch.column("bits_a").to_pylist(), *batch.column("bits_b").to_pylist()])
+            i = np.arange(batch.num_rows)
+            may = signatures.distances(i, i + len(i)) <= s.difference(batch.column("n").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(may))
 
-    Each b travels to its a, and an a once for every PARTNERS of its partners,
-    which are dealt over as many tasks.
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    return pairs.select("a", "b", F.expr("n_a + n_b AS n"), "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, pairs: DataFrame, wanted: DataFrame, s: Similarity, folder: str) -> DataFrame:
+    """The pairs (a, b) of wanted sets (key, first, high, low, n) that are similar, exactly.
+
+    Texts of these pairs alone are compressed and travel: each b to its a, and an
+    a once for every PARTNERS of its partners, which are dealt over as many tasks.
     """
     pairs = write_table(pairs, "pairs", folder=folder)
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
     theirs = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), F.col("b").alias("key"))
     own = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("a").alias("key"))
-    wanted = write_table(theirs.union(own), "wanted", folder=folder)  # small, so that its size is known when it meets the sets
-    rows = wanted.join(sets, "key").repartition("a", "share").sortWithinPartitions("a", "share", "role")
+    asked = write_table(theirs.union(own).join(wanted, "key"), "asked", folder=folder)  # so that its size is known when it meets the texts
+    texts = wanted_texts(docs, asked, s, packed_text).withColumnRenamed("made", "packed")
+    rows = asked.join(texts, ["first", "high", "low"]).select("a", "share", "role", "key", "n", "packed").repartition("a", "share").sortWithinPartitions("a", "share", "role")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, members = None, None
@@ -399,19 +423,13 @@ def links(pairs: DataFrame, sets: DataFrame, s: Similarity, folder: str) -> Data
             a, b = [], []
             for row in batch.to_pylist():
                 if row["role"] == 0:
-                    mine, members = row, None
+                    mine, members = row, unpacked([row["packed"]], s)[0]
                     continue
                 if mine is None or row["a"] != mine["a"]:
                     continue
-                both = row["n"] + mine["n"]
-                if Signatures([mine["bits"], row["bits"]]).distances(np.array([0]), np.array([1]))[0] > s.difference(np.int64(both)):
-                    continue
-                if members is None:  # unpacked for the first partner that may be similar
-                    members, others = unpacked([mine["packed"], row["packed"]], s)
-                else:
-                    others = unpacked([row["packed"]], s)[0]
+                others = unpacked([row["packed"]], s)[0]
                 shared = int((members[np.minimum(np.searchsorted(members, others), len(members) - 1)] == others).sum())
-                if 100 * shared >= s.percent * (both - shared):
+                if 100 * shared >= s.percent * (row["n"] + mine["n"] - shared):
                     a.append(row["a"])
                     b.append(row["key"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -422,12 +440,12 @@ def links(pairs: DataFrame, sets: DataFrame, s: Similarity, folder: str) -> Data
 def linked_sets(docs: DataFrame, unique: DataFrame, s: Similarity, folder: str) -> DataFrame:
     """(node, component) of the sets (key, first, high, low, n, prefix) that are linked with others."""
     tiles = write_table(frequent(tile_rows(unique, s), s), "tiles", folder=folder)
-    wanted = unique.select("key", "first", "high", "low").join(tiles.select("key").distinct(), "key", "left_semi")
+    wanted = unique.select("key", "first", "high", "low", "n").join(tiles.select("key").distinct(), "key", "left_semi")
     wanted = write_table(wanted, "in-tiles", folder=folder)  # so that its size is known when it meets the texts
-    sets = write_table(candidate_sets(docs, wanted, s), "candidates", "none", folder)
-    found = components(write_table(links(first_partners(tiles, s), sets, s, folder), "links", folder=folder), folder)
+    sets = write_table(candidate_sets(docs, wanted, s), "candidates", folder=folder)
+    found = components(write_table(links(docs, not_ruled_out(first_partners(tiles, s), sets, s), wanted, s, folder), "links", folder=folder), folder)
     for every in (False, True):
-        more = write_table(links(fitting_pairs(open_tiles(tiles, found, sets, s, folder), s, every), sets, s, folder), "links", folder=folder)
+        more = write_table(links(docs, fitting_pairs(open_tiles(tiles, found, sets, s, folder), s, every), wanted, s, folder), "links", folder=folder)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder)
     return found
 

@@ -212,6 +212,37 @@ def test_jaccard_odd_inputs(spark, odd, empty):
     assert jaccard.join_components(empty).count() == 0
 
 
+def test_jaccard_rows_of_tiles_are_shuffled_once(spark):
+    """Rows alone in their tile go, and tiles of guests alone, without a second shuffle for a join."""
+    sets = [(0, 20, [1, 2, 3]), (1, 20, [3, 4]), (2, 30, [7, 8]), (3, 30, [7, 8]), (4, 33, [7])]
+    got = jaccard.tile_rows(spark.createDataFrame(sets, "key long, n long, prefix array<long>"), jaccard.Similarity(3, 90))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.key, r.n, r.guest) for r in got.collect()) == [(0, 20, False), (1, 20, False), *((k, 30, g) for k in (2, 3) for g in (False, False, True)), (4, 33, False)]
+
+
+def test_jaccard_ships_texts_of_near_pairs_alone(spark, monkeypatch):
+    """Sets that meet in tiles are compared by bitmaps; the texts of those ruled out are neither kept nor shuffled."""
+    words = [f"w{i}" for i in range(2_000)]
+    rows = [(i, " ".join(words[:130] + words[200 + 30 * i : 230 + 30 * i])) for i in range(1, 13)]  # two thirds in common
+    near, other = " ".join(words[800:1_000]), " ".join(words[1_100:1_300])
+    rows += [(20, near), (20, other), (21, near + " end"), (22, other + " end"), (22, other + " end"), (23, None)]  # 20 has two texts
+    tables = []
+
+    def recorded(df, name, *more, **named):
+        tables.append((name, write(df, name, *more, **named)))
+        if name in ("candidates", "asked"):
+            tables[-1] += (tables[-1][1].collect(),)  # before the folder is removed
+        return tables[-1][1]
+
+    write = jaccard.write_table
+    monkeypatch.setattr(jaccard, "write_table", recorded)
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Similarity(3, 90)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [*((i, i) for i in range(1, 13)), (20, 20), (20, 20), (21, 20), (22, 20), (22, 20), (23, 23)]
+    (candidates,) = [t[1:] for t in tables if t[0] == "candidates"]
+    assert candidates[0].columns == ["key", "n", "bits"] and len(candidates[1]) == 16
+    assert {r["first"] for t in tables if t[0] == "asked" for r in t[2]} == {20, 21, 22}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (None, 1)]
